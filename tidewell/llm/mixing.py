@@ -92,7 +92,7 @@ def landing(p: list[float], size: list[float], hand: list[int]) -> None:
     choice = (np.arange(1 << len(hand))[:, None] >> np.arange(len(hand))) & 1
     own, chance = np.array([size[i] for i in hand]), np.array([p[i] for i in hand])
     words, count = np.abs(choice @ own - chance @ own), np.abs(choice.sum(1) - chance.sum())
-    best = int((4 * words / max(own.mean(), 1.0) + count).argmin())
+    best = int((20 * words / max(own.mean(), 1.0) + count).argmin())
     for i, x in zip(hand, choice[best], strict=True):
         p[i] = float(x)
 
