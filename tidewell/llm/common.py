@@ -82,12 +82,13 @@ def word_count(column) -> F.Column:
     ).cast("long")
 
 
-def with_prefix_sum(df: DataFrame, order: list[str], value: str, out: str, name: str) -> Table:
+def with_prefix_sum(df: DataFrame, order: list[str], value: str, out: str, name: str, range_as: str = "__range") -> Table:
     """Adds ``out``: the sum of ``value`` over all rows before this one in ``order``.
 
     Range-partitions by ``order`` and writes each row with its range number, so that the
     number is data and survives retries; a window then runs inside each range and the
-    (few, one a range) totals are offset. No task sees more than one range.
+    (few, one a range) totals are offset. No task sees more than one range. ``range_as`` keeps
+    the range's number as a column.
     """
     from pyspark.sql import Window
 
@@ -104,6 +105,7 @@ def with_prefix_sum(df: DataFrame, order: list[str], value: str, out: str, name:
     table.df = (
         table.df.join(F.broadcast(offsets), "__range")
         .withColumn(out, (F.coalesce(F.sum(value).over(inner), F.lit(0)) + F.col("__offset")).cast("long"))
+        .withColumnRenamed("__range", range_as)
         .drop("__range", "__offset")
     )
     return table

@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
-from . import langid, licenses, mixing, secrets, topk
+from . import langid, licenses, mixing, secrets, simhash, substrings, tokenstore, topk
 from .sql import ORACLES
 
 QUERIES = {
     "op1_topk_search": topk.op1_topk_search,
     "op2_secret_scan": secrets.op2_secret_scan,
     "op3_language_id": langid.op3_language_id,
+    "op4_substring_dedup": substrings.op4_substring_dedup,
     "op5_mix_sources": mixing.op5_mix_sources,
+    "op6_token_store": tokenstore.op6_token_store,
     "op7_license_scan": licenses.op7_license_scan,
+    "op8_simhash_near_dedup": simhash.op8_simhash_near_dedup,
 }
 
 __all__ = ["ORACLES", "QUERIES"]

@@ -63,3 +63,23 @@ ORACLES["op2_secret_scan"] = _digest(
         ("pem", "-----BEGIN [A-Z ]*PRIVATE KEY-----", "true"),
     ],
 )
+
+ORACLES["op4_substring_dedup"] = r"""
+WITH d AS (
+  SELECT row_number() OVER () AS doc, doc_id, list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda w: w <> '') AS ws FROM documents
+), win AS (
+  SELECT doc, i, hash(array_to_string(ws[i+1:i+35], ' ')) AS h, md5(array_to_string(ws[i+1:i+35], ' ')) AS m
+  FROM (SELECT doc, ws, unnest(range(0, len(ws) - 34)) AS i FROM d WHERE len(ws) >= 35)
+), rep AS (
+  SELECT doc, i FROM win WHERE (h, m) IN (SELECT (h, m) FROM win GROUP BY h, m HAVING count(*) > 1)
+), gone AS (
+  SELECT DISTINCT doc, i + k AS w FROM rep, range(0, 35) t(k)
+), each AS (
+  SELECT doc, generate_subscripts(ws, 1) - 1 AS w, unnest(ws) AS word FROM d
+), kept AS (
+  SELECT e.doc, count(*) AS n, string_agg(word, ' ' ORDER BY e.w) AS told
+  FROM each e ANTI JOIN gone g ON e.doc = g.doc AND e.w = g.w GROUP BY e.doc
+)
+SELECT d.doc_id, len(d.ws)::BIGINT AS n_words, (len(d.ws) - coalesce(k.n, 0))::BIGINT AS n_removed, sha256(coalesce(k.told, '')) AS kept_sha256
+FROM d LEFT JOIN kept k ON d.doc = k.doc
+"""
