@@ -83,3 +83,17 @@ WITH d AS (
 SELECT d.doc_id, len(d.ws)::BIGINT AS n_words, (len(d.ws) - coalesce(k.n, 0))::BIGINT AS n_removed, sha256(coalesce(k.told, '')) AS kept_sha256
 FROM d LEFT JOIN kept k ON d.doc = k.doc
 """
+
+_BYTE = "0*([0-9]{1,2}|1[0-9]{2}|2[0-4][0-9]|25[0-5])"
+_LUHN = """len(regexp_replace({m}, '[^0-9]', '', 'g')) BETWEEN 14 AND 19 AND list_sum(list_transform(
+  list_reverse(string_split_regex(regexp_replace({m}, '[^0-9]', '', 'g'), '')),
+  lambda c, i: CASE WHEN i % 2 = 1 THEN c::INT WHEN c::INT > 4 THEN c::INT * 2 - 9 ELSE c::INT * 2 END)) % 10 = 0"""
+BASE_PERSONAL = _digest(
+    ["email", "ip", "card", "phone"],
+    [
+        ("email", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+", "true"),
+        ("ip", r"[0-9]+(?:\.[0-9]+)(?:\.[0-9]+)(?:\.[0-9]+)", "regexp_full_match({m}, '" + _BYTE.replace("{", "{{").replace("}", "}}") + r"(\." + _BYTE.replace("{", "{{").replace("}", "}}") + "){{3}}')"),
+        ("card", r"[0-9](?:[\x20-]?[0-9])+", _LUHN),
+        ("phone", r"\+[0-9][\x20().0-9-]+[0-9]", "len(regexp_replace({m}, '[^0-9]', '', 'g')) BETWEEN 10 AND 15"),
+    ],
+)
