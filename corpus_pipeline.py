@@ -7,10 +7,10 @@ reread; all but the last return the columns of ``documents``.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-from tidewell.llm import langid, mixing
+from tidewell.llm import decontaminate, langid, mixing, simhash
 from tidewell.llm.common import Table
+from tidewell.llm.tokenstore import TokenStore
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -18,13 +18,34 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return langid.keep_identified(docs, langid.fit(docs))
 
 
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each component of near-duplicates."""
+    return simhash.keep_one(docs)
+
+
+def clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold no benchmark item."""
+    return decontaminate.without_leaks(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Sources at their target weights: rows as often as the mix takes them."""
     return mixing.mixed(docs)
 
 
-STAGES = [("language_id", language), ("mix", mix)]
-ORACLE_SQL = None
+def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Ids of whole texts, written to a content-addressed store and read back: a digest a document."""
+    return TokenStore.write(docs).read()
+
+
+STAGES = [
+    ("language_id", language),
+    ("simhash_near_dedup", near_dedup),
+    ("decontaminate", clean),
+    ("mix_sources", mix),
+    ("token_store", tokens),
+]
+ORACLE_SQL = None  # learning, retrieval and the mix's draws are beyond SQL; tests compare with plain Python
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:

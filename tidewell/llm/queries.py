@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import langid, licenses, mixing, pii, secrets, simhash, substrings, tokenstore, topk
+from . import decontaminate, langid, licenses, mixing, pii, secrets, simhash, substrings, tokenstore, topk
 from .sql import ORACLES
 
 QUERIES = {
@@ -14,6 +14,7 @@ QUERIES = {
     "op6_token_store": tokenstore.op6_token_store,
     "op7_license_scan": licenses.op7_license_scan,
     "op8_simhash_near_dedup": simhash.op8_simhash_near_dedup,
+    "op9_decontaminate": decontaminate.op9_decontaminate,
     "op10_personal_data": pii.op10_personal_data,
 }
 

@@ -22,6 +22,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from .common import Table, bounded_batches, words
 
@@ -239,6 +240,13 @@ def components(edges: DataFrame) -> Table:
     return table
 
 
+def _named(rows: DataFrame, threshold: int) -> DataFrame:
+    """fp -> root, one fingerprint for each component. ``rows`` has fp."""
+    classes = rows.select("fp").distinct()
+    roots = components(links(classes, threshold)).df
+    return classes.join(roots, F.col("fp") == F.col("node"), "left").select("fp", F.coalesce("root", "fp").alias("root"))
+
+
 def near_duplicates(docs: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
     """doc_id, fp, component_id (smallest doc_id reachable, itself included) of every row.
 
@@ -247,14 +255,43 @@ def near_duplicates(docs: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
     member of their component has an id. An empty table gives an empty one.
     """
     rows = Table(fingerprints(docs), "fingerprints").df
-    classes = Table(rows.groupBy("fp").agg(F.min("doc_id").alias("first")), "classes").df
-    roots = components(links(classes, threshold)).df
-    placed = classes.join(roots, F.col("fp") == F.col("node"), "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
+    firsts = rows.groupBy("fp").agg(F.min("doc_id").alias("first"))
+    placed = Table(_named(rows, threshold).join(firsts, "fp"), "classes").df
     smallest = placed.groupBy("root").agg(F.min("first").alias("component_id"))
     named = Table(placed.join(smallest, "root").select("fp", "component_id"), "components").df
     return rows.join(named, "fp").select("doc_id", "fp", "component_id")
 
 
+def keep_one(docs: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
+    """The rows of ``docs`` without near-duplicates: of each component the row of smallest doc_id stays.
+
+    Rows without an id stay only if their component has no other; of rows with equal id in one
+    component, one of the smallest fingerprint stays.
+    """
+    rows = Table(fingerprints(docs), "fingerprints").df
+    order = F.struct(F.col("doc_id").isNull(), "doc_id", "fp")
+    firsts = rows.groupBy("fp").agg(F.min(order).alias("first"))
+    placed = _named(rows, threshold).join(firsts, "fp")
+    best = placed.groupBy("root").agg(F.min("first").alias("first"))
+    kept = Table(best.select(F.col("first.doc_id").alias("kept_id"), F.col("first.fp").alias("kept_fp")), "kept").df
+    same = (F.col("__fp") == F.col("kept_fp")) & F.col("doc_id").eqNullSafe(F.col("kept_id"))
+    again = rows.withColumnRenamed("fp", "__fp").join(kept, same).groupBy("doc_id", "__fp").count().where("count > 1").limit(1).count()
+
+    bounded_batches(docs.sparkSession)
+    at = docs.columns.index("text")
+
+    def run(batches):
+        for batch in batches:
+            prints = np.array([fingerprint(t) for t in batch.column(at).to_pylist()], dtype=np.uint64).view(np.int64)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(prints)], [*batch.schema.names, "__fp"])
+
+    printed = docs.mapInArrow(run, StructType([*docs.schema.fields, StructField("__fp", LongType())]))
+    whole = printed.join(kept, same)
+    if again:  # rows of one id and fingerprint: any of them, which needs the rows themselves sorted
+        whole = whole.dropDuplicates(["doc_id", "__fp"])
+    return whole.select(*docs.columns)
+
+
 def op8_simhash_near_dedup(spark, sf_dir) -> DataFrame:
     found = near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
