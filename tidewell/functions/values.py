@@ -67,7 +67,7 @@ def name_and_detail(text: Column) -> Column:
 
 def parts(text: Column) -> Column:
     """pieces between middle dots, semicolons and bars, trimmed, without empty ones."""
-    return F.filter(F.transform(F.split(text, "[·;|]"), F.trim), lambda x: x != "")
+    return F.filter(F.transform(F.split(text, "[·;|]"), lambda x: F.trim(x)), lambda x: x != "")
 
 
 def needs_ocr(text: Column, least: int = 20) -> Column:

@@ -1,6 +1,6 @@
 """Queries on the driver tables; importing the modules registers them."""
 
-from . import flow, quality, records, search
+from . import flow, more, quality, records, search
 from .registry import ORACLES, QUERIES
 
-__all__ = ["ORACLES", "QUERIES", "flow", "quality", "records", "search"]
+__all__ = ["ORACLES", "QUERIES", "flow", "more", "quality", "records", "search"]
