@@ -97,3 +97,26 @@ BASE_PERSONAL = _digest(
         ("phone", r"\+[0-9][\x20().0-9-]+[0-9]", "len(regexp_replace({m}, '[^0-9]', '', 'g')) BETWEEN 10 AND 15"),
     ],
 )
+
+
+def _licenses() -> str:
+    from .licenses import PHRASES, TEMPLATES, THRESHOLD, WIDTH
+
+    quote = lambda words: "[" + ", ".join(f"'{w}'" for w in words) + "]"
+    templates = ", ".join(f"('{name}', {quote(sorted(set(text.split())))})" for name, text in TEMPLATES)
+    phrases = ", ".join(f"('{label}', {quote(phrase.split())})" for phrase, label in PHRASES)
+    half = WIDTH // 2
+    return f"""WITH d AS (
+  SELECT row_number() OVER () AS doc, doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+'), lambda w: w <> '') AS ws FROM documents
+), p(label, ps) AS (VALUES {phrases}), t(label, ts) AS (VALUES {templates}),
+places AS (SELECT doc, label, unnest(list_filter(range(0, greatest(0, len(ws) - len(ps) + 1)), lambda i: ws[i+1:i+len(ps)] = ps)) AS place FROM d, p),
+base AS (SELECT doc, count(*) AS n, min(place) AS lo, max(place) AS hi, list_distinct(list(label)) AS labels FROM places GROUP BY doc),
+blocks AS (SELECT doc, ws, unnest(CASE WHEN len(ws) = 0 THEN [] WHEN len(ws) <= {WIDTH} THEN [0] ELSE list_distinct(list_append(range(0, len(ws) - {WIDTH} + 1, {half}), len(ws) - {WIDTH})) END) AS s FROM d),
+hits AS (SELECT doc, label, max(share) AS share FROM (SELECT doc, label, len(list_intersect(list_distinct(ws[s+1:s+{WIDTH}]), ts)) / len(ts)::DOUBLE AS share, len(list_intersect(list_distinct(ws[s+1:s+{WIDTH}]), ts)) >= ceil({THRESHOLD} * len(ts) - 1e-9) AS ok FROM blocks, t) WHERE ok GROUP BY 1, 2),
+own AS (SELECT doc, list(label) AS labels, max(share) AS share FROM hits GROUP BY 1)
+SELECT d.doc_id, len(ws)::BIGINT AS n_words, coalesce(base.n, 0)::BIGINT AS n_base, lo::BIGINT AS first_word, hi::BIGINT AS last_word, array_to_string(list_sort(coalesce(base.labels, [])), ',') AS base_labels,
+  array_to_string(list_sort(list_distinct(list_concat(coalesce(base.labels, []), coalesce(own.labels, [])))), ',') AS labels, CASE WHEN base.n > 0 THEN 1.0 ELSE coalesce(own.share, 0.0) END::DOUBLE AS score
+FROM d LEFT JOIN base USING (doc) LEFT JOIN own USING (doc)"""
+
+
+ORACLES["op7_license_scan"] = _licenses()
