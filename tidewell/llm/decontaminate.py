@@ -5,8 +5,9 @@
 2. A distributed randomised SVD (Gaussian sketch, one power iteration, small eigenproblem) of
    the benchmark's TF-IDF passages gives the latent space. It is the passages' own space, so
    what a corpus passage shares with any of them survives the projection.
-3. All windows of ``2 * STEP`` words, every ``STEP``, of all documents are folded in, and pairs
-   with a cosine of ``COSINE`` or more are candidates.
+3. All windows of ``2 * STEP`` words, every ``STEP``, of all documents are folded in. Pairs with
+   a cosine of ``COSINE`` or more are candidates if the window's part along the passage is at
+   least ``HELD`` of the passage: what else a window says lowers its cosine, but not that part.
 4. A candidate is a leak if the longest common subsequence of the item and the words around the
    window covers ``VERBATIM`` of the item; from ``PARAPHRASE`` on, the answer check decides:
    ``ANSWER`` of the item's rarest words (a third of its distinct ones) must stand there too.
@@ -28,7 +29,7 @@ from pyspark.sql import functions as F
 from .common import bounded_batches
 
 STEP, ITEMS, RANK, EXTRA = 32, 1024, 192, 8
-COSINE, VERBATIM, PARAPHRASE, ANSWER = 0.12, 0.7, 0.5, 0.75
+COSINE, HELD, VERBATIM, PARAPHRASE, ANSWER = 0.12, 0.35, 0.7, 0.5, 0.75
 GROUP = 50_000  # words folded in at once
 
 _SPACE = bytes(b if 0x30 <= b <= 0x39 or 0x61 <= b <= 0x7A or b >= 0x80 else 0x20 for b in range(256))
@@ -60,6 +61,7 @@ class Space:
     vocabulary: dict[bytes, int]
     fold: np.ndarray  # (words, rank): inverse document frequency times the space
     latent: np.ndarray  # (passages, rank), of unit length
+    length: np.ndarray  # their lengths before
     owner: np.ndarray  # the item of each passage
     items: tuple[tuple[int, tuple[bytes, ...], frozenset[bytes]], ...]  # id, words, answer words
 
@@ -103,9 +105,10 @@ class Space:
             go_on = ~last[at : at + len(window)]
             window[go_on] += sums[at + 1 : at + 1 + len(window)][go_on]
             length = np.linalg.norm(window, axis=1)
-            cosine = window @ self.latent.T / np.maximum(length, 1e-9)[:, None]
-            w, p = np.nonzero(cosine >= COSINE)
-            for b, item, c in zip((w + at).tolist(), self.owner[p].tolist(), cosine[w, p].tolist(), strict=True):
+            along = window @ self.latent.T
+            w, p = np.nonzero(along >= np.maximum(HELD * self.length[None, :], COSINE * length[:, None]))
+            cosine = along[w, p] / np.maximum(length[w], 1e-9)
+            for b, item, c in zip((w + at).tolist(), self.owner[p].tolist(), cosine.tolist(), strict=True):
                 d = int(np.searchsorted(firsts, b, side="right")) - 1
                 self._judge(group[d], out[group[d][0]], item, (b - firsts[d]) * STEP, c)
 
@@ -116,6 +119,8 @@ class Space:
         ws = doc[1]
         start, end = max(0, at - len(own)), min(len(ws), at + 2 * STEP + len(own))
         region = ws[start:end]
+        if sum(map(set(region).__contains__, own)) < PARAPHRASE * len(own):
+            return  # the subsequence has no other words than these: most alignments are spared
         covered = common_subsequence(own, region) / len(own)
         if covered < PARAPHRASE:
             return
@@ -242,12 +247,13 @@ def _space(docs: DataFrame, block: list) -> Space:
     basis = randomised_svd(table, len(vocabulary), RANK, weights)
     fold = (basis * weights[:, None]).astype(np.float32)
     latent = np.stack([fold[p].sum(0) for _, p in passages])
-    latent /= np.maximum(np.linalg.norm(latent, axis=1, keepdims=True), 1e-9)
+    length = np.linalg.norm(latent, axis=1)
+    latent /= np.maximum(length, 1e-9)[:, None]
     items = []
     for item_id, ws in block:
         distinct = sorted(set(ws), key=lambda w: (-weights[vocabulary[w]], w))
         items.append((item_id, tuple(ws), frozenset(distinct[: max(1, len(distinct) // 3)])))
-    return Space(vocabulary, fold, latent.astype(np.float32), np.array([k for k, _ in passages]), tuple(items))
+    return Space(vocabulary, fold, latent.astype(np.float32), length.astype(np.float32), np.array([k for k, _ in passages]), tuple(items))
 
 
 LEAKS = "item_id long, covered double, answered double, cosine double, first_word int, end_word int"
