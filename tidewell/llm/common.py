@@ -70,6 +70,18 @@ def bounded_batches(spark: SparkSession, rows: int = 1000) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
 
 
+def per_worker(key, make):
+    """What ``make()`` gave the first time in this worker process: kept from task to task."""
+    import sys
+    import types
+
+    store = sys.modules.setdefault("_tidewell_worker", types.ModuleType("_tidewell_worker"))
+    kept = store.__dict__.setdefault("kept", {})
+    if key not in kept:
+        kept[key] = make()
+    return kept[key]
+
+
 def words(text: str | None) -> list[bytes]:
     """Maximal runs of anything but space and 0x09-0x0D, as UTF-8 (``bytes.split`` cuts at exactly these)."""
     return text.encode("utf-8", "surrogatepass").split() if text else []

@@ -17,6 +17,7 @@ from __future__ import annotations
 
 import os
 import zlib
+from array import array
 from hashlib import blake2b
 
 import numpy as np
@@ -24,10 +25,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import Table, bounded_batches, delete, shared_dir, with_prefix_sum, words
+from .common import Table, bounded_batches, delete, per_worker, shared_dir, with_prefix_sum, words
 
 END, WINDOW, LEAST, MEAN_BITS, MOST, LEAF = 1, 16, 64, 9, 4096, 4096
-CACHE = 400_000  # words whose ids a worker remembers
+CACHE = 250_000  # words (twice) and, twice as many and more, stems whose ids a worker remembers: about 200 MB
 _BASE = 0x9E3779B97F4A7C15
 
 
@@ -37,44 +38,89 @@ def default_tokenizer() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+def _parts(word: str) -> tuple[str, str]:
+    """A Latin-1 word of letters in lower case, and one sign after it; anything else stays whole.
+
+    The tokenizer lower-cases letter by letter and parts letters from signs, so the ids of such
+    a word are those of its parts one after the other.
+    """
+    if word and max(word) < "\u0100":
+        stem, sign = (word[:-1], word[-1]) if word[-1] in ".,;:!?" else (word, "")
+        if stem.isalpha():
+            return stem.lower(), sign
+    return word, ""
+
+
 class Encoder:
-    """Ids of whole texts. The tokenizer's pieces never span white space, so ids of words are remembered."""
+    """Ids of whole texts. The tokenizer's pieces never span white space, so ids of words are remembered.
+
+    Words seen since the last time the memory was full survive it, so frequent ones stay.
+    """
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.known = Tokenizer.from_file(path), {}
+        self.tokenizer = Tokenizer.from_file(path)
+        self.known: dict[bytes, bytes] = {}
+        self.older: dict[bytes, bytes] = {}
+        self.stems: dict[str, bytes] = {}
+
+    def _learn(self, new: list[bytes]) -> None:
+        rest = []
+        for w in new:
+            ids = self.older.get(w)
+            if ids is None:
+                rest.append((w, *_parts(w.decode("utf-8", "surrogatepass"))))
+            else:
+                self.known[w] = ids
+        stems = self.stems
+        missing = list({x for _, stem, sign in rest for x in (stem, sign) if x and x not in stems})
+        for at in range(0, len(missing), 10_000):
+            part = missing[at : at + 10_000]
+            for x, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True):
+                stems[x] = array("I", e.ids).tobytes()
+        for w, stem, sign in rest:
+            self.known[w] = stems[stem] + stems[sign] if sign else stems[stem]
 
     def ids(self, texts: list[str | None]) -> list[np.ndarray]:
-        split = [words(t) for t in texts]
         if len(self.known) > CACHE:
-            self.known.clear()
-        new = list({w for ws in split for w in ws if w not in self.known})
-        for at in range(0, len(new), 10_000):
-            part = new[at : at + 10_000]
-            for w, e in zip(part, self.tokenizer.encode_batch([w.decode("utf-8", "surrogatepass") for w in part], add_special_tokens=False), strict=True):
-                self.known[w] = np.array(e.ids, dtype="<u4").tobytes()
-        known, end = self.known, np.array([END], dtype="<u4").tobytes()
+            self.known, self.older = {}, self.known
+        if len(self.stems) > 5 * CACHE // 2:
+            self.stems = {}
+        split = [words(t) for t in texts]
+        self._learn(list(set().union(*split).difference(self.known)))
+        known, end = self.known, array("I", [END]).tobytes()
         return [np.frombuffer(b"".join([known[w] for w in ws]) + end, dtype="<u4") for ws in split]
 
 
+def _powers() -> tuple[np.ndarray, np.ndarray]:
+    """Powers of the base's inverse and of the base, modulo 2**64."""
+    n = 1 << 16
+    return np.cumprod(np.full(n, pow(_BASE, -1, 1 << 64), dtype=np.uint64)), np.cumprod(np.full(n, _BASE, dtype=np.uint64))
+
+
 def cuts(ids: np.ndarray) -> list[int]:
     """Ends of chunks: content-defined, ``LEAST`` to ``MOST`` ids each but for the last."""
     n = len(ids)
     if n <= LEAST:
         return [n]
     # polynomial rolling hash modulo 2**64 over mixed ids: windows by differences of prefix sums
-    x = (ids.astype(np.uint64) + np.uint64(1)) * np.uint64(0xBF58476D1CE4E5B9)
-    x ^= x >> np.uint64(29)
-    inverse = np.uint64(pow(_BASE, -1, 1 << 64))
-    power = np.cumprod(np.full(n, inverse, dtype=np.uint64))
-    total = np.cumsum(x * power)
-    window = total.copy()
-    window[WINDOW:] -= total[:-WINDOW]
-    back = np.cumprod(np.full(n, np.uint64(_BASE)))
-    rolled = window * back
-    ends = (np.flatnonzero((rolled >> np.uint64(64 - MEAN_BITS)) == 0) + 1).tolist()
+    inverse, power = per_worker("powers", _powers)
+    ends: list[int] = []
+    for at in range(0, n, len(power) - WINDOW):  # long documents in parts that overlap by a window
+        start = max(0, at - WINDOW)
+        x = ids[start : at + len(power) - WINDOW].astype(np.uint64)
+        x += np.uint64(1)
+        x *= np.uint64(0xBF58476D1CE4E5B9)
+        x ^= x >> np.uint64(29)
+        m = len(x)
+        x *= inverse[:m]
+        np.cumsum(x, out=x)
+        x[WINDOW:] -= x[:-WINDOW].copy()
+        x *= power[:m]
+        places = np.flatnonzero(x < np.uint64(1 << (64 - MEAN_BITS))) + start + 1
+        ends += places[places > at].tolist()
     out, last = [], 0
     for e in [*ends, n]:
         while e - last > MOST:
@@ -158,7 +204,7 @@ class TokenStore:
         names = ["kind", "key", "data", "doc_id", "n_tokens", "recipe"]
 
         def encode(batches):
-            encoder, sent = Encoder(tokenizer), set()
+            encoder, sent = per_worker(tokenizer, lambda: Encoder(tokenizer)), set()
             for batch in batches:
                 rows: list[tuple] = []
                 for doc, ids in zip(batch.column(0), encoder.ids(batch.column(1).to_pylist()), strict=True):
@@ -205,7 +251,8 @@ class TokenStore:
         return self.spark.read.parquet(f"{self.path}/recipes")
 
     def chunks(self) -> DataFrame:
-        return self.spark.read.schema("key binary, data binary").parquet(f"{self.path}/parts/kind=chunk").select(F.col("key").alias("chunk"), "data")
+        parts = self.spark.read.schema("kind string, key binary, data binary").parquet(f"{self.path}/parts")
+        return parts.where("kind = 'chunk'").select(F.col("key").alias("chunk"), "data")
 
     def leaves(self) -> DataFrame:
         """Hash over the roots of each block of ``LEAF`` documents of a range, in order."""
