@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidewell.llm import decontaminate, langid, mixing, simhash
+from tidewell.llm import decontaminate, langid, mixing, nearcopies, simhash
 from tidewell.llm.common import Table
 from tidewell.llm.tokenstore import TokenStore
 
@@ -19,7 +19,7 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each component of near-duplicates."""
+    """One document of each component of fingerprints within 2 bits: copies, and few near copies (``mix`` has the rest)."""
     return simhash.keep_one(docs)
 
 
@@ -29,8 +29,8 @@ def clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Sources at their target weights: rows as often as the mix takes them."""
-    return mixing.mixed(docs)
+    """Sources at their target weights: rows as often as the mix takes them, of one document of each component of near copies."""
+    return mixing.mixed(Table(nearcopies.keep_one(docs), "one_of_near").df)
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -269,9 +269,14 @@ def keep_one(docs: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
     component, one of the smallest fingerprint stays.
     """
     rows = Table(fingerprints(docs), "fingerprints").df
+    return keep_firsts(docs, rows, _named(rows, threshold), fingerprint)
+
+
+def keep_firsts(docs: DataFrame, rows: DataFrame, named: DataFrame, of) -> DataFrame:
+    """The first row of each component. ``rows``: doc_id, fp; ``named``: fp, root; ``of`` a text is its fp, unsigned."""
     order = F.struct(F.col("doc_id").isNull(), "doc_id", "fp")
     firsts = rows.groupBy("fp").agg(F.min(order).alias("first"))
-    placed = _named(rows, threshold).join(firsts, "fp")
+    placed = named.join(firsts, "fp")
     best = placed.groupBy("root").agg(F.min("first").alias("first"))
     kept = Table(best.select(F.col("first.doc_id").alias("kept_id"), F.col("first.fp").alias("kept_fp")), "kept").df
     same = (F.col("__fp") == F.col("kept_fp")) & F.col("doc_id").eqNullSafe(F.col("kept_id"))
@@ -282,7 +287,7 @@ def keep_one(docs: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            prints = np.array([fingerprint(t) for t in batch.column(at).to_pylist()], dtype=np.uint64).view(np.int64)
+            prints = np.array([of(t) for t in batch.column(at).to_pylist()], dtype=np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(prints)], [*batch.schema.names, "__fp"])
 
     printed = docs.mapInArrow(run, StructType([*docs.schema.fields, StructField("__fp", LongType())]))
