@@ -114,6 +114,15 @@ def test_near_pairs_equal_all_pairs(spark):
     assert got == want
 
 
+def test_pairs_and_classes_hold_equal_titles(spark):
+    names = ["small red ring", "small red rings", "Small  red RING", "big blue bolt", "--", "--", "", None, "small red ring"]
+    df = spark.createDataFrame(list(enumerate(names)), "k int, n string")
+    classes = dedup.title_classes(df, "k", "n").collect()
+    assert sorted((r.k, r.first, r.n) for r in classes) == [(0, 0, 3), (1, 1, 1), (2, 0, 3), (3, 3, 1), (8, 0, 3)]
+    got = {(r.a, r.b) for r in dedup.near_pairs(df, "k", "n").collect()} | {(a.k, b.k) for a in classes for b in classes if a.k < b.k and a.first == b.first}
+    assert got == {(0, 1), (0, 2), (0, 8), (1, 2), (1, 8), (2, 8)}
+
+
 @pytest.mark.parametrize("name", ["tidewell.plans", "__spark_entry__"])
 def test_imports(name):
     __import__(name)

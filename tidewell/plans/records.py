@@ -127,6 +127,12 @@ def x16_near_dup_pairs(t: Tables) -> DataFrame:
     return D.near_pairs(t.part, "p_partkey", "p_name", ["p_brand", "p_type"], 0.75)
 
 
+@query(f"""WITH g AS (SELECT p_partkey, lower(p_name) AS title, p_brand, p_type FROM part WHERE p_partkey IS NOT NULL AND len({_T}) > 0)
+SELECT p_partkey, title, min(p_partkey) OVER (PARTITION BY title) AS first, count(*) OVER (PARTITION BY title) AS n, p_brand, p_type FROM g""")
+def x16_title_classes(t: Tables) -> DataFrame:
+    return D.title_classes(t.part, "p_partkey", "p_name", ["p_brand", "p_type"])
+
+
 @query("WITH f AS (SELECT lower(p_name) AS n, p_brand, min(p_partkey) AS a FROM part GROUP BY 1, 2 HAVING count(*) > 1) SELECT a, p_partkey AS b FROM part JOIN f ON lower(p_name) = n AND part.p_brand IS NOT DISTINCT FROM f.p_brand WHERE p_partkey <> a")
 def j04_same_context_pairs(t: Tables) -> DataFrame:
     return D.same_context_pairs(t.part, "p_partkey", "p_name", ["p_brand"])
