@@ -50,3 +50,8 @@ def test_filters_and_columns_reach_the_scan(spark, sf_dir):
     plan = QUERIES["j10_semi_anti"](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
     assert "PushedFilters: [IsNotNull(o_orderstatus), EqualTo(o_orderstatus,P)" in plan
     assert "o_orderdate" not in plan
+
+
+def test_each_document_has_a_snippet(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    assert sorted(r.doc_id for r in QUERIES["r18_snippet_of_each"](spark, sf_dir).collect()) == sorted(r.doc_id for r in docs.select("doc_id").collect())

@@ -150,6 +150,11 @@ def r18_snippet_window(t: Tables) -> DataFrame:
     return docs.select("doc_id", (F.locate("idiot", F.lower("text")) > 0).alias("matched"), R.snippet(F.col("text"), "idiot").alias("piece"))
 
 
+@query("""SELECT doc_id, instr(lower(text), 'idiot') > 0 AS matched, CASE WHEN instr(lower(text), 'idiot') > 0 THEN substr(text, greatest(1, instr(lower(text), 'idiot') - 180), 360) ELSE substr(text, 1, 360) END AS piece FROM documents""")
+def r18_snippet_of_each(t: Tables) -> DataFrame:
+    return t.documents.select("doc_id", (F.locate("idiot", F.lower("text")) > 0).alias("matched"), R.snippet(F.col("text"), "idiot").alias("piece"))
+
+
 @query("""WITH e AS (SELECT user_id AS id, value >= 50 AS matched, round(value, 4) AS score, CASE event_type WHEN 'purchase' THEN 0 WHEN 'click' THEN 10 ELSE 20 END AS priority, event_id AS piece FROM events)
 SELECT id, matched, score, priority, piece FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY matched DESC, score DESC, priority, piece) AS k FROM e) WHERE k = 1""")
 def q02_best_evidence(t: Tables) -> DataFrame:
