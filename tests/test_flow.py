@@ -48,6 +48,12 @@ def test_merge_chain_and_cycle(spark):
     assert rows(dedup.final_of_chain(edges, nodes)) == [(1, 3), (2, 3), (3, 3), (4, 4), (7, None), (8, None)]
 
 
+def test_long_merge_chain(spark):
+    edges = spark.createDataFrame([(k, k + 1) for k in range(100)] + [(200, 201), (201, 202), (202, 200)], "id int, into int")
+    nodes = spark.createDataFrame([(k,) for k in [*range(101), 200, 201, 202]], "id int")
+    assert rows(dedup.final_of_chain(edges, nodes)) == sorted([(k, 100) for k in range(101)] + [(200, None), (201, None), (202, None)], key=str)
+
+
 def test_robust_stats_of_small_groups(spark):
     df = spark.createDataFrame([("a", 1.0), ("b", 2.0), ("b", 2.0), ("c", 1.0), ("c", 2.0), ("c", 4.0), ("c", 10.0), ("d", None)], "k string, v double")
     got = {r.k: r for r in confidence.robust_stats(df, ["k"], "v").collect()}
