@@ -65,9 +65,13 @@ class Table:
         delete(self.spark, self.path)
 
 
-def bounded_batches(spark: SparkSession, rows: int = 1000) -> None:
-    """Arrow batches of so many rows at most: long texts stay within a worker's memory."""
+def bounded_batches(spark: SparkSession, rows: int = 10_000, data: str = "4m") -> None:
+    """Arrow batches of so many rows and so many bytes at most: long texts stay within a worker's memory.
+
+    Every operator asks for the same bounds, so what one sets holds for plans of another that run later.
+    """
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", data)
 
 
 def per_worker(key, make):

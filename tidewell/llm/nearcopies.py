@@ -125,7 +125,7 @@ def _edges(pairs) -> pa.RecordBatch:
 
 def clusters(prints: DataFrame) -> Table:
     """(node, root) of the nodes that share a bucket, by chains. ``prints``: node, bands."""
-    bounded_batches(prints.sparkSession, 10_000)
+    bounded_batches(prints.sparkSession)
 
     def meet(batches):
         out, key, lead = [], None, None

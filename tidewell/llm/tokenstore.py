@@ -6,29 +6,33 @@ has three Parquet tables in one folder:
 
 * ``parts/kind=chunk``: hash (BLAKE2b, 16 bytes) and ids (little-endian, 2 bytes each if they
   fit, else 4; the first byte says which), each distinct chunk once;
-* ``recipes``: in ascending doc_id order, the document's chunk hashes, its Merkle root over
-  them, its number of ids and its range of the order;
-* ``manifest``: per range and block of documents the hash over their roots.
+* ``recipes``: in ascending doc_id order, file by file and row by row, the document's chunk
+  hashes, its Merkle root over them, its number of ids, its start and its range of the order;
+* ``manifest``: hashes of blocks of recipe rows (doc_id, start, n_tokens, root), of ranges over
+  their blocks, and of the store over its ranges: the Merkle tree's upper levels.
 
 Reading checks each chunk's hash, each document's root and the manifest over all recipes. The order's prefix sums run per range (see ``common``).
 """
 
 from __future__ import annotations
 
+import json
 import os
+import re
 import zlib
 from array import array
 from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import Table, bounded_batches, delete, per_worker, shared_dir, with_prefix_sum, words
+from .common import Table, bounded_batches, delete, per_worker, shared_dir, with_prefix_sum
 
 END, WINDOW, LEAST, MEAN_BITS, MOST, LEAF = 1, 16, 64, 9, 4096, 4096
-CACHE = 250_000  # words (twice) and, twice as many and more, stems whose ids a worker remembers: about 200 MB
+CACHE = 500_000  # words (twice) whose ids a worker remembers: about 200 MB
 _BASE = 0x9E3779B97F4A7C15
 
 
@@ -38,60 +42,89 @@ def default_tokenizer() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
-def _parts(word: str) -> tuple[str, str]:
-    """A Latin-1 word of letters in lower case, and one sign after it; anything else stays whole.
-
-    The tokenizer lower-cases letter by letter and parts letters from signs, so the ids of such
-    a word are those of its parts one after the other.
-    """
-    if word and max(word) < "\u0100":
-        stem, sign = (word[:-1], word[-1]) if word[-1] in ".,;:!?" else (word, "")
-        if stem.isalpha():
-            return stem.lower(), sign
-    return word, ""
+# Anything but printable ASCII without the apostrophe and "<", and the letters of Latin-1: of words
+# without such characters the tokenizer's pieces are the runs of letters, single digits and runs
+# of signs of the word in lower case.
+_ODD = re.compile("[^\x21-\x26\x28-\x3b\x3d-\x7e\u00aa\u00b5\u00ba\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]").search
+_KIND = np.array([0 if b == 0x0A else 1 if 0x61 <= b <= 0x7A or b >= 0x80 else 2 if 0x30 <= b <= 0x39 else 3 for b in range(256)], dtype=np.uint8)
 
 
 class Encoder:
     """Ids of whole texts. The tokenizer's pieces never span white space, so ids of words are remembered.
 
-    Words seen since the last time the memory was full survive it, so frequent ones stay.
+    A batch of texts is split and its different words numbered by Arrow; only those are looked
+    up or learned, and the ids of all texts are gathered by their numbers. Words seen since the
+    last time the memory was full survive it, so frequent ones stay.
     """
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.known: dict[bytes, bytes] = {}
-        self.older: dict[bytes, bytes] = {}
-        self.stems: dict[str, bytes] = {}
-
-    def _learn(self, new: list[bytes]) -> None:
-        rest = []
-        for w in new:
-            ids = self.older.get(w)
-            if ids is None:
-                rest.append((w, *_parts(w.decode("utf-8", "surrogatepass"))))
-            else:
-                self.known[w] = ids
-        stems = self.stems
-        missing = list({x for _, stem, sign in rest for x in (stem, sign) if x and x not in stems})
-        for at in range(0, len(missing), 10_000):
-            part = missing[at : at + 10_000]
-            for x, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True):
-                stems[x] = array("I", e.ids).tobytes()
-        for w, stem, sign in rest:
-            self.known[w] = stems[stem] + stems[sign] if sign else stems[stem]
-
-    def ids(self, texts: list[str | None]) -> list[np.ndarray]:
+        # the same model for pieces that need no normalising: many at once, between spaces
+        self.pieces = Tokenizer(self.tokenizer.model)
+        self.pieces.pre_tokenizer = pre_tokenizers.Sequence(
+            [pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)]
+        )
+        suffix = json.loads(self.tokenizer.to_str())["model"]["end_of_word_suffix"]
+        vocabulary = self.tokenizer.get_vocab()
+        self.last = np.zeros(max(vocabulary.values()) + 1, dtype=bool)  # ids that end a piece
+        self.last[[k for token, k in vocabulary.items() if token.endswith(suffix)]] = True
+        self.known: dict[str, bytes] = {"": b""}
+        self.older: dict[str, bytes] = {}
+
+    def _plain(self, new: list[str]) -> list[bytes]:
+        """Ids of words without odd characters: all pieces at once, between spaces, put together by their number a word."""
+        data = np.frombuffer("\n".join(new).lower().encode(), dtype=np.uint8)
+        kind = _KIND[data]
+        first = np.r_[True, kind[1:] != kind[:-1]] & (kind > 0) | (kind == 2)
+        pieces = np.add.reduceat(first, np.r_[0, np.flatnonzero(kind == 0) + 1], dtype=np.int64)
+        spaced = np.insert(data, np.flatnonzero(first), 0x20).tobytes().decode()
+        ids = np.array(self.pieces.encode_batch_fast([spaced], add_special_tokens=False)[0].ids, dtype="<u4")
+        ends = np.flatnonzero(self.last[ids]) + 1
+        if len(ends) != pieces.sum():
+            raise ValueError("the tokenizer does not mark the ends of pieces")
+        ends = (4 * ends[np.cumsum(pieces) - 1]).tolist()
+        data = ids.tobytes()
+        return [data[a:b] for a, b in zip([0, *ends], ends, strict=False)]
+
+    def _learn(self, new: list[str]) -> None:
+        known, older = self.known, self.older
+        if older:
+            known.update((w, older[w]) for w in new if w in older)
+            new = [w for w in new if w not in older]
+        odd = [w for w in new if _ODD(w)]
+        plain = [w for w in new if not _ODD(w)] if odd else new
+        for at in range(0, len(plain), 8192):
+            part = plain[at : at + 8192]
+            known.update(zip(part, self._plain(part), strict=True))
+        for at in range(0, len(odd), 8192):
+            part = odd[at : at + 8192]
+            for w, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True):
+                known[w] = array("I", e.ids).tobytes()
+
+    def ids(self, texts: pa.Array) -> list[np.ndarray]:
+        """Ids of each text (null: none) and the end id."""
         if len(self.known) > CACHE:
-            self.known, self.older = {}, self.known
-        if len(self.stems) > 5 * CACHE // 2:
-            self.stems = {}
-        split = [words(t) for t in texts]
-        self._learn(list(set().union(*split).difference(self.known)))
-        known, end = self.known, array("I", [END]).tobytes()
-        return [np.frombuffer(b"".join([known[w] for w in ws]) + end, dtype="<u4") for ws in split]
+            self.known, self.older = {"": b""}, self.known
+        lists = pc.ascii_split_whitespace(pc.fill_null(pa.array(texts, pa.string()), ""))
+        numbered = lists.flatten().dictionary_encode()
+        different = numbered.dictionary.to_numpy(zero_copy_only=False).tolist()
+        blobs = list(map(self.known.get, different))
+        if None in blobs:
+            self._learn([w for w, x in zip(different, blobs, strict=True) if x is None])
+            blobs = [self.known[w] if x is None else x for w, x in zip(different, blobs, strict=True)]
+        pool = np.frombuffer(b"".join(blobs), dtype="<u4")
+        length = np.fromiter(map(len, blobs), dtype=np.int64, count=len(blobs)) // 4
+        start = np.cumsum(length) - length
+        word = numbered.indices.to_numpy()
+        own = length[word]
+        after = np.cumsum(own)
+        ends = np.r_[0, after][np.cumsum(lists.value_lengths().to_numpy())] if len(lists) else []
+        ids = pool[np.repeat(start[word] - (after - own), own) + np.arange(int(own.sum()))]
+        end = np.array([END], dtype="<u4")
+        return [np.concatenate([ids[a:b], end]) for a, b in zip([0, *ends], ends, strict=False)]
 
 
 def _powers() -> tuple[np.ndarray, np.ndarray]:
@@ -207,7 +240,7 @@ class TokenStore:
             encoder, sent = per_worker(tokenizer, lambda: Encoder(tokenizer)), set()
             for batch in batches:
                 rows: list[tuple] = []
-                for doc, ids in zip(batch.column(0), encoder.ids(batch.column(1).to_pylist()), strict=True):
+                for doc, ids in zip(batch.column(0), encoder.ids(batch.column(1)), strict=True):
                     own, start = [], 0
                     for end in cuts(ids):
                         data = pack(ids[start:end])
@@ -224,23 +257,25 @@ class TokenStore:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)] if rows else [pa.array([], t) for t in types], names)
 
         def once(batches):
-            seen: set[bytes] = set()
+            """Rows come sorted by kind and key: a chunk that equals its neighbour before is a copy."""
+            last = None
             for batch in batches:
-                keep = []
-                for kind, key in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                    keep.append(kind == "recipe" or key not in seen)
-                    if kind == "chunk":
-                        seen.add(key)
-                yield batch.filter(pa.array(keep, pa.bool_()))
+                if not len(batch):
+                    continue
+                kind, key = batch.column(0), batch.column(1)
+                before = pa.concat_arrays([pa.array([last], pa.binary()), key.slice(0, len(key) - 1)])
+                last = key[-1].as_py()
+                yield batch.filter(pc.or_(pc.equal(kind, "recipe"), pc.fill_null(pc.not_equal(key, before), True)))
 
         doc_type = docs.schema["doc_id"].dataType.simpleString()
         schema = f"kind string, key binary, data binary, doc_id {doc_type}, n_tokens long, recipe array<binary>"
-        rows = docs.select("doc_id", "text").mapInArrow(encode, schema).repartition("key").mapInArrow(once, schema)
+        rows = docs.select("doc_id", "text").mapInArrow(encode, schema).repartition("key").sortWithinPartitions("kind", "key").mapInArrow(once, schema)
         rows.write.partitionBy("kind").parquet(f"{path}/parts")
         parts = spark.read.schema(schema).parquet(f"{path}/parts")
         recipes = parts.where("kind = 'recipe'").select("doc_id", F.col("data").alias("root"), "n_tokens", "recipe")
         ordered = with_prefix_sum(recipes, ["doc_id", "root"], "n_tokens", "start", "recipes", range_as="range")
-        ordered.df.write.parquet(f"{path}/recipes")
+        # ranges were dealt to tasks by hash for the sums: files in ascending order need ranges dealt in order
+        ordered.df.repartitionByRange("doc_id", "root").sortWithinPartitions("doc_id", "root").write.parquet(f"{path}/recipes")
         ordered.drop()
         delete(spark, f"{path}/parts/kind=recipe")
         store = TokenStore(spark, path)
@@ -255,12 +290,24 @@ class TokenStore:
         return parts.where("kind = 'chunk'").select(F.col("key").alias("chunk"), "data")
 
     def leaves(self) -> DataFrame:
-        """Hash over the roots of each block of ``LEAF`` documents of a range, in order."""
+        """level, range, block, hash, documents: of each block of ``LEAF`` recipe rows, of each range, of the store.
+
+        A block's hash binds its rows' doc_id, start, number of ids and root, in order; a range's
+        its blocks' hashes; the store's its ranges' hashes (as many as there are ranges).
+        """
         order = Window.partitionBy("range").orderBy(F.col("doc_id").asc_nulls_first(), "root")
-        numbered = self.recipes().select("range", "root", F.row_number().over(order).alias("n"))
-        numbered = numbered.withColumn("block", F.floor((F.col("n") - 1) / LEAF))
-        joined = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("n", "root"))), lambda x: F.hex(x["root"])), "")
-        return numbered.groupBy("range", "block").agg(F.sha2(joined, 256).alias("leaf"), F.count("*").alias("documents"))
+        row = F.sha2(F.to_json(F.struct(F.col("doc_id").cast("string").alias("d"), "start", "n_tokens", F.hex("root").alias("r"))), 256)
+        numbered = self.recipes().select("range", row.alias("hash"), F.row_number().over(order).alias("n"))
+        numbered = numbered.withColumns({"block": F.floor((F.col("n") - 1) / LEAF), "documents": F.lit(1).cast("long")})
+
+        def over(rows: DataFrame, level: str, place: str, keys: list[str]) -> DataFrame:
+            told = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct(place, "hash"))), lambda x: x["hash"]), "")
+            return rows.groupBy(*keys).agg(F.sha2(told, 256).alias("hash"), F.sum("documents").alias("documents")).withColumn("level", F.lit(level))
+
+        blocks = over(numbered, "block", "n", ["range", "block"])
+        ranges = over(blocks, "range", "block", ["range"])
+        whole = over(ranges, "store", "range", [])
+        return blocks.unionByName(ranges, allowMissingColumns=True).unionByName(whole, allowMissingColumns=True)
 
     def verify(self) -> None:
         """Raises if the recipes are not those of the manifest."""
