@@ -188,32 +188,29 @@ def merkle(leaves: list[bytes]) -> bytes:
 _X = 0xEDB88320  # the CRC-32 polynomial, bits reversed
 
 
-def _times(a: int, b: int) -> int:
-    """Product of two polynomials modulo the CRC's, bits reversed (bit 31 is x**0)."""
-    out = 0
+def _times(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Products of pairs of polynomials modulo the CRC's, bits reversed (bit 31 is x**0)."""
+    a, b = np.array(a, dtype=np.uint32), np.array(b, dtype=np.uint32)
+    out = np.zeros(np.broadcast(a, b).shape, dtype=np.uint32)
     for bit in range(31, -1, -1):
-        if a >> bit & 1:
-            out ^= b
-        b = b >> 1 ^ (_X if b & 1 else 0)
+        out ^= np.where(a >> np.uint32(bit) & np.uint32(1), b, np.uint32(0))
+        b = b >> np.uint32(1) ^ np.where(b & np.uint32(1), np.uint32(_X), np.uint32(0))
     return out
 
 
-class CrcJoin:
-    """crc32 of a concatenation from its parts' crc32 and lengths: crc(a + b) = crc(a) * x**(8 |b|) + crc(b)."""
+def shifted(crcs: np.ndarray, after: np.ndarray) -> np.ndarray:
+    """Each crc32 times x**(8 * bytes that come after): what its part adds to the crc32 of the whole.
 
-    def __init__(self):
-        self.shift: dict[int, int] = {}
-
-    def __call__(self, first: int, second: int, length: int) -> int:
-        if length not in self.shift:
-            power, square, n = 1 << 31, 1 << 23, length  # 1 and x**8
-            while n:
-                if n & 1:
-                    power = _times(square, power)
-                square = _times(square, square)
-                n >>= 1
-            self.shift[length] = power
-        return _times(self.shift[length], first) ^ second
+    crc(a + b) = crc(a) * x**(8 |b|) + crc(b), so a whole's checksum is the sum (xor) over its parts.
+    """
+    different, place = np.unique(np.asarray(after, dtype=np.int64), return_inverse=True)
+    power = np.full(len(different), 1 << 31, dtype=np.uint32)
+    square, left = np.uint32(1 << 23), different.copy()  # x**8
+    while left.any():
+        odd = (left & 1).astype(bool)
+        power[odd] = _times(power[odd], square)
+        square, left = _times(square, square)[()], left >> 1
+    return _times(power[place], crcs)
 
 
 class TokenStore:
@@ -312,8 +309,8 @@ class TokenStore:
     def verify(self) -> None:
         """Raises if the recipes are not those of the manifest."""
         kept = self.spark.read.parquet(f"{self.path}/manifest")
-        here = self.leaves()
-        wrong = kept.exceptAll(here).count() + here.exceptAll(kept).count()
+        sides = kept.withColumn("side", F.lit(1)).unionByName(self.leaves().withColumn("side", F.lit(-1)))
+        wrong = sides.groupBy("level", "range", "block", "hash", "documents").agg(F.sum("side").alias("n")).where("n <> 0").count()
         if wrong:
             raise ValueError(f"{wrong} blocks of the manifest do not match the recipes")
 
@@ -338,17 +335,23 @@ class TokenStore:
                 yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(crcs, pa.int64()), pa.array(counts, pa.int64())], ["chunk", "crc", "n"])
 
         def rebuild(batches):
-            join = CrcJoin()
             for batch in batches:
-                crcs, counts = [], []
-                for root, parts in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                    if merkle([p["chunk"] for p in parts]) != root or any(p["n"] is None for p in parts):
-                        raise ValueError(f"document {root.hex()} lacks chunks or does not match its root")
-                    crc = 0
-                    for p in parts:
-                        crc = join(crc, p["crc"], 4 * p["n"])
-                    crcs.append(crc)
-                    counts.append(sum(p["n"] for p in parts))
+                lists, roots = batch.column(1), batch.column(0).to_pylist()
+                flat, ends = lists.flatten(), np.cumsum(lists.value_lengths().to_numpy())
+                chunks, n = flat.field("chunk").to_pylist(), flat.field("n")
+                if n.null_count:
+                    raise ValueError(f"{n.null_count} chunks are missing")
+                starts = np.r_[0, ends[:-1]].astype(np.int64) if len(ends) else np.empty(0, np.int64)
+                for root, a, b in zip(roots, starts.tolist(), ends.tolist(), strict=True):
+                    if merkle(chunks[a:b]) != root:
+                        raise ValueError(f"document {root.hex()} does not match its root")
+                total = np.cumsum(n.to_numpy())
+                whole = np.repeat(total[ends - 1], ends - starts)
+                crcs, counts = np.zeros(0, np.int64), np.zeros(0, np.int64)
+                if len(ends):
+                    parts = shifted(flat.field("crc").to_numpy().astype(np.uint32), 4 * (whole - total))
+                    crcs = np.bitwise_xor.reduceat(parts, starts).astype(np.int64)
+                    counts = np.add.reduceat(n.to_numpy(), starts)
                 yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(crcs, pa.int64()), pa.array(counts, pa.int64())], ["root", "ids_crc32", "n_ids"])
 
         recipes = self.recipes()
