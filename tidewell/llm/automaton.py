@@ -242,13 +242,6 @@ def _minimal(table: np.ndarray, accepts: list[tuple[int, ...]], class_of: bytes)
     )
 
 
-    name: str
-    pattern: str
-    fold_case: bool = False
-    least: int = 1  # bytes of the whole match, or of what follows ``value_after``; shorter matches are dropped
-    value_after: str = ""  # characters of which the last one outside the value's own class ends the prefix
-
-
 class Scanner:
     """All rules in one pass over the bytes.
 
@@ -257,11 +250,17 @@ class Scanner:
     match starts and how far the longest goes. For rules whose first ending belongs to their
     leftmost match (no rule's separator may contain another match of itself) this equals
     leftmost-longest, non-overlapping matching per rule, in one pass whatever their number.
+
+    The combined automaton knows nothing of matches already taken, so it may tell of one that
+    begins inside the last. The rule's own automaton, started where that ended, then finds the
+    next ending that counts, and the rule is not looked at before it: each byte is read a
+    bounded number of times for each rule, so the time is in proportion to the text.
     """
 
     def __init__(self, patterns: list[tuple[str, bool]]):
         trees = [_Parser(p, fold).parse() for p, fold in patterns]
         self.combined = compile_dfa(trees, anywhere=True)
+        self.alone = [compile_dfa([t], anywhere=True) for t in trees]
         self.forward = [compile_dfa([t], anywhere=False) for t in trees]
         self.backward = [compile_dfa([_reverse(t)], anywhere=False) for t in trees]
 
@@ -270,17 +269,20 @@ class Scanner:
         dfa = self.combined
         step, state, accepting, rules = dfa.step, dfa.start, dfa.accepting, dfa.rules
         used = [0] * len(self.forward)
+        quiet = [0] * len(self.forward)  # no ending before this place counts
         found = []
         for at, c in enumerate(data.translate(dfa.class_of)):
             state = step[state + c]
             if state >= accepting:
                 for rule in rules[state]:
-                    if at < used[rule]:
+                    if at < quiet[rule]:
                         continue
                     start = self._start(rule, data, at + 1, used[rule])
                     if start >= 0:
-                        used[rule] = self._end(rule, data, start)
+                        quiet[rule] = used[rule] = self._end(rule, data, start)
                         found.append((rule, start, used[rule]))
+                    else:
+                        quiet[rule] = self._next(rule, data, used[rule])
         return found
 
     def _start(self, rule: int, data: bytes, end: int, floor: int) -> int:
@@ -294,6 +296,16 @@ class Scanner:
                 break
         return best
 
+    def _next(self, rule: int, data: bytes, floor: int) -> int:
+        """The last byte of the first match that begins at ``floor`` or later; the text's length if there is none."""
+        dfa = self.alone[rule]
+        state, class_of, step = dfa.start, dfa.class_of, dfa.step
+        for at in range(floor, len(data)):
+            state = step[state + class_of[data[at]]]
+            if state >= dfa.accepting:
+                return at
+        return len(data)
+
     def _end(self, rule: int, data: bytes, start: int) -> int:
         dfa, best = self.forward[rule], start
         state, class_of, step = dfa.start, dfa.class_of, dfa.step

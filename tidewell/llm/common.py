@@ -2,8 +2,9 @@
 
 Conventions used by every operator here
 ---------------------------------------
-* Inputs are plain DataFrames with at least the named columns; further columns
-  are ignored (the output never carries them, so clashing names cannot occur).
+* Inputs are plain DataFrames with at least the named columns. Operators that answer per
+  document ignore further columns; stages that pass rows on keep them all, and name columns
+  of their own by ``private``, so that no name can clash.
 * A null text counts as the empty text unless an operator states otherwise.
 * Intermediate tables go to the folder named by ``spark.checkpoint.dir``, which
   all executors and the driver share; a lost executor costs a re-read, no more.
@@ -74,6 +75,16 @@ def bounded_batches(spark: SparkSession, rows: int = 10_000, data: str = "4m") -
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", data)
 
 
+def private(df: DataFrame, *names: str) -> list[str]:
+    """The names, each with as many leading underscores as keep it apart from the columns of ``df`` (in any case)."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name = f"_{name}"
+        out.append(name)
+    return out
+
+
 def per_worker(key, make):
     """What ``make()`` gave the first time in this worker process: kept from task to task."""
     import sys

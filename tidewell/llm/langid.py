@@ -19,11 +19,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches
+from .common import Table, bounded_batches
 
 BUCKETS = 4096
 SAMPLE = 4096  # labelled rows the classifier is fitted on, over all languages; a documented bound
 UNKNOWN = "und"
+LEAST_SCORE = 0.3  # a stage rejects what scores less; two undecided choices, of a family and within it, score 0.25
 
 # Bytes that are kept: letters of ASCII and all bytes of longer characters.
 _BLANK = bytes(b if 0x61 <= b <= 0x7A or b >= 0x80 else 0x20 for b in range(256))
@@ -88,12 +89,13 @@ class Model:
     pairs: tuple[tuple[int, int], ...]
 
     @staticmethod
-    def fit(texts: list[str], labels: list[str]) -> Model:
+    def fit(x: np.ndarray, labels: list[str]) -> Model:
+        """``x``: a profile in each row."""
         languages = tuple(sorted(set(labels)))
         if not languages:
             return Model((), (), np.zeros((0, BUCKETS), np.float32), np.zeros(0), ())
-        y = np.array([languages.index(x) for x in labels])
-        x = np.stack([profile(t) for t in texts])
+        place = {name: k for k, name in enumerate(languages)}
+        y = np.array([place[x] for x in labels])
         scale = (1.0 / np.sqrt(x.mean(0) + 1e-5)).astype(np.float32)
         x *= scale  # frequent bins would drown the rest
         groups = families(np.stack([x[y == k].mean(0) for k in range(len(languages))]))
@@ -141,22 +143,38 @@ def held_out(doc_id) -> F.Column:
 def fit(docs: DataFrame, sample: int = SAMPLE) -> Model:
     """Fits on about ``sample`` labelled rows outside the held-out part, evenly over languages.
 
-    The counts of labels cover all rows; the rows used are those whose id's hash falls below
-    a share chosen per language, so reruns use the same ones.
+    ``sample`` bounds the labelled rows that are used (twice as many at most) and nothing else:
+    labels are counted over all rows, every label has its even share of the sample, and the rows
+    used are those whose id's hash falls below a share chosen per label, so reruns use the same
+    ones. Profiles of whole texts are taken where the rows are; the driver holds one of fixed
+    size for each row of the sample, however long the texts.
     """
+    spark = docs.sparkSession
+    bounded_batches(spark)
     known = docs.where(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & F.col("text").isNotNull() & ~held_out(F.col("doc_id")))
-    counts = known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(256).collect()
-    if not counts:
-        return Model.fit([], [])
-    each = max(1, sample // len(counts))
-    buckets = 1 << 20
-    chosen = F.lit(False)
-    for r in counts:
-        share = min(buckets, int(buckets * each / r["count"]) + 1)
-        chosen = chosen | ((F.col("lang") == r.lang) & (F.pmod(F.xxhash64("doc_id"), F.lit(buckets)) < share))
-    rows = known.where(chosen).select("lang", "text", "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id", "text").limit(2 * sample)
-    rows = [r for r in rows.select("lang", "text").toLocalIterator() if has_letter(r.text)]
-    return Model.fit([r.text for r in rows], [r.lang for r in rows])
+    counts = Table(known.groupBy("lang").agg(F.count("*").alias("n")), "labels").df  # written: its size is known to the join
+    languages = counts.count()
+    if not languages:
+        return Model.fit(np.zeros((0, BUCKETS), np.float32), [])
+    buckets, each = 1 << 20, max(1, sample // languages)
+    place = F.pmod(F.xxhash64("doc_id"), F.lit(buckets))
+    shares = counts.select(F.col("lang").alias("label"), F.least(F.lit(buckets), F.floor(F.lit(buckets * each) / F.col("n")) + 1).alias("share"))
+    rows = known.select("lang", "text", "doc_id").join(shares, F.col("lang") == F.col("label")).where(place < F.col("share"))
+
+    def run(batches):
+        for batch in batches:
+            kept = [k for k, t in enumerate(batch.column(1).to_pylist()) if has_letter(t)]
+            texts = batch.column(1).take(pa.array(kept, pa.int64())).to_pylist()
+            profiles = pa.array([profile(t).tobytes() for t in texts], pa.binary())
+            at = pa.array(kept, pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(at), profiles, batch.column(2).take(at)], ["lang", "profile", "doc_id"])
+
+    doc_type = docs.schema["doc_id"].dataType.simpleString()
+    profiles = rows.mapInArrow(run, f"lang string, profile binary, doc_id {doc_type}")
+    order = [F.xxhash64("doc_id"), "doc_id", "lang", "profile"]
+    taken = [(r["lang"], np.frombuffer(r["profile"], dtype=np.float32)) for r in profiles.orderBy(*order).limit(2 * sample).toLocalIterator()]
+    x = np.stack([p for _, p in taken]) if taken else np.zeros((0, BUCKETS), np.float32)
+    return Model.fit(x, [lang for lang, _ in taken])
 
 
 def identify(docs: DataFrame, model: Model) -> DataFrame:
@@ -185,13 +203,24 @@ def op3_language_id(spark, sf_dir) -> DataFrame:
     return identify(docs, fit(docs))
 
 
-def keep_identified(docs: DataFrame, model: Model) -> DataFrame:
-    """The rows of ``docs`` whose language was told, unchanged; those of no language go."""
+def keep_identified(docs: DataFrame, model: Model, least: float = LEAST_SCORE) -> DataFrame:
+    """The rows of ``docs`` whose language was told with a score of ``least`` or more, unchanged; the others go.
+
+    Null and empty texts and those without a letter go; repeated rows go or stay together. Of a
+    model that has learned nothing (no labelled row) all texts with a letter stay. An empty
+    table gives an empty one; all columns are kept as they are, whatever their names.
+    """
     bounded_batches(docs.sparkSession)
     at = docs.columns.index("text")
 
+    def told(text: str | None) -> bool:
+        if not model.languages:
+            return has_letter(text)
+        language, score = model.predict(text)
+        return language != UNKNOWN and score >= least
+
     def run(batches):
         for batch in batches:
-            yield batch.filter(pa.array([model.predict(t)[0] != UNKNOWN for t in batch.column(at).to_pylist()], pa.bool_()))
+            yield batch.filter(pa.array([told(t) for t in batch.column(at).to_pylist()], pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)

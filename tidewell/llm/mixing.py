@@ -1,9 +1,11 @@
 """Operator 5: mixing sources to target weights by cube-method balanced sampling.
 
 Every document of a source is taken ``floor(target / size of the source)`` times; the fraction
-that is left is its probability of one more time. The cube method moves these probabilities
-along vectors of the null-space of the balancing constraints (tokens and documents of the
-source) until each is 0 or 1, except for a few: the landing problem.
+that is left is its probability of one more time. Of ``n`` equal rows, ``n`` times that fraction
+is expected: its whole part is taken for sure, and one unit decides by the part that is left.
+The cube method moves these probabilities along vectors of the null-space of the balancing
+constraints (tokens and documents of the source) until each is 0 or 1, except for a few: the
+landing problem.
 
 Distribution: a flight runs inside each (source, block), blocks being hash ranges of bounded
 size, and leaves at most two undecided documents each; those form the next level's blocks,
@@ -15,10 +17,10 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Table, bounded_batches, with_prefix_sum, word_count
+from .common import Table, bounded_batches, private, with_prefix_sum, word_count
 
 BLOCK = 8192
 MOST = 3
@@ -126,13 +128,8 @@ def _level(last: bool):
     return run
 
 
-def decisions(docs: DataFrame, block: int = BLOCK, most: int = MOST) -> DataFrame:
-    """doc_id, source, h (hash of the text), size, n (equal rows), source_size, target, copies.
-
-    One row for each distinct (doc_id, source, text); equal rows share a decision. ``copies`` is
-    how often the mix takes each of them. Sizes are words of whole texts, 0 for null. An empty
-    table gives none; a source without words has target 0 and is not taken.
-    """
+def _totals(docs: DataFrame, block: int, most: int) -> DataFrame:
+    """One row for each distinct (doc_id, source, text): ``n`` equal rows, taken ``copies`` times together."""
     spark = docs.sparkSession
     bounded_batches(spark)
     rows = docs.select("doc_id", "source", F.xxhash64("text").alias("h"), word_count(F.col("text")).alias("size"))
@@ -143,9 +140,9 @@ def decisions(docs: DataFrame, block: int = BLOCK, most: int = MOST) -> DataFram
     goal = goal.join(sums.select(F.col("source").alias("of2"), "units"), F.col("of").eqNullSafe(F.col("of2"))).drop("of2")
     goal = Table(goal.withColumn("ratio", F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)), "goal").df
 
-    p = F.col("ratio") - F.floor("ratio")
+    fraction = (F.col("ratio") - F.floor("ratio")) * F.col("n")
     state = units.join(goal, F.col("source").eqNullSafe(F.col("of"))).drop("of").withColumns(
-        {"p": p, "key": F.col("doc_id").cast("string"), "base": F.floor("ratio").cast("long"), "size": F.col("size") * F.col("n")}
+        {"p": fraction - F.floor(fraction), "key": F.col("doc_id").cast("string"), "base": (F.floor("ratio") * F.col("n") + F.floor(fraction)).cast("long")}
     )
     undecided = (F.col("p") > 0) & (F.col("p") < 1)
     open_ = Table(state.where(undecided).select("key", "source", "h", "size", "units", "p"), "flight0").df
@@ -167,20 +164,56 @@ def decisions(docs: DataFrame, block: int = BLOCK, most: int = MOST) -> DataFram
     extra = done.select(F.col("key").alias("k"), F.col("source").alias("s"), F.col("h").alias("h2"), F.col("p").cast("long").alias("extra"))
     same = (F.col("h") == F.col("h2")) & F.col("key").eqNullSafe(F.col("k")) & F.col("source").eqNullSafe(F.col("s"))
     return state.join(extra, same, "left").select(
-        "doc_id", "source", "h", (F.col("size") / F.col("n")).cast("long").alias("size"), "n", "source_size", "target",
-        F.least(F.lit(most), F.col("base") + F.coalesce("extra", F.lit(0))).cast("int").alias("copies"),
+        "doc_id", "source", "h", "size", "n", "source_size", "target",
+        F.least(F.lit(most) * F.col("n"), F.col("base") + F.coalesce("extra", F.lit(0))).cast("long").alias("copies"),
     )
 
 
+def decisions(docs: DataFrame, block: int = BLOCK, most: int = MOST) -> DataFrame:
+    """doc_id, source, h (hash of the text), size, n (equal rows), source_size, target, copies.
+
+    ``n`` rows of equal doc_id, source and text are each taken ``copies`` times; where they are
+    not all taken equally often there are two rows, one copy apart. Sizes are words of whole
+    texts, 0 for null. An empty table gives none; a source without words has target 0 and is not
+    taken. Null ids and sources are values like any other.
+    """
+    base, left = F.floor(F.col("copies") / F.col("n")), F.col("copies") % F.col("n")
+    parts = F.array(F.struct(left.alias("n"), (base + 1).alias("copies")), F.struct((F.col("n") - left).alias("n"), base.alias("copies")))
+    named = [c for c in ("doc_id", "source", "h", "size", "source_size", "target")]
+    each = _totals(docs, block, most).select(*named, F.explode(parts).alias("part")).where("part.n > 0")
+    return each.select("doc_id", "source", "h", "size", F.col("part.n").alias("n"), "source_size", "target", F.col("part.copies").cast("int").alias("copies"))
+
+
 def mixed(docs: DataFrame, block: int = BLOCK, most: int = MOST) -> DataFrame:
-    """The rows of ``docs`` as often as the mix takes them, with their columns."""
-    taken = Table(decisions(docs, block, most).where("copies > 0").select(F.col("doc_id").alias("d"), F.col("source").alias("s"), F.col("h").alias("h2"), "copies"), "mix").df
-    same = (F.col("h") == F.col("h2")) & F.col("doc_id").eqNullSafe(F.col("d")) & F.col("source").eqNullSafe(F.col("s"))
-    rows = docs.withColumn("h", F.xxhash64("text")).join(taken, same)
-    return rows.select(*[docs[c] for c in docs.columns], F.explode(F.sequence(F.lit(1), F.col("copies"))).alias("__copy")).drop("__copy")
+    """The rows of ``docs`` as often as the mix takes them, with all their columns.
+
+    Rows of equal doc_id, source and text share a decision; if it takes them unequally often,
+    which of them gets one more is arbitrary. Null and empty texts have no words; they are drawn
+    like others of their source. An empty table gives an empty one.
+    """
+    own = _totals(docs, block, most).where("copies > 0")
+    d, s, h2, base, left, h, number, copy = private(docs, "mix_id", "mix_source", "mix_of", "mix_base", "mix_left", "mix_hash", "mix_number", "mix_copy")
+    taken = own.select(
+        F.col("doc_id").alias(d), F.col("source").alias(s), F.col("h").alias(h2),
+        F.floor(F.col("copies") / F.col("n")).cast("int").alias(base), (F.col("copies") % F.col("n")).alias(left),
+    )
+    taken = Table(taken, "mix").df
+    same = (F.col(h) == F.col(h2)) & F.col("doc_id").eqNullSafe(F.col(d)) & F.col("source").eqNullSafe(F.col(s))
+    rows = docs.withColumn(h, F.xxhash64("text")).join(taken, same)
+    kept = [F.col(f"`{c}`") for c in docs.columns]
+    # only equal rows that are taken unequally often need numbers
+    even = rows.where(F.col(left) == 0).select(*kept, F.col(base).alias(copy))
+    order = Window.partitionBy(d, s, h2).orderBy(F.lit(0))
+    odd = rows.where(F.col(left) > 0).withColumn(number, F.row_number().over(order))
+    odd = odd.select(*kept, (F.col(base) + F.when(F.col(number) <= F.col(left), 1).otherwise(0)).alias(copy))
+    each = even.unionByName(odd).where(F.col(copy) > 0)
+    return each.select(*kept, F.explode(F.sequence(F.lit(1), F.col(copy))).alias(copy)).drop(copy)
 
 
 def op5_mix_sources(spark, sf_dir) -> DataFrame:
     rows = decisions(spark.read.parquet(f"{sf_dir}/documents.parquet"))
-    each = rows.withColumn("__row", F.explode(F.sequence(F.lit(1).cast("long"), F.col("n"))))
+    # one row for each of n equal ones, in two steps: no array is longer than a thousand
+    step = 1000
+    some = rows.withColumn("__from", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("n") - 1) / step) * step, F.lit(step).cast("long"))))
+    each = some.withColumn("__row", F.explode(F.sequence(F.col("__from") + 1, F.least(F.col("n"), F.col("__from") + step))))
     return each.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"), "source")

@@ -11,6 +11,7 @@ import re
 from dataclasses import dataclass
 from functools import lru_cache
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -66,8 +67,11 @@ def find(text: str | None, rules: tuple[Rule, ...], compiled: Scanner) -> list[t
     kept.sort()
     if len(data) == len(text):
         return [(rules[k].kind, start, end) for start, k, end in kept]
-    points = lambda byte: len(data[:byte].decode("utf-8", "surrogatepass"))
-    return [(rules[k].kind, a := points(start), a + end - start) for start, k, end in kept]
+    if not kept:
+        return []
+    # code points before each byte: all bytes but continuations begin one
+    points = np.cumsum((np.frombuffer(data, dtype=np.uint8) & 0xC0) != 0x80) - 1
+    return [(rules[k].kind, a := int(points[start]), a + end - start) for start, k, end in kept]
 
 
 SPANS = "array<struct<kind:string,start:int,end:int>>"
