@@ -3,8 +3,9 @@
 1. Base kinds are matched by regular expressions inside the JVM; places are sums of lengths of
    the matches and of the pieces between them.
 2. Every identifier-like token (one with a digit or ``@``) is a candidate; its lexical pattern
-   is the two words before it. Candidates that touch a base span are
-   seeds of its kind.
+   is the two words before it, of which earlier candidates are told as ``<id>``. Candidates that
+   touch a base span are seeds of its kind; spans and candidates meet by an equality join on row
+   and block of text.
 3. The bipartite graph of distinct (pattern, instance) edges is scored in rounds: a pattern's
    score for a kind is the share of its instances that are believed to be of that kind, damped
    by how many there are; an instance's belief is the noisy-or of its patterns' scores.
@@ -24,6 +25,7 @@ from .common import Table
 
 KINDS = ("email", "ip", "card", "phone")
 ROUNDS, LEAST_SCORE, LEAST_SEEDS = 3, 0.6, 3
+FOLD, REACH = 128, 64  # places in a fold, code points in a block of text
 
 # The contract's patterns, in forms that find the same matches without long
 # backtracking. A local part starts where the last match ended or after another character; a
@@ -62,19 +64,45 @@ _RULES: tuple[tuple[str, str, str, object], ...] = (
 )
 
 
-def _places(text: Column, regex: str, needle: str) -> Column:
-    """array<struct<start,end,m,gap>> of all matches: code points, the match and the text before it."""
-    pairs = F.arrays_zip(F.regexp_extract_all(text, F.lit(regex), 0).alias("m"), F.split(text, regex, -1).alias("gap"))
-    empty = F.array().cast("array<struct<start:int,end:int,m:string,gap:string>>")
+def _let(value: Column, body) -> Column:
+    """``body`` of a value that is worked out once, wherever it stands in ``body`` (functions of a lambda are not shared)."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def _ends(lengths: Column) -> Column:
+    """Sums of an array of ints up to and with each place.
+
+    A fold that appends copies its array at every step, so it runs over blocks of ``FOLD``
+    places, whose own sums are folded likewise: time in proportion for any real text.
+    """
+    add = lambda a, x: a + x
+    empty = F.array().cast("array<int>")
+
+    def fold(values: Column, start: Column) -> Column:
+        step = lambda done, x: F.struct((done["at"] + x).alias("at"), F.array_append(done["out"], done["at"] + x).alias("out"))
+        return F.aggregate(values, F.struct(start.alias("at"), empty.alias("out")), step, lambda done: done["out"])
+
+    def within(blocks: Column) -> Column:
+        sums = fold(F.transform(blocks, lambda b: F.aggregate(b, F.lit(0), add)), F.lit(0))
+        starts = F.concat(F.array(F.lit(0)), sums)
+        return F.flatten(F.transform(F.arrays_zip(blocks.alias("b"), starts.alias("s")), lambda x: F.when(x["b"].isNotNull(), fold(x["b"], x["s"])).otherwise(empty)))
+
+    cut = lambda v: F.transform(F.sequence(F.lit(1), F.size(v), F.lit(FOLD)), lambda at: F.slice(v, at, FOLD))
+    return _let(lengths, lambda v: F.when(F.size(v) > 0, _let(cut(v), within)).otherwise(empty))
 
-    def step(done: Column, x: Column) -> Column:
-        start = done["at"] + F.length(x["gap"])
-        end = start + F.length(x["m"])
-        item = F.struct(start.cast("int").alias("start"), end.cast("int").alias("end"), x["m"].alias("m"), x["gap"].alias("gap"))
-        return F.struct(end.cast("int").alias("at"), F.array_append(done["out"], item).alias("out"))
 
+def _places(text: Column, regex: str, needle: str) -> Column:
+    """array<struct<start,end,m,gap>> of all matches: code points, the match and the text before it."""
     # the last piece has no match after it
-    found = F.aggregate(F.filter(pairs, lambda x: x["m"].isNotNull()), F.struct(F.lit(0).alias("at"), empty.alias("out")), step, lambda done: done["out"])
+    pairs = F.filter(F.arrays_zip(F.regexp_extract_all(text, F.lit(regex), 0).alias("m"), F.split(text, regex, -1).alias("gap")), lambda x: x["m"].isNotNull())
+    found = _let(
+        pairs,
+        lambda p: F.transform(
+            F.arrays_zip(p.alias("p"), _ends(F.transform(p, lambda x: F.length(x["gap"]) + F.length(x["m"]))).alias("e")),
+            lambda x: F.struct((x["e"] - F.length(x["p"]["m"])).alias("start"), x["e"].alias("end"), x["p"]["m"].alias("m"), x["p"]["gap"].alias("gap")),
+        ),
+    )
+    empty = F.array().cast("array<struct<start:int,end:int,m:string,gap:string>>")
     return F.when(F.contains(text, F.lit(needle)) if needle else text.rlike("[0-9]"), found).otherwise(empty)
 
 
@@ -88,25 +116,52 @@ def base_spans(text: Column) -> Column:
     return F.sort_array(F.flatten(F.array(*[of(k, *rule) for k, rule in enumerate(_RULES)])))
 
 
-def candidates(text: Column, base: Column) -> Column:
-    """array<struct<start,end,instance,pattern,kind>>; kind is that of the base span it starts, if any."""
+_LAST = r"^[\x20\x09-\x0D]+([^\x20\x09-\x0D]+)(?:[\x20\x09-\x0D]+([^\x20\x09-\x0D]+))?"
+
+
+def candidates(text: Column) -> Column:
+    """array<struct<start,end,first,last,instance,pattern>>: the token's place, its place without punctuation, both words.
 
-    def one(x: Column) -> Column:
-        before = F.lower(F.regexp_extract(F.right(x["gap"], F.lit(80)), r"([^\x20\x09-\x0D]+[\x20\x09-\x0D]+[^\x20\x09-\x0D]+)[\x20\x09-\x0D]+$", 1))
-        before = F.regexp_replace(before, r"[\x20\x09-\x0D]+", " ")
-        touch = F.filter(base, lambda s: (s["start"] < x["end"]) & (s["end"] > x["start"]))
-        kind = F.when(F.size(touch) > 0, F.element_at(touch, 1)["kind"])
-        later = (F.size(touch) > 0) & (F.element_at(touch, 1)["start"] < x["start"])
+    The pattern is null where two words do not stand before the token, or nothing but
+    punctuation is in it.
+    """
+    def words(x: Column) -> Column:
+        """A found token with the two last words before it, read from the end, so that a long gap costs one reversal."""
+        last = lambda tail: F.struct(x.alias("x"), F.reverse(F.regexp_extract(tail, _LAST, 1)).alias("near"), F.reverse(F.regexp_extract(tail, _LAST, 2)).alias("far"))
+        return _let(F.reverse(x["gap"]), last)
+
+    def with_before(found: Column) -> Column:
+        before = F.concat(F.array(F.lit(None).cast("string")), F.transform(found, lambda e: e["near"]))
+        return F.transform(F.filter(F.arrays_zip(found.alias("e"), before.alias("before")), lambda z: z["e"].isNotNull()), one)
+
+    def one(e: Column, k: Column) -> Column:
+        x, near, far, held = e["e"]["x"], e["e"]["near"], e["e"]["far"], F.lit("<id>")
+        # two words of the gap; or one and the token before; or that token and the word before it
+        older = F.when(e["before"] != "", e["before"]).when(k > 1, held)
+        pattern = F.when(far != "", F.concat_ws(" ", far, near)).when(near != "", F.when(k > 0, F.concat_ws(" ", held, near))).when((k > 0) & older.isNotNull(), F.concat_ws(" ", older, held))
         # punctuation around a token is not part of it
         lead = F.length(F.regexp_extract(x["m"], r"^[^\p{L}0-9+@]*", 0))
         core = F.regexp_replace(x["m"], r"^[^\p{L}0-9+@]+|[^\p{L}0-9]+$", "")
-        pattern = F.when((before != "") & (core != "") & ~later, before)
         return F.struct(
-            (x["start"] + lead).cast("int").alias("start"), (x["start"] + lead + F.length(core)).cast("int").alias("end"),
-            F.lower(core).alias("instance"), pattern.alias("pattern"), kind.alias("kind"),
+            (x["start"] + lead).cast("int").alias("start"), (x["start"] + lead + F.length(core)).cast("int").alias("end"), x["start"].alias("first"), x["end"].alias("last"),
+            F.lower(core).alias("instance"), F.when(core != "", F.lower(pattern)).alias("pattern"),
         )
 
-    return F.filter(F.transform(_places(text, _CANDIDATE, ""), one), lambda x: x["pattern"].isNotNull())
+    return F.filter(_let(F.transform(_places(text, _CANDIDATE, ""), words), with_before), lambda c: c["pattern"].isNotNull())
+
+
+def seeds(found: DataFrame, base: DataFrame) -> DataFrame:
+    """The rows of ``found`` with ``kind``, that of the first base span each touches, if any; those a span began before go.
+
+    ``found``: row, start, end, first, last, ...; ``base``: row, start, k, kind, end.
+    """
+    blocks = lambda start, end: F.explode(F.sequence(F.floor(start / REACH), F.floor((end - 1) / REACH)))
+    spans = base.select("row", F.col("start").alias("s"), "k", "kind", F.col("end").alias("e"), blocks(F.col("start"), F.col("end")).alias("block"))
+    places = found.select("row", "first", "last", blocks(F.col("first"), F.col("last")).alias("block"))
+    met = places.join(spans, ["row", "block"]).where((F.col("s") < F.col("last")) & (F.col("e") > F.col("first")))
+    touched = met.groupBy("row", "first").agg(F.min(F.struct("s", "k", "kind")).alias("span"))
+    whole = found.join(touched, ["row", "first"], "left").where(F.col("span").isNull() | (F.col("span.s") >= F.col("first")))
+    return whole.select("row", "start", "end", "instance", "pattern", F.col("span.kind").alias("kind"))
 
 
 def pattern_scores(edges: DataFrame, rounds: int = ROUNDS, least_score: float = LEAST_SCORE, least_seeds: int = LEAST_SEEDS) -> DataFrame:
@@ -141,14 +196,16 @@ def find_personal_data(docs: DataFrame, rounds: int = ROUNDS, least_score: float
     candidate the better one's kind is taken, at ties the smaller kind.
     """
     text = F.coalesce(F.col("text"), F.lit(""))
-    rows = docs.select("doc_id", text.alias("text")).withColumn("base", base_spans(F.col("text")))
-    rows = rows.select("doc_id", F.monotonically_increasing_id().alias("row"), "base", candidates(F.col("text"), F.col("base")).alias("found"))
+    rows = docs.select("doc_id", F.monotonically_increasing_id().alias("row"), base_spans(text).alias("base"), candidates(text).alias("found"))
     kept = Table(rows, "personal").df
-    each = kept.select("row", F.inline("found"))
-    edges = Table(each.groupBy("pattern", "instance", "kind").agg(F.count("*").alias("n")), "pattern_edges").df
+    # of base spans only those beside candidates matter, and of rows only those with both
+    both = kept.where((F.size("base") > 0) & (F.size("found") > 0))
+    alone = kept.where(F.size("base") == 0).select("row", F.inline("found")).select("row", "start", "end", "instance", "pattern", F.lit(None).cast("string").alias("kind"))
+    named = Table(seeds(both.select("row", F.inline("found")), both.select("row", F.inline("base"))).unionByName(alone), "candidates").df
+    edges = Table(named.groupBy("pattern", "instance", "kind").agg(F.count("*").alias("n")), "pattern_edges").df
     scores = pattern_scores(edges, rounds, least_score, least_seeds)
     best = scores.groupBy("pattern").agg(F.min_by("kind", F.struct(-F.col("score"), "kind")).alias("named"))
-    fresh = each.where("kind IS NULL").join(best, "pattern")
+    fresh = named.where("kind IS NULL").join(best, "pattern")
     order = F.element_at(F.create_map(*[F.lit(x) for k, kind in enumerate(KINDS) for x in (kind, len(KINDS) + k)]), F.col("named"))
     item = F.struct("start", order.cast("int").alias("k"), F.concat(F.lit("ctx_"), "named").alias("kind"), "end")
     added = fresh.groupBy("row").agg(F.collect_list(item).alias("added"))
