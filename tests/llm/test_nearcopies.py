@@ -65,10 +65,31 @@ def test_similar_equals_all_pairs():
     assert len(texts) - len(pairs) == len(firsts(list(enumerate(texts))))
 
 
-def test_pipeline_mixes_no_near_copies(spark, docs_of, sf_dir):
+def test_small_groups_and_cells_give_the_same(docs_of):
+    """Leads dealt over many groups, members over many cells."""
+    docs = planted()
+    got = sorted(r.doc_id for r in nearcopies.keep_one(docs_of(docs), star=3, block=4).collect())
+    assert got == firsts(docs)
+
+
+def test_links_between_members_that_are_not_the_leads(docs_of):
+    """A chain of texts, each alike to the next but not to the one after."""
+    rng = random.Random(11)
+    words, chain = [f"w{rng.randrange(9000)}" for _ in range(150)], []
+    for k in range(40):
+        at = (k * 12) % 150
+        words = words[:at] + [f"n{k}_{i}" for i in range(11)] + words[at + 11 :]
+        chain.append(" ".join(words))
+    docs = list(enumerate(chain))
+    assert firsts(docs) == [0]
+    assert [r.doc_id for r in nearcopies.keep_one(docs_of(docs), star=4, block=4).collect()] == [0]
+
+
+def test_pipeline_mixes_no_near_copies(spark, sf_dir):
     table = pq.read_table(f"{sf_dir}/documents.parquet").to_pandas()
     kept = set(firsts(list(zip(table.doc_id, table.text, strict=True))))
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    assert sorted(r.doc_id for r in nearcopies.keep_one(docs).collect()) == sorted(kept)
-    mixed = {r.doc_id for r in corpus_pipeline.mix(spark, docs, sf_dir).select("doc_id").collect()}
+    one = corpus_pipeline.near_dedup(spark, docs, sf_dir)
+    assert sorted(r.doc_id for r in one.collect()) == sorted(kept)
+    mixed = {r.doc_id for r in corpus_pipeline.mix(spark, one, sf_dir).select("doc_id").collect()}
     assert mixed and mixed <= kept

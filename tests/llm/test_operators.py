@@ -266,7 +266,7 @@ def test_links_and_components_equal_brute_force(spark):
                 parent[find(a)] = find(b)
     signed = lambda x: x - (1 << 64) if x >> 63 else x
     df = spark.createDataFrame([(signed(x),) for x in prints], "fp long")
-    roots = {r.fp: r.root for r in simhash._named(df, 2).collect()}
+    roots = {r.fp: r.root for r in simhash.named(df, 2).collect()}
     want, got = {}, {}
     for x in prints:
         want.setdefault(find(x), set()).add(x)

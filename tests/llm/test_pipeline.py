@@ -4,7 +4,9 @@ import pyarrow.parquet as pq
 import pytest
 
 import corpus_pipeline
-from tidewell.llm import mixing, simhash
+from tidewell.llm import mixing
+
+from test_nearcopies import firsts
 
 
 @pytest.fixture(scope="module")
@@ -30,24 +32,24 @@ def test_language_stage_keeps_texts(stages):
     assert set(after.doc_id) == {d for d, t in zip(before.doc_id, before.text) if any(c.isalpha() for c in t)}
 
 
+def test_language_stage_rejects_what_is_uncertain(docs_of):
+    """The decision is the model's: with a higher bound more go, and a model without labels keeps all texts with letters."""
+    from tidewell.llm import langid
+
+    docs = docs_of([(k, "the cat and the dog " * 9, "en") for k in range(60)] + [(100 + k, "der hund und die katze " * 9, "de") for k in range(60)] + [(300, "ωχ ψη", None), (301, "12", None), (302, None, None)])
+    model = langid.fit(docs)
+    scores = {r.doc_id: r.score for r in langid.identify(docs, model).collect()}
+    for least in (0.0, 0.3, 0.6, 0.9):
+        kept = {r.doc_id for r in langid.keep_identified(docs, model, least).collect()}
+        assert kept == {d for d, s in scores.items() if s >= least and d not in (301, 302)}
+    blank = docs.selectExpr("doc_id", "text", "CAST(NULL AS STRING) AS lang", "source")
+    assert {r.doc_id for r in langid.keep_identified(blank, langid.fit(blank)).collect()} == set(scores) - {301, 302}
+
+
 def test_one_document_a_group(stages):
+    """The stage's rule: five words, 0.8 (operator 8's own query keeps to 2 bits of three-word fingerprints)."""
     before, after = stages["simhash_near_dedup"]
-    prints = [simhash.fingerprint(t) for t in before.text]
-    parent = list(range(len(prints)))
-
-    def find(i):
-        while parent[i] != i:
-            i = parent[i]
-        return i
-
-    for i in range(len(prints)):
-        for j in range(i):
-            if (prints[i] ^ prints[j]).bit_count() <= 2:
-                parent[find(i)] = find(j)
-    first = {}
-    for i, d in enumerate(before.doc_id):
-        first[find(i)] = min(d, first.get(find(i), d))
-    assert sorted(after.doc_id) == sorted(first.values())
+    assert sorted(after.doc_id) == firsts(list(zip(before.doc_id, before.text, strict=True)))
 
 
 def test_leaks_go(stages, sf_dir):

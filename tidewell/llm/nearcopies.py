@@ -1,15 +1,22 @@
-"""Near copies: texts whose sets of five-word shingles have a Jaccard similarity of ``LEAST`` or more.
-
-Candidates share one of ``BANDS`` hashes of ``ROWS`` MinHash values each; a pair at the bound
-shares none with a probability of (1 - 0.8 ** 5) ** 48 = 5e-9, a closer one with less. Members
-of a bucket are linked to its smallest only to bring them together: the chains of these links
-are clusters, and inside a cluster all pairs are compared by their shingles (those sharing none
-of their rarest, as many as the similarity allows to miss, cannot pass and are passed over).
-So no pair is taken for its hashes, none is left out for a bucket's size, and no table holds
-pairs: rows are in proportion to the documents.
-
-A cluster is compared in one task. Equal word sequences are one node (64 bits, so two of n
-differing texts meet with a probability of n ** 2 / 2 ** 65).
+"""Near copies: groups of documents linked by a Jaccard similarity of ``LEAST`` or more of their five-word shingles.
+
+Candidates are the links of operator 8's anchors, fingerprints within 2 bits. They lack most
+edited copies: at 0.8 two fingerprints differ in about ten bits, more than any covering code of
+64 bits can bridge. So texts that share one of ``BANDS`` hashes of ``ROWS`` MinHash values are
+candidates as well; a pair at the bound shares none with a probability of (1 - 0.8 ** 5) ** 48 =
+5e-9, a closer one with less. No pair is taken for its hashes: shingles decide.
+
+1. Each member of a bucket is compared with the bucket's smallest, the lead, and so are both
+   ends of a SimHash link. A lead's members are dealt over groups of about ``STAR``, so a bucket
+   of any size is many small tasks.
+2. Components of these links. Buckets within one component are done: more links would add nothing.
+3. In the others, members that are not the lead's are compared with all members of other
+   components, in cells of ``BLOCK`` by ``BLOCK`` texts. Those below ``RING`` with the lead are
+   too far from all that are linked to it (one minus Jaccard is a metric), so they are compared
+   among themselves only.
+
+Equal word sequences are one node (64 bits, so two of n differing texts meet with a probability
+of n ** 2 / 2 ** 65). No table holds pairs of a bucket, and no task more than a cell.
 """
 
 from __future__ import annotations
@@ -23,9 +30,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import Table, bounded_batches, words
-from .simhash import components, keep_firsts
+from .simhash import components, fingerprint, keep_firsts
+from .simhash import links as anchor_links
 
 SEED, SHINGLE, LEAST, BANDS, ROWS = 42, 5, 0.8, 48, 5
+RING = 1 - 2 * (1 - LEAST)  # what is less alike to a lead than this is not LEAST alike to anything that is LEAST alike to the lead
+STAR, BLOCK = 2048, 512  # members compared with a lead in one group; texts on either side of a cell
 _ODD = np.random.default_rng(SEED).integers(0, 1 << 63, (2, BANDS * ROWS), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _POWERS = np.cumprod(np.full(SHINGLE, 0x9E3779B97F4A7C15, dtype=np.uint64))
 
@@ -101,85 +111,164 @@ def similar(grams: list[np.ndarray], least: float = LEAST) -> list[tuple[int, in
     return out
 
 
-def _groups(batches):
-    """Tables of the rows of equal first column, which come sorted by it."""
-    rest = None
+def across(left: list[np.ndarray], right: list[np.ndarray], tags: tuple[list, list], least: float = LEAST) -> list[tuple[int, int]]:
+    """Pairs (i, j) of ``left`` and ``right`` at ``least`` or more whose tags differ, by the prefix and length filters."""
+    values, counts = np.unique(np.concatenate([*left, *right]), return_counts=True)
+    place = np.empty(len(values), dtype=np.int64)
+    place[np.argsort(counts, kind="stable")] = np.arange(len(values))  # rarest first
+    ranked = lambda grams: np.sort(place[np.searchsorted(values, grams)])
+    prefix = lambda g: g[: len(g) - int(np.ceil(len(g) * least - 1e-9)) + 1].tolist()
+    index, sets, out = defaultdict(list), [], []
+    for i, grams in enumerate(left):
+        own = ranked(grams)
+        sets.append(set(own.tolist()))
+        for gram in prefix(own):
+            index[gram].append(i)
+    for j, grams in enumerate(right):
+        own = ranked(grams)
+        n, held = len(own), set(own.tolist())
+        for i in {i for gram in prefix(own) for i in index.get(gram, ())}:
+            m = len(sets[i])
+            if tags[0][i] == tags[1][j] or min(n, m) < max(n, m) * least - 1e-9:
+                continue
+            both = len(held & sets[i])
+            if both >= least * (n + m - both) - 1e-9:
+                out.append((i, j))
+    return out
+
+
+def _groups(batches, keys: int):
+    """Lists of the rows of equal first ``keys`` columns, which come sorted by them; a group's rows are held together."""
+    rows, last = [], None
     for batch in batches:
-        table = pa.Table.from_batches([batch])
-        table = pa.concat_tables([rest, table]) if rest is not None else table
-        at = table.column(0).to_numpy()
-        if not len(at):
-            continue
-        starts = np.flatnonzero(np.r_[True, at[1:] != at[:-1]]).tolist()
-        for s, e in zip(starts, starts[1:], strict=False):
-            yield table.slice(s, e - s)
-        rest = table.slice(starts[-1])
-    if rest is not None and len(rest):
-        yield rest
-
-
-def _edges(pairs) -> pa.RecordBatch:
-    a, b = zip(*pairs, strict=True)
-    return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
-
-
-def clusters(prints: DataFrame) -> Table:
-    """(node, root) of the nodes that share a bucket, by chains. ``prints``: node, bands."""
-    bounded_batches(prints.sparkSession)
-
-    def meet(batches):
-        out, key, lead = [], None, None
+        for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            if row[:keys] != last and rows:
+                yield rows
+                rows = []
+            last = row[:keys]
+            rows.append(row)
+    if rows:
+        yield rows
+
+
+def _edges(rows: list[tuple]) -> pa.RecordBatch:
+    a, b, alike = zip(*rows, strict=True) if rows else ((), (), ())
+    return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(alike, pa.float64())], ["a", "b", "alike"])
+
+
+def leads(members: DataFrame) -> DataFrame:
+    """(lead, node): each member of a bucket with the bucket's smallest. ``members``: band, node, distinct."""
+    heads = members.groupBy("band").agg(F.min("node").alias("lead"), F.count("*").alias("n")).where("n > 1")
+    return members.join(heads, "band").where("node <> lead").select("lead", "node")
+
+
+def stars(pairs: DataFrame, texts: DataFrame, star: int) -> DataFrame:
+    """(a, b, alike) of each (lead, node): the Jaccard similarity of their texts. ``texts``: node, text, one a node."""
+    degree = pairs.groupBy("lead").agg(F.ceil(F.count("*") / star).alias("deals"))
+    deal = F.pmod(F.xxhash64("node"), F.col("deals"))
+    # the lead goes to each of its groups, as the row that comes first
+    heads = degree.select("lead", F.explode(F.sequence(F.lit(0).cast("long"), F.col("deals") - 1)).alias("deal"), F.lit(0).alias("side"), F.col("lead").alias("node"))
+    spread = pairs.join(degree, "lead").select("lead", deal.alias("deal"), F.lit(1).alias("side"), "node").unionByName(heads)
+
+    def compare(batches):
+        key, own = None, None
         for batch in batches:
-            for k, n in zip(batch.column(0).to_numpy().tolist(), batch.column(1).to_numpy().tolist(), strict=True):
-                if k != key:
-                    key, lead = k, n
-                elif n != lead:
-                    out.append((lead, n))
-            if out:
-                yield _edges(out)
-                out = []
-
-    spread = prints.dropDuplicates(["node"]).select(F.explode("bands").alias("band"), "node")
-    met = spread.repartition("band").sortWithinPartitions("band", "node").mapInArrow(meet, "a long, b long")
-    return components(met.distinct())
-
-
-def links(docs: DataFrame, near: DataFrame) -> DataFrame:
-    """Edges (a, b) between nodes at ``LEAST`` or more, as connected as all of them. ``near``: node, root."""
+            out = []
+            for lead, deal, side, node, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                grams = shingles(text)
+                if side == 0:
+                    key, own = (lead, deal), grams
+                    continue
+                if key != (lead, deal):
+                    raise ValueError("a group came without its lead")
+                both = len(np.intersect1d(own, grams, assume_unique=True))
+                out.append((lead, node, both / max(1, len(own) + len(grams) - both)))
+            yield _edges(out)
+
+    met = spread.join(texts, "node").select("lead", "deal", "side", "node", "text").repartition("lead", "deal").sortWithinPartitions("lead", "deal", "side")
+    return met.mapInArrow(compare, "a long, b long, alike double")
+
+
+def rest(members: DataFrame, alike: DataFrame, roots: DataFrame, texts: DataFrame, block: int) -> DataFrame:
+    """(a, b, alike) of links that the leads do not tell: between components within a bucket.
+
+    ``members``: band, node; ``alike``: a, b, alike; ``roots``: node, root of what is linked already.
+    """
+    root = lambda rows, of, out: rows.join(roots.select(F.col("node").alias(of), F.col("root").alias("__r")), of, "left").withColumn(out, F.coalesce("__r", of)).drop("__r")
+    # (lead, node) in different components; only their buckets are looked at again
+    open_ = Table(root(root(alike, "a", "root_a"), "b", "root_b").where("root_a <> root_b"), "open").df
+    strangers = open_.select(F.col("a").alias("lead"), F.col("b").alias("node"), "alike")
+    mine = members.join(strangers.select("node").distinct(), "node", "left_semi")
+    firsts = members.join(mine.select("band").distinct(), "band", "left_semi").groupBy("band").agg(F.min("node").alias("lead"))
+    named = Table(mine.join(firsts, "band").join(strangers, ["lead", "node"]).select("band", "node", (F.col("alike") >= RING - 1e-9).alias("ring")), "strangers").df
+    # in a bucket with strangers in the ring all members take part, else the strangers alone
+    wide = named.groupBy("band").agg(F.bool_or("ring").alias("wide"), F.count("*").alias("n"))
+    others = members.join(wide.where("wide"), "band", "left_semi").join(named.select("band", "node"), ["band", "node"], "left_anti")
+    every = root(named.unionByName(others.withColumn("ring", F.lit(None).cast("boolean"))), "node", "root")
+    sizes = every.groupBy("band").agg(F.ceil(F.count("ring") / block).alias("lefts"), F.ceil(F.count("*") / block).alias("rights"))
+    each = every.join(sizes, "band")
+    at = lambda n: F.pmod(F.xxhash64("node"), F.col(n))
+    all_ = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
+    cells = each.where("ring IS NOT NULL").select("band", at("lefts").alias("i"), all_("rights").alias("j"), F.lit(0).alias("side"), "node", "root", "ring")
+    cells = cells.unionByName(each.select("band", all_("lefts").alias("i"), at("rights").alias("j"), F.lit(1).alias("side"), "node", "root", "ring"))
+
+    def compare(batches):
+        for group in _groups(batches, 3):
+            left, right = [r for r in group if r[3] == 0], [r for r in group if r[3] == 1]
+            if left and right:
+                pairs = across([shingles(r[7]) for r in left], [shingles(r[7]) for r in right], ([r[5] for r in left], [r[5] for r in right]))
+                yield _edges([(left[i][4], right[j][4], LEAST) for i, j in pairs])
+
+    met = cells.join(texts, "node").select("band", "i", "j", "side", "node", "root", "ring", "text").repartition("band", "i", "j").sortWithinPartitions("band", "i", "j")
+    return met.mapInArrow(compare, "a long, b long, alike double")
+
+
+def groups(docs: DataFrame, prints: DataFrame, star: int = STAR, block: int = BLOCK) -> DataFrame:
+    """(node, root) of the nodes that are linked. ``prints``: node, fp, bands of all rows."""
     spark = docs.sparkSession
     bounded_batches(spark)
-
-    def named(batches):
+    members = Table(prints.dropDuplicates(["node"]).select(F.explode("bands").alias("band"), "node"), "members").df
+    # a fingerprint's nodes go with its smallest one, those of linked fingerprints with each other
+    firsts = prints.groupBy("fp").agg(F.min("node").alias("lead"))
+    within = prints.select("node", "fp").distinct().join(firsts, "fp").where("node <> lead").select("lead", "node")
+    one = lambda out, fp: firsts.select(F.col("fp").alias(fp), F.col("lead").alias(out))
+    between = anchor_links(prints.select("fp").distinct()).join(one("lead", "a"), "a").join(one("node", "b"), "b").select("lead", "node")
+    pairs = Table(leads(members).unionByName(within).unionByName(between).distinct(), "leads").df
+
+    def texts_of(batches):
         for batch in batches:
             nodes = np.array([node(t) for t in batch.column(0).to_pylist()], dtype=np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays([pa.array(nodes), batch.column(0)], ["node", "text"])
 
-    def compare(batches):
-        for group in _groups(batches):
-            nodes = group.column(1).to_pylist()
-            pairs = similar([shingles(t.as_py()) for t in group.column(2)])
-            if pairs:
-                yield _edges([(nodes[i], nodes[j]) for i, j in pairs])
+    wanted = pairs.select("node").unionByName(pairs.select(F.col("lead").alias("node"))).distinct()
+    texts = docs.select("text").mapInArrow(texts_of, "node long, text string").join(wanted, "node", "left_semi").dropDuplicates(["node"])
+    texts = Table(texts, "texts").df
+    alike = Table(stars(pairs, texts, star), "alike").df
+    near = alike.where(F.col("alike") >= LEAST - 1e-9).select("a", "b")
+    roots = components(near).df
+    more = Table(rest(members, alike, roots, texts, block).select("a", "b"), "rest").df
+    return components(near.unionByName(more)).df
 
-    texts = docs.select("text").mapInArrow(named, "node long, text string")
-    held = texts.join(near, "node").dropDuplicates(["node"]).select("root", "node", "text")
-    return held.repartition("root").sortWithinPartitions("root", "node").mapInArrow(compare, "a long, b long")
 
+def keep_one(docs: DataFrame, star: int = STAR, block: int = BLOCK) -> DataFrame:
+    """The rows of ``docs`` without near copies: of each component the row of smallest doc_id stays, unchanged.
 
-def keep_one(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` without near copies: of each component the row of smallest doc_id stays."""
+    Texts without words are one component, being equal. Rows without an id stay only if
+    their component has no other; of equal rows of equal id one stays. An empty table gives an
+    empty one; all columns are kept, whatever their names.
+    """
     bounded_batches(docs.sparkSession)
 
     def run(batches):
         for batch in batches:
             texts = batch.column(1).to_pylist()
-            nodes = np.array([node(t) for t in texts], dtype=np.uint64).view(np.int64)
+            signed = lambda xs: pa.array(np.array(xs, dtype=np.uint64).view(np.int64))
             got = [bands(shingles(t)) for t in texts]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(nodes), pa.array(got, pa.list_(pa.int64()))], ["doc_id", "node", "bands"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), signed([node(t) for t in texts]), signed([fingerprint(t) for t in texts]), pa.array(got, pa.list_(pa.int64()))], ["doc_id", "node", "fp", "bands"])
 
     doc_type = docs.schema["doc_id"].dataType.simpleString()
-    prints = Table(docs.select("doc_id", "text").mapInArrow(run, f"doc_id {doc_type}, node long, bands array<long>"), "bands").df
-    roots = components(links(docs, clusters(prints.select("node", "bands")).df)).df.withColumnRenamed("node", "linked")
+    prints = Table(docs.select("doc_id", "text").mapInArrow(run, f"doc_id {doc_type}, node long, fp long, bands array<long>"), "bands").df
+    roots = groups(docs, prints, star, block).withColumnRenamed("node", "linked")
     rows = prints.select("doc_id", F.col("node").alias("fp"))
     named = rows.select("fp").distinct().join(roots, F.col("fp") == F.col("linked"), "left").select("fp", F.coalesce("root", "fp").alias("root"))
     return keep_firsts(docs, rows, named, node)

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
-from .common import Table, bounded_batches, words
+from .common import Table, bounded_batches, private, words
 
 SEED, SHINGLE, THRESHOLD, HALF, RADIUS = 42, 3, 2, 23, 3
 
@@ -203,7 +203,8 @@ def links(distinct: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
             a, b = forest(np.concatenate(left), np.concatenate(right))
             yield pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(b.view(np.int64))], ["a", "b"])
 
-    spread = distinct.select("fp").mapInArrow(replicate, "anchor long, fp long, home boolean")
+    # a fingerprint gives some 60 rows: dealt out first, lest one small partition gives them all
+    spread = distinct.select("fp").repartition(F.xxhash64("fp")).mapInArrow(replicate, "anchor long, fp long, home boolean")
     met = spread.repartition("anchor").sortWithinPartitions("anchor")
     return met.mapInArrow(compare, "a long, b long").distinct()
 
@@ -240,7 +241,7 @@ def components(edges: DataFrame) -> Table:
     return table
 
 
-def _named(rows: DataFrame, threshold: int) -> DataFrame:
+def named(rows: DataFrame, threshold: int) -> DataFrame:
     """fp -> root, one fingerprint for each component. ``rows`` has fp."""
     classes = rows.select("fp").distinct()
     roots = components(links(classes, threshold)).df
@@ -256,10 +257,10 @@ def near_duplicates(docs: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
     """
     rows = Table(fingerprints(docs), "fingerprints").df
     firsts = rows.groupBy("fp").agg(F.min("doc_id").alias("first"))
-    placed = Table(_named(rows, threshold).join(firsts, "fp"), "classes").df
+    placed = Table(named(rows, threshold).join(firsts, "fp"), "classes").df
     smallest = placed.groupBy("root").agg(F.min("first").alias("component_id"))
-    named = Table(placed.join(smallest, "root").select("fp", "component_id"), "components").df
-    return rows.join(named, "fp").select("doc_id", "fp", "component_id")
+    found = Table(placed.join(smallest, "root").select("fp", "component_id"), "components").df
+    return rows.join(found, "fp").select("doc_id", "fp", "component_id")
 
 
 def keep_one(docs: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
@@ -269,18 +270,19 @@ def keep_one(docs: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
     component, one of the smallest fingerprint stays.
     """
     rows = Table(fingerprints(docs), "fingerprints").df
-    return keep_firsts(docs, rows, _named(rows, threshold), fingerprint)
+    return keep_firsts(docs, rows, named(rows, threshold), fingerprint)
 
 
-def keep_firsts(docs: DataFrame, rows: DataFrame, named: DataFrame, of) -> DataFrame:
-    """The first row of each component. ``rows``: doc_id, fp; ``named``: fp, root; ``of`` a text is its fp, unsigned."""
+def keep_firsts(docs: DataFrame, rows: DataFrame, roots: DataFrame, of) -> DataFrame:
+    """The first row of each component. ``rows``: doc_id, fp; ``roots``: fp, root; ``of`` a text is its fp, unsigned."""
     order = F.struct(F.col("doc_id").isNull(), "doc_id", "fp")
     firsts = rows.groupBy("fp").agg(F.min(order).alias("first"))
-    placed = named.join(firsts, "fp")
+    placed = roots.join(firsts, "fp")
     best = placed.groupBy("root").agg(F.min("first").alias("first"))
-    kept = Table(best.select(F.col("first.doc_id").alias("kept_id"), F.col("first.fp").alias("kept_fp")), "kept").df
-    same = (F.col("__fp") == F.col("kept_fp")) & F.col("doc_id").eqNullSafe(F.col("kept_id"))
-    again = rows.withColumnRenamed("fp", "__fp").join(kept, same).groupBy("doc_id", "__fp").count().where("count > 1").limit(1).count()
+    kept_id, kept_fp, own = private(docs, "kept_id", "kept_fp", "kept_print")
+    kept = Table(best.select(F.col("first.doc_id").alias(kept_id), F.col("first.fp").alias(kept_fp)), "kept").df
+    same = (F.col(own) == F.col(kept_fp)) & F.col("doc_id").eqNullSafe(F.col(kept_id))
+    again = rows.withColumnRenamed("fp", own).join(kept, same).groupBy("doc_id", own).count().where("count > 1").limit(1).count()
 
     bounded_batches(docs.sparkSession)
     at = docs.columns.index("text")
@@ -288,13 +290,13 @@ def keep_firsts(docs: DataFrame, rows: DataFrame, named: DataFrame, of) -> DataF
     def run(batches):
         for batch in batches:
             prints = np.array([of(t) for t in batch.column(at).to_pylist()], dtype=np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(prints)], [*batch.schema.names, "__fp"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(prints)], [*batch.schema.names, own])
 
-    printed = docs.mapInArrow(run, StructType([*docs.schema.fields, StructField("__fp", LongType())]))
+    printed = docs.mapInArrow(run, StructType([*docs.schema.fields, StructField(own, LongType())]))
     whole = printed.join(kept, same)
     if again:  # rows of one id and fingerprint: any of them, which needs the rows themselves sorted
-        whole = whole.dropDuplicates(["doc_id", "__fp"])
-    return whole.select(*docs.columns)
+        whole = whole.dropDuplicates(["doc_id", own])
+    return whole.select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def op8_simhash_near_dedup(spark, sf_dir) -> DataFrame:

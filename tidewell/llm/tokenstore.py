@@ -18,9 +18,7 @@ from __future__ import annotations
 
 import json
 import os
-import re
 import zlib
-from array import array
 from hashlib import blake2b
 
 import numpy as np
@@ -32,7 +30,7 @@ from pyspark.sql import functions as F
 from .common import Table, bounded_batches, delete, per_worker, shared_dir, with_prefix_sum
 
 END, WINDOW, LEAST, MEAN_BITS, MOST, LEAF = 1, 16, 64, 9, 4096, 4096
-CACHE = 500_000  # words (twice) whose ids a worker remembers: about 200 MB
+CACHE = 800_000  # words whose ids a worker remembers, and chunks it has sent: about 100 MB
 _BASE = 0x9E3779B97F4A7C15
 
 
@@ -42,19 +40,21 @@ def default_tokenizer() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
-# Anything but printable ASCII without the apostrophe and "<", and the letters of Latin-1: of words
-# without such characters the tokenizer's pieces are the runs of letters, single digits and runs
-# of signs of the word in lower case.
-_ODD = re.compile("[^\x21-\x26\x28-\x3b\x3d-\x7e\u00aa\u00b5\u00ba\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]").search
+# Of words of printable ASCII without the apostrophe and "<", and of Latin-1's letters, the
+# tokenizer's pieces are the runs of letters, single digits and runs of signs of the word in lower
+# case. UTF-8 has Latin-1's letters as C2 or C3 and one byte.
+_ASCII = np.array([0x21 <= b <= 0x7E and b not in b"'<" for b in range(256)])
+_AFTER_C2 = np.array([b in (0xAA, 0xB5, 0xBA) for b in range(256)])
+_AFTER_C3 = np.array([0x80 <= b <= 0xBF and b not in (0x97, 0xB7) for b in range(256)])
 _KIND = np.array([0 if b == 0x0A else 1 if 0x61 <= b <= 0x7A or b >= 0x80 else 2 if 0x30 <= b <= 0x39 else 3 for b in range(256)], dtype=np.uint8)
 
 
 class Encoder:
     """Ids of whole texts. The tokenizer's pieces never span white space, so ids of words are remembered.
 
-    A batch of texts is split and its different words numbered by Arrow; only those are looked
-    up or learned, and the ids of all texts are gathered by their numbers. Words seen since the
-    last time the memory was full survive it, so frequent ones stay.
+    A batch of texts is split and its different words numbered by Arrow, which also finds those
+    that are known; the ids of new words are appended to one array, and those of all texts are
+    gathered from it. Where more than ``CACHE`` words are known, the half used last stays.
     """
 
     def __init__(self, path: str):
@@ -71,12 +71,15 @@ class Encoder:
         vocabulary = self.tokenizer.get_vocab()
         self.last = np.zeros(max(vocabulary.values()) + 1, dtype=bool)  # ids that end a piece
         self.last[[k for token, k in vocabulary.items() if token.endswith(suffix)]] = True
-        self.known: dict[str, bytes] = {"": b""}
-        self.older: dict[str, bytes] = {}
-
-    def _plain(self, new: list[str]) -> list[bytes]:
-        """Ids of words without odd characters: all pieces at once, between spaces, put together by their number a word."""
-        data = np.frombuffer("\n".join(new).lower().encode(), dtype=np.uint8)
+        # words known, the place and number of their ids in the pool, and the batch that used them last
+        self.words = pa.array([""])
+        self.start, self.length, self.used = (np.zeros(1, dtype=np.int64) for _ in range(3))
+        self.pool, self.clock = np.empty(0, dtype="<u4"), 0
+
+    def _plain(self, new: pa.StringArray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of words without odd characters and their number a word: all pieces at once, between spaces."""
+        text = pc.binary_join(pa.ListArray.from_arrays([0, len(new)], new), "\n")[0].as_py()
+        data = np.frombuffer(text.lower().encode(), dtype=np.uint8)
         kind = _KIND[data]
         first = np.r_[True, kind[1:] != kind[:-1]] & (kind > 0) | (kind == 2)
         pieces = np.add.reduceat(first, np.r_[0, np.flatnonzero(kind == 0) + 1], dtype=np.int64)
@@ -85,48 +88,79 @@ class Encoder:
         ends = np.flatnonzero(self.last[ids]) + 1
         if len(ends) != pieces.sum():
             raise ValueError("the tokenizer does not mark the ends of pieces")
-        ends = (4 * ends[np.cumsum(pieces) - 1]).tolist()
-        data = ids.tobytes()
-        return [data[a:b] for a, b in zip([0, *ends], ends, strict=False)]
-
-    def _learn(self, new: list[str]) -> None:
-        known, older = self.known, self.older
-        if older:
-            known.update((w, older[w]) for w in new if w in older)
-            new = [w for w in new if w not in older]
-        odd = [w for w in new if _ODD(w)]
-        plain = [w for w in new if not _ODD(w)] if odd else new
-        for at in range(0, len(plain), 8192):
-            part = plain[at : at + 8192]
-            known.update(zip(part, self._plain(part), strict=True))
-        for at in range(0, len(odd), 8192):
-            part = odd[at : at + 8192]
-            for w, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True):
-                known[w] = array("I", e.ids).tobytes()
+        return ids, np.diff(ends[np.cumsum(pieces) - 1], prepend=0)
+
+    def _learn(self, new: pa.StringArray) -> np.ndarray:
+        """Appends new words, which are not empty; returns their places."""
+        offsets = np.frombuffer(new.buffers()[1], dtype=np.int32)[new.offset : new.offset + len(new) + 1]
+        data = np.frombuffer(new.buffers()[2], dtype=np.uint8)[offsets[0] : offsets[-1]]
+        after = np.r_[data[1:], np.uint8(0)]
+        lead = (data == 0xC2) & _AFTER_C2[after] | (data == 0xC3) & _AFTER_C3[after]
+        plain_byte = _ASCII[data] | lead | np.r_[False, lead[:-1]]
+        odd = np.add.reduceat(~plain_byte, offsets[:-1] - offsets[0], dtype=np.int64) > 0
+        plain, rest = new.filter(pa.array(~odd)), new.filter(pa.array(odd))
+        got = [self._plain(plain.slice(at, 8192)) for at in range(0, len(plain), 8192)]
+        for at in range(0, len(rest), 8192):
+            ids = [e.ids for e in self.tokenizer.encode_batch_fast(rest.slice(at, 8192).to_pylist(), add_special_tokens=False)]
+            got.append((np.array([k for x in ids for k in x], dtype="<u4"), np.array(list(map(len, ids)))))
+        length = np.concatenate([n for _, n in got])
+        known, pooled = len(self.words), len(self.pool)
+        self.words = pa.concat_arrays([self.words, plain, rest])
+        self.pool = np.concatenate([self.pool, *(ids for ids, _ in got)])
+        self.length = np.r_[self.length, length]
+        self.start = np.r_[self.start, pooled + np.cumsum(length) - length]
+        self.used = np.r_[self.used, np.zeros(len(new), dtype=np.int64)]
+        places = np.empty(len(new), dtype=np.int64)
+        places[~odd] = known + np.arange(len(plain))
+        places[odd] = known + len(plain) + np.arange(len(rest))
+        return places
+
+    def _forget(self) -> None:
+        self.used[0] = self.clock + 1  # the empty word stays
+        stay = np.sort(np.argsort(-self.used, kind="stable")[: CACHE // 2])
+        length = self.length[stay]
+        self.pool = self.pool[_runs(self.start[stay], length)]
+        self.words, self.length, self.used = self.words.take(pa.array(stay)), length, self.used[stay]
+        self.start = np.cumsum(length) - length
 
     def ids(self, texts: pa.Array) -> list[np.ndarray]:
         """Ids of each text (null: none) and the end id."""
-        if len(self.known) > CACHE:
-            self.known, self.older = {"": b""}, self.known
+        if len(self.words) > CACHE:
+            self._forget()
         lists = pc.ascii_split_whitespace(pc.fill_null(pa.array(texts, pa.string()), ""))
         numbered = lists.flatten().dictionary_encode()
-        different = numbered.dictionary.to_numpy(zero_copy_only=False).tolist()
-        blobs = list(map(self.known.get, different))
-        if None in blobs:
-            self._learn([w for w, x in zip(different, blobs, strict=True) if x is None])
-            blobs = [self.known[w] if x is None else x for w, x in zip(different, blobs, strict=True)]
-        pool = np.frombuffer(b"".join(blobs), dtype="<u4")
-        length = np.fromiter(map(len, blobs), dtype=np.int64, count=len(blobs)) // 4
-        start = np.cumsum(length) - length
-        word = numbered.indices.to_numpy()
-        own = length[word]
-        after = np.cumsum(own)
-        ends = np.r_[0, after][np.cumsum(lists.value_lengths().to_numpy())] if len(lists) else []
-        ids = pool[np.repeat(start[word] - (after - own), own) + np.arange(int(own.sum()))]
+        different = numbered.dictionary
+        at = pc.fill_null(pc.index_in(different, value_set=self.words), -1).to_numpy().astype(np.int64)
+        new = at < 0
+        if new.any():
+            at[new] = self._learn(different.filter(pa.array(new)))
+        self.clock += 1
+        self.used[at] = self.clock
+        word = at[numbered.indices.to_numpy()]
+        own = self.length[word]
+        ends = np.r_[0, np.cumsum(own)][np.cumsum(lists.value_lengths().to_numpy())] if len(lists) else []
+        ids = self.pool[_runs(self.start[word], own)]
         end = np.array([END], dtype="<u4")
         return [np.concatenate([ids[a:b], end]) for a, b in zip([0, *ends], ends, strict=False)]
 
 
+def _runs(start: np.ndarray, length: np.ndarray) -> np.ndarray:
+    """start, start + 1, ... of so many places, one run after the other."""
+    return np.repeat(start - (np.cumsum(length) - length), length) + np.arange(int(length.sum()))
+
+
+def _larger(batches, size: int = 8 << 20):
+    """Batches of ``size`` bytes or a little more: the fewer there are, the more of a batch's words are alike."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        held.append(batch)
+        if sum(b.nbytes for b in held) >= size:
+            yield pa.concat_batches(held)
+            held = []
+    if held:
+        yield pa.concat_batches(held)
+
+
 def _powers() -> tuple[np.ndarray, np.ndarray]:
     """Powers of the base's inverse and of the base, modulo 2**64."""
     n = 1 << 16
@@ -235,7 +269,7 @@ class TokenStore:
 
         def encode(batches):
             encoder, sent = per_worker(tokenizer, lambda: Encoder(tokenizer)), set()
-            for batch in batches:
+            for batch in _larger(batches):
                 rows: list[tuple] = []
                 for doc, ids in zip(batch.column(0), encoder.ids(batch.column(1)), strict=True):
                     own, start = [], 0
