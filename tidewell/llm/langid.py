@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from .common import Table, bounded_batches
 
 BUCKETS = 4096
-SAMPLE = 4096  # labelled rows the classifier is fitted on, over all languages; a documented bound
+SAMPLE = 2048  # labelled rows the classifier is fitted on, over all languages; a documented bound
 UNKNOWN = "und"
 LEAST_SCORE = 0.3  # a stage rejects what scores less; two undecided choices, of a family and within it, score 0.25
 
@@ -165,16 +165,21 @@ def fit(docs: DataFrame, sample: int = SAMPLE) -> Model:
         for batch in batches:
             kept = [k for k, t in enumerate(batch.column(1).to_pylist()) if has_letter(t)]
             texts = batch.column(1).take(pa.array(kept, pa.int64())).to_pylist()
-            profiles = pa.array([profile(t).tobytes() for t in texts], pa.binary())
+            profiles = [profile(t) for t in texts]
+            filled = [np.flatnonzero(p).astype("<u2") for p in profiles]  # few bins of a text are
+            profiles = pa.array([at.tobytes() + p[at].tobytes() for at, p in zip(filled, profiles, strict=True)], pa.binary())
             at = pa.array(kept, pa.int64())
             yield pa.RecordBatch.from_arrays([batch.column(0).take(at), profiles, batch.column(2).take(at)], ["lang", "profile", "doc_id"])
 
     doc_type = docs.schema["doc_id"].dataType.simpleString()
     profiles = rows.mapInArrow(run, f"lang string, profile binary, doc_id {doc_type}")
     order = [F.xxhash64("doc_id"), "doc_id", "lang", "profile"]
-    taken = [(r["lang"], np.frombuffer(r["profile"], dtype=np.float32)) for r in profiles.orderBy(*order).limit(2 * sample).toLocalIterator()]
-    x = np.stack([p for _, p in taken]) if taken else np.zeros((0, BUCKETS), np.float32)
-    return Model.fit(x, [lang for lang, _ in taken])
+    taken = profiles.orderBy(*order).limit(2 * sample).collect()  # a bounded number of rows of bounded size
+    x = np.zeros((len(taken), BUCKETS), np.float32)
+    for k, r in enumerate(taken):
+        n = len(r["profile"]) // 6
+        x[k, np.frombuffer(r["profile"], dtype="<u2", count=n)] = np.frombuffer(r["profile"], dtype="<f4", offset=2 * n)
+    return Model.fit(x, [r["lang"] for r in taken])
 
 
 def identify(docs: DataFrame, model: Model) -> DataFrame:

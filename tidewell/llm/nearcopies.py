@@ -3,17 +3,18 @@
 Candidates are the links of operator 8's anchors, fingerprints within 2 bits. They lack most
 edited copies: at 0.8 two fingerprints differ in about ten bits, more than any covering code of
 64 bits can bridge. So texts that share one of ``BANDS`` hashes of ``ROWS`` MinHash values are
-candidates as well; a pair at the bound shares none with a probability of (1 - 0.8 ** 5) ** 48 =
-5e-9, a closer one with less. No pair is taken for its hashes: shingles decide.
+candidates as well; a pair at the bound shares none with a probability of (1 - 0.8 ** 6) ** 48 =
+5e-7, a closer one with less. No pair is taken for its hashes: shingles decide.
 
 1. Each member of a bucket is compared with the bucket's smallest, the lead, and so are both
    ends of a SimHash link. A lead's members are dealt over groups of about ``STAR``, so a bucket
    of any size is many small tasks.
-2. Components of these links. Buckets within one component are done: more links would add nothing.
-3. In the others, members that are not the lead's are compared with all members of other
-   components, in cells of ``BLOCK`` by ``BLOCK`` texts. Those below ``RING`` with the lead are
-   too far from all that are linked to it (one minus Jaccard is a metric), so they are compared
-   among themselves only.
+2. Components of these links. What meets the lead within one component is done: more links
+   would add nothing.
+3. The others of a lead, its strangers, are compared with each other and with all that met it
+   without being ``LEAST`` alike to it, in cells of about ``BLOCK`` by ``BLOCK`` texts. With what
+   is ``LEAST`` alike to the lead only those need be that are ``RING`` alike to it themselves: one
+   minus Jaccard is a metric.
 
 Equal word sequences are one node (64 bits, so two of n differing texts meet with a probability
 of n ** 2 / 2 ** 65). No table holds pairs of a bucket, and no task more than a cell.
@@ -33,7 +34,7 @@ from .common import Table, bounded_batches, words
 from .simhash import components, fingerprint, keep_firsts
 from .simhash import links as anchor_links
 
-SEED, SHINGLE, LEAST, BANDS, ROWS = 42, 5, 0.8, 48, 5
+SEED, SHINGLE, LEAST, BANDS, ROWS = 42, 5, 0.8, 48, 6
 RING = 1 - 2 * (1 - LEAST)  # what is less alike to a lead than this is not LEAST alike to anything that is LEAST alike to the lead
 STAR, BLOCK = 2048, 512  # members compared with a lead in one group; texts on either side of a cell
 _ODD = np.random.default_rng(SEED).integers(0, 1 << 63, (2, BANDS * ROWS), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -157,9 +158,9 @@ def _edges(rows: list[tuple]) -> pa.RecordBatch:
 
 
 def leads(members: DataFrame) -> DataFrame:
-    """(lead, node): each member of a bucket with the bucket's smallest. ``members``: band, node, distinct."""
-    heads = members.groupBy("band").agg(F.min("node").alias("lead"), F.count("*").alias("n")).where("n > 1")
-    return members.join(heads, "band").where("node <> lead").select("lead", "node")
+    """Distinct (lead, node): each member of a bucket with the bucket's smallest. ``members``: band, node, distinct."""
+    heads = members.groupBy("band").agg(F.min("node").alias("lead"), F.count("*").alias("n")).where("n > 1").select("band", "lead")
+    return members.join(heads, "band").where("node <> lead").select("lead", "node").distinct()
 
 
 def stars(pairs: DataFrame, texts: DataFrame, star: int) -> DataFrame:
@@ -189,45 +190,39 @@ def stars(pairs: DataFrame, texts: DataFrame, star: int) -> DataFrame:
     return met.mapInArrow(compare, "a long, b long, alike double")
 
 
-def rest(members: DataFrame, alike: DataFrame, roots: DataFrame, texts: DataFrame, block: int) -> DataFrame:
-    """(a, b, alike) of links that the leads do not tell: between components within a bucket.
-
-    ``members``: band, node; ``alike``: a, b, alike; ``roots``: node, root of what is linked already.
-    """
+def rest(alike: DataFrame, roots: DataFrame, texts: DataFrame, block: int) -> DataFrame:
+    """(a, b, alike) of links that the leads do not tell. ``alike``: a (lead), b, alike; ``roots``: node, root of what is linked."""
     root = lambda rows, of, out: rows.join(roots.select(F.col("node").alias(of), F.col("root").alias("__r")), of, "left").withColumn(out, F.coalesce("__r", of)).drop("__r")
-    # (lead, node) in different components; only their buckets are looked at again
-    open_ = Table(root(root(alike, "a", "root_a"), "b", "root_b").where("root_a <> root_b"), "open").df
-    strangers = open_.select(F.col("a").alias("lead"), F.col("b").alias("node"), "alike")
-    mine = members.join(strangers.select("node").distinct(), "node", "left_semi")
-    firsts = members.join(mine.select("band").distinct(), "band", "left_semi").groupBy("band").agg(F.min("node").alias("lead"))
-    named = Table(mine.join(firsts, "band").join(strangers, ["lead", "node"]).select("band", "node", (F.col("alike") >= RING - 1e-9).alias("ring")), "strangers").df
-    # in a bucket with strangers in the ring all members take part, else the strangers alone
-    wide = named.groupBy("band").agg(F.bool_or("ring").alias("wide"), F.count("*").alias("n"))
-    others = members.join(wide.where("wide"), "band", "left_semi").join(named.select("band", "node"), ["band", "node"], "left_anti")
-    every = root(named.unionByName(others.withColumn("ring", F.lit(None).cast("boolean"))), "node", "root")
-    sizes = every.groupBy("band").agg(F.ceil(F.count("ring") / block).alias("lefts"), F.ceil(F.count("*") / block).alias("rights"))
-    each = every.join(sizes, "band")
+    met = root(root(alike, "a", "root_a"), "b", "root")
+    stranger, direct = F.col("root_a") != F.col("root"), F.col("alike") >= LEAST - 1e-9
+    met = met.select(F.col("a").alias("lead"), F.col("b").alias("node"), "root", stranger.alias("stranger"), direct.alias("direct"), (stranger & (F.col("alike") >= RING - 1e-9)).alias("ring"))
+    met = Table(met, "met").df
+    far = F.count_if(~F.col("direct"))  # strangers among them
+    sizes = met.groupBy("lead").agg(F.count_if("stranger").alias("left"), F.bool_or("ring").alias("wide"), F.count("*").alias("every"), far.alias("far")).where("left > 0")
+    sizes = sizes.select("lead", "wide", "left", F.when(F.col("wide"), F.col("every")).otherwise(F.col("far")).alias("right")).where("right > 1")
+    sizes = sizes.select("lead", "wide", F.ceil(F.col("left") / block).alias("lefts"), F.ceil(F.col("right") / block).alias("rights"))
+    each = met.join(sizes, "lead")
     at = lambda n: F.pmod(F.xxhash64("node"), F.col(n))
     all_ = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
-    cells = each.where("ring IS NOT NULL").select("band", at("lefts").alias("i"), all_("rights").alias("j"), F.lit(0).alias("side"), "node", "root", "ring")
-    cells = cells.unionByName(each.select("band", all_("lefts").alias("i"), at("rights").alias("j"), F.lit(1).alias("side"), "node", "root", "ring"))
+    cells = each.where("stranger").select("lead", at("lefts").alias("i"), all_("rights").alias("j"), F.lit(0).alias("side"), "node", "root")
+    cells = cells.unionByName(each.where("wide OR NOT direct").select("lead", all_("lefts").alias("i"), at("rights").alias("j"), F.lit(1).alias("side"), "node", "root"))
 
     def compare(batches):
         for group in _groups(batches, 3):
             left, right = [r for r in group if r[3] == 0], [r for r in group if r[3] == 1]
             if left and right:
-                pairs = across([shingles(r[7]) for r in left], [shingles(r[7]) for r in right], ([r[5] for r in left], [r[5] for r in right]))
+                pairs = across([shingles(r[6]) for r in left], [shingles(r[6]) for r in right], ([r[5] for r in left], [r[5] for r in right]))
                 yield _edges([(left[i][4], right[j][4], LEAST) for i, j in pairs])
 
-    met = cells.join(texts, "node").select("band", "i", "j", "side", "node", "root", "ring", "text").repartition("band", "i", "j").sortWithinPartitions("band", "i", "j")
-    return met.mapInArrow(compare, "a long, b long, alike double")
+    dealt = cells.join(texts, "node").select("lead", "i", "j", "side", "node", "root", "text").repartition("lead", "i", "j").sortWithinPartitions("lead", "i", "j")
+    return dealt.mapInArrow(compare, "a long, b long, alike double")
 
 
 def groups(docs: DataFrame, prints: DataFrame, star: int = STAR, block: int = BLOCK) -> DataFrame:
     """(node, root) of the nodes that are linked. ``prints``: node, fp, bands of all rows."""
     spark = docs.sparkSession
     bounded_batches(spark)
-    members = Table(prints.dropDuplicates(["node"]).select(F.explode("bands").alias("band"), "node"), "members").df
+    members = prints.dropDuplicates(["node"]).select(F.explode("bands").alias("band"), "node")
     # a fingerprint's nodes go with its smallest one, those of linked fingerprints with each other
     firsts = prints.groupBy("fp").agg(F.min("node").alias("lead"))
     within = prints.select("node", "fp").distinct().join(firsts, "fp").where("node <> lead").select("lead", "node")
@@ -246,8 +241,11 @@ def groups(docs: DataFrame, prints: DataFrame, star: int = STAR, block: int = BL
     alike = Table(stars(pairs, texts, star), "alike").df
     near = alike.where(F.col("alike") >= LEAST - 1e-9).select("a", "b")
     roots = components(near).df
-    more = Table(rest(members, alike, roots, texts, block).select("a", "b"), "rest").df
-    return components(near.unionByName(more)).df
+    more = Table(rest(alike, roots, texts, block).select("a", "b"), "rest").df
+    if more.isEmpty():
+        return roots
+    known = roots.select(F.col("node").alias("a"), F.col("root").alias("b")).where("a <> b")  # as connected as all links before
+    return components(known.unionByName(more)).df
 
 
 def keep_one(docs: DataFrame, star: int = STAR, block: int = BLOCK) -> DataFrame:
