@@ -52,8 +52,12 @@ def reference_key(text: Column) -> Column:
 
 
 def has_reference_shape(key: Column) -> Column:
-    """Two to four letters then two to six digits, or two to six digits then one to four letters."""
-    return key.rlike("^(?:[A-Z]{2,4}[0-9]{2,6}|[0-9]{2,6}[A-Z]{1,4})$")
+    """whether a key's letters and digits are as many as ``query.REFERENCE_SHAPES`` wants."""
+    from .query import REFERENCE_SHAPES
+
+    runs = {"L": "[A-Z]", "D": "[0-9]"}
+    shapes = ("".join(f"{runs[kind]}{{{low},{high}}}" for kind, low, high in shape) for shape in REFERENCE_SHAPES)
+    return key.rlike(f"^(?:{'|'.join(shapes)})$")
 
 
 def model_key(text: Column) -> Column:

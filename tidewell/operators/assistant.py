@@ -1,4 +1,4 @@
-"""Rule-based question answering: a question becomes an intent, an intent a small plan."""
+"""Rule-based question answering: a question becomes an intent, an intent a small plan."""
 
 from __future__ import annotations
 
@@ -87,3 +87,27 @@ def interpretations(parts: dict[str, DataFrame]) -> DataFrame:
 def option_of(df: DataFrame, key: str, code, option: str, flag: str, text: str) -> DataFrame:
     """A yes-or-no or textual option; words for 'not applicable' stay as they are."""
     return df.where((F.col(key) == code) & (F.col("option") == option)).select(key, F.coalesce(F.col(text), F.when(F.col(flag), "yes").otherwise("no")).alias("value"))
+
+
+def attribute_of(df: DataFrame, key: str, band: str, value: str, attributes: list[str]) -> DataFrame:
+    """Attributes of the records of a band (or of one code): key, attribute, value of each that is known."""
+    entries = F.array(*[F.struct(F.lit(a).alias("attribute"), F.col(a).cast("string").alias("value")) for a in attributes])
+    return df.where(F.col(band) == value).select(key, F.inline(entries)).where("value IS NOT NULL")
+
+
+# Words that say that an option does not apply.
+NOT_APPLICABLE = ("not applicable", "n/a", "none", "sans objet")
+
+
+def verbatim(df: DataFrame, key: str, told: str) -> DataFrame:
+    """Values as they were told; words for 'not applicable' are kept, in small letters, and are never numbers."""
+    low = F.lower(F.trim(told))
+    return df.select(key, F.when(low.isin(*NOT_APPLICABLE), low).otherwise(F.col(told)).alias("value"))
+
+
+def header_field(df: DataFrame, key: str, code, asked: str, fields: dict[str, str]) -> DataFrame:
+    """One header field of a code, by the name it is asked by; unknown names find nothing."""
+    column = fields.get(asked)
+    if column is None:
+        return df.where("false").select(key, F.lit(asked).alias("field"), F.lit(None).cast("string").alias("value"))
+    return df.where(F.col(key) == code).select(key, F.lit(column).alias("field"), F.col(column).cast("string").alias("value"))

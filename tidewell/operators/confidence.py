@@ -1,4 +1,4 @@
-"""Robust statistics, reuse confidence and threshold calibration."""
+"""Robust statistics, reuse confidence and threshold calibration."""
 
 from __future__ import annotations
 
@@ -91,3 +91,17 @@ def recommended_threshold(df: DataFrame, family: str, score: str, correct: Colum
     running = values.select(family, "threshold", F.sum("n").over(above).alias("n"), F.sum("c").over(above).alias("c"))
     fits = (F.col("n") >= least) & (F.col("c") / F.col("n") >= target - 1e-9)
     return running.groupBy(family).agg(F.min(F.when(fits, F.col("threshold"))).alias("threshold"))
+
+
+def target_gaps(rows: DataFrame, key: str, target, keys: Sequence[str], value: str) -> DataFrame:
+    """One record against its population (the others of equal keys): their number, its gap to their median, whether they suffice for a score."""
+    own = F.broadcast(rows.where(F.col(key) == target).select(*keys, F.col(value).alias("__v")).limit(1))  # one row
+    others = rows.where(F.col(key) != target).join(own, list(keys))
+    stats = others.groupBy(*keys).agg(F.count(value).alias("n"), F.percentile(value, 0.5).alias("m"), F.first("__v").alias("v"))
+    return stats.select(*keys, "n", F.round(F.col("v") - F.col("m"), 3).alias("gap"), (F.col("n") >= LEAST_POPULATION).alias("scored"))
+
+
+def calibration_proposal(df: DataFrame, family: str, score: str, correct: Column, sheet: str, target: float, least_sheets: int) -> DataFrame:
+    """Per family the recommended threshold (A30) and whether enough sheets were observed to apply it."""
+    sheets = df.groupBy(family).agg((F.countDistinct(sheet) >= least_sheets).alias("applicable"))
+    return recommended_threshold(df, family, score, correct, target).join(sheets, family)

@@ -1,4 +1,4 @@
-"""Hashing encoder, centroid classifier and keyword rules."""
+"""Hashing encoder, centroid classifier and keyword rules."""
 
 from __future__ import annotations
 

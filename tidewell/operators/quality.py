@@ -1,4 +1,4 @@
-"""Quality dashboard, cartography and journal aggregations."""
+"""Quality dashboard, cartography and journal aggregations."""
 
 from __future__ import annotations
 
@@ -104,11 +104,12 @@ def top_queries(journal: DataFrame, query: str, results: Column, at: str) -> Dat
     return journal.groupBy(query).agg(F.count("*").alias("n"), F.count_if(empty).alias("n_empty"), F.max(at).alias("last_at"))
 
 
-def tiers(score: Column) -> list[Column]:
-    """Counts of the four confidence tiers; unknown scores are in the lowest."""
+def tiers(score: Column, full: float = 1.0) -> list[Column]:
+    """Counts of the four confidence tiers of scores up to ``full``; unknown scores are in the lowest."""
+    top, high, low = (round(x * full, 6) for x in (0.99, 0.90, 0.85))
     return [
-        F.count_if(score >= 0.99).alias("tier_1"), F.count_if((score >= 0.90) & (score < 0.99)).alias("tier_2"),
-        F.count_if((score >= 0.85) & (score < 0.90)).alias("tier_3"), F.count_if(score.isNull() | (score < 0.85)).alias("tier_4"),
+        F.count_if(score >= top).alias("tier_1"), F.count_if((score >= high) & (score < top)).alias("tier_2"),
+        F.count_if((score >= low) & (score < high)).alias("tier_3"), F.count_if(score.isNull() | (score < low)).alias("tier_4"),
     ]
 
 
@@ -116,3 +117,46 @@ def redundant_bytes(files: DataFrame, digest: str, size: str) -> DataFrame:
     """Equal size and hash: files that could go and their bytes."""
     groups = files.groupBy(digest, size).agg(F.count("*").alias("n")).where("n > 1")
     return groups.agg(F.count("*").alias("groups"), F.sum(F.col("n") - 1).alias("redundant_files"), F.sum((F.col("n") - 1) * F.col(size)).alias("redundant_bytes"))
+
+
+def majority(df: DataFrame, keys: Sequence[str], form: str) -> DataFrame:
+    """per key its most frequent form (then the shortest, then the first) and how many rows have any."""
+    forms = df.where(F.col(form).isNotNull()).groupBy(*keys, form).agg(F.count("*").alias("n"))
+    return forms.groupBy(*keys).agg(F.min_by(form, F.struct(-F.col("n"), F.length(form), form)).alias("majority"), F.sum("n").alias("n"))
+
+
+def structure_score(pages: DataFrame, places: DataFrame, key: str, vocabulary: Sequence[str], width: float = 10.0, least: int = 3) -> DataFrame:
+    """0.6 of the share of the vocabulary on a page (``words``) and 0.4 of its places (``x``) that line up.
+
+    Places line up if ``least`` or more of a page fall into one bucket of ``width``.
+    """
+    from ..functions.fields import vocabulary_share
+
+    buckets = places.groupBy(key, F.floor(F.col("x") / width).alias("bucket")).agg(F.count("*").alias("n"))
+    aligned = buckets.groupBy(key).agg((F.sum(F.when(F.col("n") >= least, F.col("n")).otherwise(0)) / F.sum("n")).alias("aligned"))
+    score = 0.6 * vocabulary_share(F.col("words"), vocabulary) + 0.4 * F.coalesce("aligned", F.lit(0.0))
+    return pages.join(aligned, key, "left").select(key, F.round(score, 6).alias("score"))
+
+
+def dashboard(parts: dict[str, DataFrame]) -> DataFrame:
+    """Several indicators (label, value) as one table of metric, label, value."""
+    rows = [df.select(F.lit(name).alias("metric"), F.col("label").cast("string").alias("label"), F.col("value").cast("double").alias("value")) for name, df in parts.items()]
+    out = rows[0]
+    for part in rows[1:]:
+        out = out.unionByName(part)
+    return out
+
+
+def journal_report(journal: DataFrame, query: str, empty: Column, n: int) -> DataFrame:
+    """Part, query, n: the most frequent queries, the most frequent ones without results, and the total."""
+    counted = journal.groupBy(F.col(query).alias("query")).agg(F.count("*").alias("n"), F.count_if(empty).alias("e"))
+    frequent = counted.orderBy(F.desc("n"), "query").limit(n).select(F.lit("frequent").alias("part"), "query", "n")
+    none = counted.where("e > 0").orderBy(F.desc("e"), "query").limit(n).select(F.lit("empty").alias("part"), "query", F.col("e").alias("n"))
+    return frequent.unionByName(none).unionByName(journal.agg(F.lit("total").alias("part"), F.lit("all").alias("query"), F.count("*").alias("n")))
+
+
+def reindex_measures(name: str, before: DataFrame, after: DataFrame, key: str) -> DataFrame:
+    """Rows before and after a rebuild, and how many of the former are not among the latter."""
+    lost = before.select(key).join(after.select(key), key, "left_anti").agg(F.count("*").alias("lost"))
+    one = lambda df, c: df.agg(F.count("*").alias(c))
+    return one(before, "before").crossJoin(one(after, "after")).crossJoin(lost).select(F.lit(name).alias("name"), "before", "after", "lost")  # one row each

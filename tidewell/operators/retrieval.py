@@ -104,7 +104,7 @@ def fuse(sources: Sequence[DataFrame], k: int = RRF_K) -> DataFrame:
 
 def promote(fused: DataFrame, exact: DataFrame) -> DataFrame:
     """Exact reference hits go ahead, the order is otherwise kept."""
-    hits = F.broadcast(exact.select("id").distinct().limit(5000).withColumn("exact", F.lit(True)))
+    hits = exact.select("id").distinct().withColumn("exact", F.lit(True))  # of any number: how they are joined is left to their measured size
     return fused.join(hits, "id", "left").withColumn("exact", F.coalesce("exact", F.lit(False)))
 
 
@@ -145,10 +145,13 @@ def suggestions(values: Sequence[tuple[str, DataFrame, str]], typed: str, least:
     own = typed.strip().lower()
     every = reduce(DataFrame.unionByName, [df.select(F.lit(nature).alias("nature"), F.col(c).alias("value")).distinct() for nature, df, c in values])
     keyed = every.where("value IS NOT NULL").withColumn("key", T.search_key(F.col("value")))
-    fuzzy = T.trigram_similarity(T.trigrams(F.col("key")), T.trigrams(F.lit(own)))
-    rank = F.when(F.col("key") == own, 0).when(F.col("key").startswith(own), 2).when(fuzzy > least, 3)
-    score = F.when(F.col("key") == own, 1.0).when(F.col("key").startswith(own), 0.70 + 0.25 * len(own) / F.length("key")).otherwise(fuzzy)
-    found = keyed.withColumn("rank", rank).withColumn("score", F.round(score, 6)).where("rank IS NOT NULL")
+    equal, prefix = F.col("key") == own, F.col("key").startswith(own)
+    # trigrams only of what is neither equal nor a continuation
+    fuzzy = F.when(~(equal | prefix), T.trigram_similarity(T.trigrams(F.col("key")), T.trigrams(F.lit(own))))
+    scored = keyed.select("nature", "value", "key", F.explode(F.array(F.coalesce(fuzzy, F.lit(0.0)))).alias("fuzzy"))  # once, not for each test
+    rank = F.when(equal, 0).when(prefix, 2).when(F.col("fuzzy") > least, 3)
+    score = F.when(equal, 1.0).when(prefix, 0.70 + 0.25 * len(own) / F.length("key")).otherwise(F.col("fuzzy"))
+    found = scored.withColumn("rank", rank).withColumn("score", F.round(score, 6)).where("rank IS NOT NULL")
     best = Window.partitionBy("key").orderBy("rank", F.desc("score"), "value", "nature")
     return found.withColumn("place", F.row_number().over(best)).where("place = 1").select("nature", "value", "rank", "score")
 
@@ -194,3 +197,21 @@ def model_match(values: DataFrame, key: str, models: DataFrame, least: float = T
     fuzzy = near.select(key, "model_id", F.when(prefix, 2).otherwise(3).alias("tier"), F.round(F.col("shared") / sizes, 6).alias("score")).where((F.col("tier") == 2) | (F.col("score") >= least))
     best = Window.partitionBy(key).orderBy("tier", F.desc("score"), "model_id")
     return exact.unionByName(fuzzy).withColumn("__p", F.row_number().over(best)).where("__p = 1").drop("__p")
+
+
+def expand(df: DataFrame, key: str, words: Column, phrases: DataFrame, longest: int = 8) -> DataFrame:
+    """R16 in bulk: each row's words with the longest synonyms in their place, from left to right.
+
+    ``phrases``: phrase, target. A phrase that begins inside one already taken is passed over.
+    """
+    found = synonyms(df, key, words, phrases, longest)
+    entry = F.sort_array(F.collect_list(F.struct("at", "length", "target")))  # spans of one row, one a word at most
+    taken = found.groupBy(key).agg(entry.alias("found"))
+    start = F.struct(F.lit(0).alias("end"), F.array().cast("array<string>").alias("out"))
+
+    def step(done: Column, x: Column) -> Column:
+        free = x["at"] > done["end"]
+        return F.struct(F.when(free, x["at"] + x["length"] - 1).otherwise(done["end"]).alias("end"), F.when(free, F.concat(done["out"], F.slice(words, done["end"] + 1, x["at"] - done["end"] - 1), F.array(x["target"]))).otherwise(done["out"]).alias("out"))
+
+    whole = F.aggregate(F.coalesce("found", F.array().cast("array<struct<at:int,length:int,target:string>>")), start, step, lambda done: F.concat(done["out"], F.slice(words, done["end"] + 1, F.greatest(F.size(words) - done["end"], F.lit(0)))))
+    return df.join(taken, key, "left").select(key, F.array_join(whole, " ").alias("expanded"))

@@ -1,4 +1,4 @@
-"""Coherence rules, routing and decisions as columns."""
+"""Coherence rules, routing and decisions as columns (X01-X14 but X12, X33)."""
 
 from __future__ import annotations
 
@@ -102,3 +102,17 @@ def learned_corrections(corrections: DataFrame, keys: Sequence[str], raw: str, c
     counts = corrections.groupBy(*keys, raw, corrected).agg(F.count("*").alias("occurrences"))
     best = Window.partitionBy(*keys, raw).orderBy(F.desc("occurrences"), corrected)
     return counts.withColumn("place", F.row_number().over(best)).where(F.col("place") <= n)
+
+
+def within_tolerance(expected: Column, got: Column, share: float) -> Column:
+    """As near to the expected value as the larger of 0.005 and its share."""
+    return F.abs(expected - got) <= F.greatest(F.lit(0.005), share * F.abs(expected))
+
+
+def projection(traces: DataFrame, key: str, confidence: str, method: str, field: Column, odd: Column) -> DataFrame:
+    """One record from its field traces: mean confidence, main method (most frequent, then first), completeness, plausibility."""
+    stats = traces.groupBy(key).agg(F.round(F.avg(confidence), 6).alias("confidence"), F.count_if(odd).alias("odd"), F.countDistinct(field).alias("filled"))
+    methods = traces.groupBy(key, method).agg(F.count("*").alias("n")).groupBy(key).agg(F.min_by(method, F.struct(-F.col("n"), method)).alias("main"))
+    complete = F.when(F.col("filled") >= 4, "complete").when(F.col("filled") >= 2, "partial").otherwise("poor")
+    plausible = F.when(F.col("odd") == 0, "plausible").otherwise("to_check")
+    return stats.join(methods, key).select(key, "confidence", "main", complete.alias("completeness"), plausible.alias("plausibility"))

@@ -86,10 +86,14 @@ def w09_resolve_or_create(t: Tables) -> DataFrame:
     return W.resolve_or_create(t.documents.select("source"), "source", known, "name", "id").agg(F.count("*").alias("names"), F.countDistinct("name").alias("distinct_names"))
 
 
-@query("""SELECT id, CASE WHEN k = 1 THEN name ELSE regexp_replace(name, '(\\.[^./]+)$', '') || '-' || k || regexp_extract(name, '(\\.[^./]+)$', 1) END AS name FROM (SELECT doc_id AS id, source || '.txt' AS name, row_number() OVER (PARTITION BY source ORDER BY doc_id) + CASE WHEN source IN ('src1', 'src2') THEN 1 ELSE 0 END AS k FROM documents)""")
+@query("""WITH w AS (SELECT doc_id AS id, source AS stem, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS k FROM documents), taken(name) AS (VALUES ('src1.txt'), ('src1-2.txt'), ('src2-2.txt'), ('src2-4.txt'), ('src3.txt')),
+c AS (SELECT stem, n, stem || CASE WHEN n > 1 THEN '-' || n ELSE '' END || '.txt' AS name FROM (SELECT DISTINCT stem FROM w), range(1, (SELECT max(k) + 10 FROM w)) r(n)),
+free AS (SELECT stem, name, row_number() OVER (PARTITION BY stem ORDER BY n) AS k FROM c WHERE name NOT IN (SELECT name FROM taken))
+SELECT id, name FROM w JOIN free USING (stem, k)""")
 def w15_free_names(t: Tables) -> DataFrame:
     wanted = t.documents.select(F.col("doc_id").alias("id"), F.concat("source", F.lit(".txt")).alias("name"))
-    return W.free_names(wanted, "name", t.spark.createDataFrame([("src1.txt",), ("src2.txt",)], "name string"))
+    taken = [("src1.txt",), ("src1-2.txt",), ("src2-2.txt",), ("src2-4.txt",), ("src3.txt",)]
+    return W.free_names(wanted, "name", t.spark.createDataFrame(taken, "name string"))
 
 
 @query("SELECT 'orders' AS name, count(*) AS n FROM orders UNION ALL SELECT 'lineitem', count(*) FROM lineitem UNION ALL SELECT 'customer', count(*) FROM customer UNION ALL SELECT 'documents', count(*) FROM documents")
@@ -98,13 +102,16 @@ def l02_row_counts(t: Tables) -> DataFrame:
     return counts[0].unionByName(counts[1]).unionByName(counts[2]).unionByName(counts[3])
 
 
+def _with_now(t: Tables) -> DataFrame:
+    """Events with the newest time, which stands in for the clock: one row, so it is broadcast."""
+    return t.events.crossJoin(F.broadcast(t.events.agg(F.max("ts").alias("now"))))
+
+
 @query("""WITH a AS (SELECT user_id, floor(epoch(ts))::BIGINT AS s, event_type = 'error' AS failed FROM events), n AS (SELECT max(floor(epoch(ts))::BIGINT) AS now FROM events), ok AS (SELECT user_id, max(s) FILTER (WHERE NOT failed) AS ok FROM a GROUP BY 1),
 r AS (SELECT a.user_id, count(*) AS failures, max(s) AS last FROM a JOIN ok USING (user_id), n WHERE failed AND s > coalesce(ok, -4611686018427387904) AND s > now - 10080 * 60 GROUP BY 1)
 SELECT user_id, failures, CASE WHEN failures >= 2 THEN greatest(0, last + 10080 * 60 - now) ELSE 0 END::BIGINT AS locked_s FROM r, n""")
 def l04_lockout(t: Tables) -> DataFrame:
-    rows = t.events.crossJoin(F.broadcast(t.events.agg(F.max("ts").alias("now"))))
-    now = t.events.agg(F.max("ts")).first()[0]
-    return J.lockout(rows, "user_id", "ts", F.col("event_type") == "error", F.lit(now), 10080, 2)
+    return J.lockout(_with_now(t), "user_id", "ts", F.col("event_type") == "error", F.col("now"), 10080, 2)
 
 
 @query("SELECT doc_id, concat_ws(',', CASE WHEN quality IS NULL THEN 'quality' END, CASE WHEN toxic IS NULL THEN 'toxic' END) AS missing FROM documents LEFT JOIN labels USING (doc_id) WHERE quality IS NULL OR toxic IS NULL")
@@ -151,8 +158,7 @@ def t05_orphan_recovery(t: Tables) -> DataFrame:
 
 @query("SELECT event_id FROM events WHERE ts < (SELECT max(ts) FROM events) - INTERVAL 300 SECOND")
 def t06_stale_heartbeats(t: Tables) -> DataFrame:
-    now = t.events.agg(F.max("ts")).first()[0]
-    return J.stale(t.events, "ts", F.lit(now)).select("event_id")
+    return J.stale(_with_now(t), "ts", F.col("now")).select("event_id")
 
 
 @query("""WITH w AS (SELECT event_id, count(*) OVER w AS n FROM (SELECT *, floor(epoch(ts))::BIGINT AS s FROM events) WINDOW w AS (PARTITION BY event_type ORDER BY s RANGE BETWEEN 60 PRECEDING AND CURRENT ROW))
@@ -163,9 +169,8 @@ def t07_rate_limit_window(t: Tables) -> DataFrame:
 
 @query("SELECT event_id FROM events WHERE ts < (SELECT max(ts) FROM events) - INTERVAL 10 DAY AND user_id NOT IN (SELECT c_custkey FROM customer WHERE c_acctbal > 5000)")
 def t10_retention(t: Tables) -> DataFrame:
-    now = t.events.agg(F.max("ts")).first()[0]
     kept = t.customer.where("c_acctbal > 5000").select(F.col("c_custkey").alias("user_id"))
-    return J.retention(t.events, "ts", F.lit(now), 10, kept, "user_id").select("event_id")
+    return J.retention(_with_now(t), "ts", F.col("now"), 10, kept, "user_id").select("event_id")
 
 
 @query("""WITH g AS (SELECT *, coalesce(epoch_us(ts) - epoch_us(lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id)) > 1800000000, true) AS fresh FROM events),

@@ -8,8 +8,10 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from ..functions import values as V
 from ..operators import assistant as A
+from ..operators import decisions as X
 from ..operators import dedup as D
 from ..operators import latest as L
+from ..operators import listings as S
 from ..operators import rules as U
 from ..operators import search as H
 from ..sources import merge as W
@@ -143,65 +145,62 @@ def x07_disagreement(t: Tables) -> DataFrame:
 @query("""WITH c AS (SELECT o_orderkey, 'status' AS field, o_orderstatus AS canonical FROM orders UNION ALL SELECT o_orderkey, 'priority', lower(o_orderpriority) FROM orders), k AS (SELECT o_orderkey, 'status' AS field, CASE WHEN o_orderkey % 2 = 0 THEN o_orderstatus ELSE 'X' END AS v FROM orders WHERE o_orderkey % 3 = 0 UNION ALL SELECT o_orderkey, 'other', 'z' FROM orders WHERE o_orderkey % 100 = 0)
 SELECT k.o_orderkey, k.field, CASE WHEN c.field IS NULL THEN 'not_propagable' WHEN c.canonical = k.v THEN 'coherent' ELSE 'divergent' END AS state FROM k LEFT JOIN c USING (o_orderkey, field)""")
 def x12_correction_divergence(t: Tables) -> DataFrame:
-    o = t.orders
-    canonical = o.select("o_orderkey", F.inline(F.array(F.struct(F.lit("status").alias("field"), F.col("o_orderstatus").alias("canonical")), F.struct(F.lit("priority").alias("field"), F.lower("o_orderpriority").alias("canonical")))))
-    k = F.col("o_orderkey")
-    fixed = o.where(k % 3 == 0).select("o_orderkey", F.lit("status").alias("field"), F.when(k % 2 == 0, F.col("o_orderstatus")).otherwise("X").alias("v")).unionByName(o.where(k % 100 == 0).select("o_orderkey", F.lit("other").alias("field"), F.lit("z").alias("v")))
-    state = F.when(F.col("canonical").isNull(), "not_propagable").when(F.col("canonical") == F.col("v"), "coherent").otherwise("divergent")
-    return fixed.join(canonical, ["o_orderkey", "field"], "left").select("o_orderkey", "field", state.alias("state"))
+    o, k = t.orders, F.col("o_orderkey")
+    canonical = X.unpivot_text(o, "o_orderkey", {"status": F.col("o_orderstatus"), "priority": F.lower("o_orderpriority")}, "canonical")
+    fixed = o.where(k % 3 == 0).select("o_orderkey", F.lit("status").alias("field"), F.when(k % 2 == 0, F.col("o_orderstatus")).otherwise("X").alias("v"))
+    fixed = fixed.unionByName(o.where(k % 100 == 0).select("o_orderkey", F.lit("other").alias("field"), F.lit("z").alias("v")))
+    return X.divergence(fixed, canonical, ["o_orderkey", "field"], "v", "canonical")
 
 
 @query("""WITH m AS (SELECT p_partkey, p_brand, unnest(string_split(p_name, ' ')) AS w, generate_subscripts(string_split(p_name, ' '), 1) AS role FROM part), n AS (SELECT p_brand, role, count(*) AS total FROM m GROUP BY 1, 2), s AS (SELECT p_brand, role, w, count(*) AS same FROM m GROUP BY 1, 2, 3)
 SELECT p_partkey, round(avg(round(same / total::DOUBLE, 3)), 5) AS share FROM m JOIN n USING (p_brand, role) JOIN s USING (p_brand, role, w) GROUP BY 1""")
 def x23_material_agreement(t: Tables) -> DataFrame:
     m = t.part.select("p_partkey", "p_brand", F.posexplode(F.split("p_name", " ")).alias("role", "w"))
-    total = m.groupBy("p_brand", "role").agg(F.count("*").alias("total"))
-    same = m.groupBy("p_brand", "role", "w").agg(F.count("*").alias("same"))
-    shares = m.join(same, ["p_brand", "role", "w"]).join(total, ["p_brand", "role"])
-    return shares.groupBy("p_partkey").agg(F.round(F.avg(F.round(F.col("same") / F.col("total"), 3)), 5).alias("share"))
+    return X.agreement(m, "p_brand", "p_partkey", "role", "w")
 
 
 @query("""WITH k AS (SELECT n_regionkey, first(n_name ORDER BY length(n_name), n_name) AS canonical, count(*) AS n FROM nation GROUP BY 1) SELECT * FROM k""")
 def x34_canonical_choice(t: Tables) -> DataFrame:
-    return t.nation.groupBy("n_regionkey").agg(F.min_by("n_name", F.struct(F.length("n_name"), "n_name")).alias("canonical"), F.count("*").alias("n"))
+    return X.canonical_choice(t.nation, "n_regionkey", "n_name")
 
 
 @query("""WITH l AS (SELECT o_orderkey AS k, 0 AS p, 'final' AS link FROM orders WHERE o_orderstatus = 'F' UNION ALL SELECT o_orderkey, 1, 'large' FROM orders WHERE o_totalprice > 200000 UNION ALL SELECT o_orderkey, 2, 'urgent' FROM orders WHERE contains(o_orderpriority, 'URGENT'))
 SELECT o_orderkey, arg_min(link, p) AS link FROM orders LEFT JOIN l ON k = o_orderkey GROUP BY 1""")
 def x36_best_link(t: Tables) -> DataFrame:
-    part = lambda p, name, where: t.orders.where(where).select(F.col("o_orderkey").alias("k"), F.lit(p).alias("p"), F.lit(name).alias("link"))
-    links = part(0, "final", "o_orderstatus = 'F'").unionByName(part(1, "large", "o_totalprice > 200000")).unionByName(part(2, "urgent", F.contains("o_orderpriority", F.lit("URGENT"))))
-    return t.orders.select("o_orderkey").join(L.best_trace(links, ["k"], "link", -F.col("p")), F.col("k") == F.col("o_orderkey"), "left").select("o_orderkey", "link")
+    part = lambda name, where: t.orders.where(where).select("o_orderkey", F.lit(name).alias("link"))
+    links = S.first_source([part("final", "o_orderstatus = 'F'"), part("large", "o_totalprice > 200000"), part("urgent", F.contains("o_orderpriority", F.lit("URGENT")))], ["o_orderkey"], "link")
+    return t.orders.select("o_orderkey").join(links, "o_orderkey", "left").select("o_orderkey", "link")
 
 
 @query("SELECT source, count(*) AS files, arg_max(doc_id, (lang = 'fr', n_chars, doc_id)) AS chosen FROM documents GROUP BY 1")
 def x37_folder_plan(t: Tables) -> DataFrame:
-    return t.documents.groupBy("source").agg(F.count("*").alias("files"), F.max_by("doc_id", F.struct(F.col("lang") == "fr", "n_chars", "doc_id")).alias("chosen"))
+    return X.folder_plan(t.documents, "source", "doc_id", F.col("lang") == "fr", F.col("n_chars"))
 
 
 
 @query("""WITH f AS (SELECT lower(p_type) AS k, CASE WHEN p_partkey % 2 = 0 THEN upper(p_type) ELSE lower(p_type) END AS form, count(*) AS n FROM part GROUP BY 1, 2), b AS (SELECT k, first(form ORDER BY n DESC, length(form), form) AS kept FROM f GROUP BY 1)
 SELECT kept, form AS replaced, n FROM f JOIN b USING (k) WHERE form <> kept""")
 def a37_correspondence(t: Tables) -> DataFrame:
-    forms = t.part.select(T.variant_key(F.col("p_type")).alias("k"), F.when(F.col("p_partkey") % 2 == 0, F.upper("p_type")).otherwise(F.lower("p_type")).alias("form")).groupBy("k", "form").agg(F.count("*").alias("n"))
-    kept = forms.groupBy("k").agg(F.min_by("form", F.struct(-F.col("n"), F.length("form"), "form")).alias("kept"))
-    return forms.join(kept, "k").where("form <> kept").select("kept", F.col("form").alias("replaced"), "n")
+    form = F.when(F.col("p_partkey") % 2 == 0, F.upper("p_type")).otherwise(F.lower("p_type"))
+    return X.correspondence(t.part.select(T.variant_key(F.col("p_type")).alias("k"), form.alias("form")), "k", "form")
 
 
 @query("SELECT source, round(avg(quality), 6) AS score, count(quality) AS n FROM documents LEFT JOIN labels USING (doc_id) GROUP BY 1")
 def a27_record_score(t: Tables) -> DataFrame:
-    return t.documents.join(t.labels, "doc_id", "left").groupBy("source").agg(F.round(F.avg("quality"), 6).alias("score"), F.count("quality").alias("n"))
+    return X.record_score(t.documents, t.labels, "doc_id", "source", "quality")
 
 
 @query("SELECT lang, count(DISTINCT doc_id) AS usable FROM documents JOIN labels USING (doc_id) WHERE quality IS NOT NULL GROUP BY 1")
 def a32_usable_evidence(t: Tables) -> DataFrame:
-    return t.documents.join(t.labels.where("quality IS NOT NULL"), "doc_id").groupBy("lang").agg(F.countDistinct("doc_id").alias("usable"))
+    return X.usable_evidence(t.documents, t.labels.where("quality IS NOT NULL"), "doc_id", "lang")
 
 
-@query("SELECT (SELECT count(*) FROM orders) AS n, true AS equal")
+@query("""SELECT count(*) AS n, sum(('0x' || substr(md5(o_orderkey || '|' || o_custkey || '|' || coalesce(o_orderstatus, '~') || '|' || coalesce(o_orderpriority, '~')), 1, 8))::BIGINT)::BIGINT AS checksum, true AS equal FROM orders""")
 def l01_table_checksum(t: Tables) -> DataFrame:
-    a, b = W.checksum(t.orders), W.checksum(t.orders.repartition(7, "o_custkey"))
-    return a.crossJoin(b.select(F.col("checksum").alias("other"))).select("n", (F.col("checksum") == F.col("other")).alias("equal"))
+    """The checksum itself is compared, and told to be the same after the rows were dealt anew."""
+    columns = ["o_orderkey", "o_custkey", "o_orderstatus", "o_orderpriority"]
+    a, b = W.text_checksum(t.orders, columns), W.text_checksum(t.orders.repartition(7, "o_custkey"), columns)
+    return a.crossJoin(b.select(F.col("checksum").alias("other"))).select("n", "checksum", (F.col("checksum") == F.col("other")).alias("equal"))
 
 
 @query("SELECT doc_id, source, lang FROM documents WHERE contains(source, 'src1') AND lang IN ('fr', 'de') ORDER BY doc_id LIMIT 30 OFFSET 5")
@@ -212,28 +211,27 @@ def l05_browse_catalogue(t: Tables) -> DataFrame:
 
 @query("""WITH u AS (SELECT o_custkey AS k, o_orderkey AS x, 0 AS p FROM orders WHERE o_orderstatus = 'F' UNION ALL SELECT o_custkey, o_orderkey, 1 FROM orders WHERE o_totalprice > 150000 UNION ALL SELECT o_custkey, o_orderkey, 2 FROM orders) SELECT k, x, min(p) AS origin FROM u GROUP BY 1, 2""")
 def l06_attachments(t: Tables) -> DataFrame:
-    part = lambda p, where: t.orders.where(where).select(F.col("o_custkey").alias("k"), F.col("o_orderkey").alias("x"), F.lit(p).alias("p"))
-    return part(0, "o_orderstatus = 'F'").unionByName(part(1, "o_totalprice > 150000")).unionByName(part(2, "true")).groupBy("k", "x").agg(F.min("p").alias("origin"))
+    part = lambda where: t.orders.where(where).select(F.col("o_custkey").alias("k"), F.col("o_orderkey").alias("x"), F.lit(None).cast("string").alias("v"))
+    found = S.first_source([part("o_orderstatus = 'F'"), part("o_totalprice > 150000"), part("true")], ["k", "x"], "v")
+    return found.select("k", "x", F.col("priority").alias("origin"))
 
 
 @query("""WITH r AS (SELECT o_orderkey AS k FROM orders WHERE o_orderkey % 9 = 0 UNION ALL SELECT -1) SELECT k, CASE WHEN o_orderkey IS NULL THEN 'unknown' WHEN o_orderstatus <> 'O' THEN 'wrong_status' WHEN o_totalprice > 300000 THEN 'pending' ELSE 'ok' END AS outcome FROM r LEFT JOIN orders ON o_orderkey = k""")
 def l09_batch_validation(t: Tables) -> DataFrame:
     asked = t.orders.where("o_orderkey % 9 = 0").select(F.col("o_orderkey").alias("k")).union(t.spark.createDataFrame([(-1,)], "k long"))
-    outcome = F.when(F.col("o_orderkey").isNull(), "unknown").when(F.col("o_orderstatus") != "O", "wrong_status").when(F.col("o_totalprice") > 300000, "pending").otherwise("ok")
-    return asked.join(t.orders, F.col("k") == F.col("o_orderkey"), "left").select("k", outcome.alias("outcome"))
+    state = t.orders.select(F.col("o_orderkey").alias("k"), "o_orderstatus", "o_totalprice")
+    return X.batch_outcome(asked, state, "k", [("wrong_status", F.col("o_orderstatus") != "O"), ("pending", F.col("o_totalprice") > 300000)])
 
 
 @query("SELECT r_name, string_agg(n_name, ',' ORDER BY n_name) AS nations, count(*) AS n FROM region LEFT JOIN nation ON n_regionkey = r_regionkey GROUP BY 1")
 def l10_referential_listing(t: Tables) -> DataFrame:
-    rows = t.region.join(t.nation, F.col("n_regionkey") == F.col("r_regionkey"), "left")
-    return rows.groupBy("r_name").agg(F.array_join(F.sort_array(F.collect_list("n_name")), ",").alias("nations"), F.count("*").alias("n"))
+    return X.referential_listing(t.region, t.nation, F.col("n_regionkey") == F.col("r_regionkey"), "r_name", "n_name").withColumnRenamed("names", "nations")
 
 
 @query("""SELECT doc_id, CASE WHEN contains(lower(text), 'license') THEN 'license' WHEN contains(lower(text), 'token') THEN 'token' END AS label FROM documents LEFT JOIN labels USING (doc_id) WHERE quality IS NULL AND (contains(lower(text), 'license') OR contains(lower(text), 'token'))""")
 def l13_erased_axes(t: Tables) -> DataFrame:
-    low = F.lower("text")
-    label = F.when(F.contains(low, F.lit("license")), "license").when(F.contains(low, F.lit("token")), "token")
-    return t.documents.join(t.labels, "doc_id", "left").where(F.col("quality").isNull() & label.isNotNull()).select("doc_id", label.alias("label"))
+    rows = t.documents.join(t.labels, "doc_id", "left")
+    return X.erased_axes(rows, "doc_id", "quality", F.col("text"), ["license", "token"])
 
 
 @query("SELECT lang, count(*) FILTER (WHERE length(trim(text)) < 60) AS to_read, round(count(*) FILTER (WHERE length(trim(text)) < 60) * 0.69, 3)::DOUBLE AS seconds FROM documents GROUP BY 1")
@@ -244,12 +242,12 @@ def l17_ocr_inventory(t: Tables) -> DataFrame:
 
 @query("SELECT o_orderkey FROM orders WHERE o_orderkey NOT IN (SELECT l_orderkey FROM lineitem WHERE l_quantity > 10)")
 def l20_purge_gate(t: Tables) -> DataFrame:
-    return t.orders.join(t.lineitem.where("l_quantity > 10"), F.col("l_orderkey") == F.col("o_orderkey"), "left_anti").select("o_orderkey")
+    return X.unproven(t.orders, t.lineitem.where("l_quantity > 10").select(F.col("l_orderkey").alias("o_orderkey")), "o_orderkey")
 
 
 @query("SELECT user_id, count(*) AS done FROM events WHERE event_id NOT IN (SELECT doc_id FROM documents) GROUP BY 1")
 def t12_resume_work(t: Tables) -> DataFrame:
-    return t.events.join(t.documents.select(F.col("doc_id").alias("event_id")), "event_id", "left_anti").groupBy("user_id").agg(F.count("*").alias("done"))
+    return X.resume(t.events, t.documents.select(F.col("doc_id").alias("event_id")), "event_id").groupBy("user_id").agg(F.count("*").alias("done"))
 
 
 @query(f"SELECT doc_id, md5(replace(replace({key_sql('text')}, '-', ' '), '_', ' ')) AS digest FROM documents")

@@ -108,14 +108,14 @@ def a15_nested_value_counts(t: Tables) -> DataFrame:
     return t.part.select(F.explode(F.split("p_name", " ")).alias("value")).groupBy("value").agg(F.count("*").alias("n"))
 
 
-_MIXED = "SELECT CASE WHEN p_partkey % 3 = 0 THEN upper(p_type) WHEN p_partkey % 3 = 1 THEN p_type ELSE replace(p_type, ' ', '-') END AS form FROM part"
+_MIXED = "SELECT CASE WHEN p_partkey % 3 = 0 THEN upper(p_name) WHEN p_partkey % 3 = 1 THEN p_name ELSE replace(p_name, ' ', '-') END AS form FROM part"
 
 
 @query(f"""WITH f AS (SELECT trim(regexp_replace(lower(form), '[^0-9a-z]+', ' ', 'g')) AS key, form, count(*) AS n FROM ({_MIXED}) GROUP BY 1, 2)
 SELECT key, count(*) AS n_forms, sum(n)::BIGINT AS total, first(form ORDER BY n DESC, length(form), form) AS majority, string_agg(form, '|' ORDER BY n DESC, length(form), form) AS spellings
 FROM f GROUP BY key HAVING count(*) > 1""")
 def a16_variants_certain(t: Tables) -> DataFrame:
-    form = F.when(F.col("p_partkey") % 3 == 0, F.upper("p_type")).when(F.col("p_partkey") % 3 == 1, F.col("p_type")).otherwise(F.replace("p_type", F.lit(" "), F.lit("-")))
+    form = F.when(F.col("p_partkey") % 3 == 0, F.upper("p_name")).when(F.col("p_partkey") % 3 == 1, F.col("p_name")).otherwise(F.replace("p_name", F.lit(" "), F.lit("-")))
     return Q.certain_variants(t.part.select(form.alias("form")), "form", T.variant_key(F.col("form")))
 
 

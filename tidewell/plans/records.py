@@ -119,12 +119,15 @@ def x15_clique_sizes(t: Tables) -> DataFrame:
 _T = "list_distinct(flatten(list_transform(list_filter(string_split(regexp_replace(lower(p_name), '[^a-z0-9]+', ' ', 'g'), ' '), lambda w: w <> ''), lambda w: list_transform(range(1, length(w)::BIGINT + 2), lambda i: substr('  ' || w || ' ', i::BIGINT, 3)))))"
 
 
-@query(f"""WITH g AS (SELECT p_partkey AS k, p_brand, p_type, lower(p_name) AS n, {_T} AS g FROM part WHERE p_partkey IS NOT NULL), u AS (SELECT DISTINCT n, g FROM g),
-p AS (SELECT a.n AS n1, b.n AS n2, round(len(list_intersect(a.g, b.g)) / len(list_distinct(list_concat(a.g, b.g)))::DOUBLE, 6) AS score FROM u a JOIN u b ON a.n < b.n)
-SELECT least(x.k, y.k) AS a, greatest(x.k, y.k) AS b, score, concat_ws(',', CASE WHEN x.p_brand IS NOT DISTINCT FROM y.p_brand THEN 'p_brand' END, CASE WHEN x.p_type IS NOT DISTINCT FROM y.p_type THEN 'p_type' END) AS reasons
-FROM p JOIN g x ON x.n = n1 JOIN g y ON y.n = n2 WHERE score >= 0.75""")
+_TITLE = "lower(p_name || ' ' || p_brand)"
+
+
+@query(f"""WITH g AS (SELECT p_partkey AS k, p_brand, p_type, {_TITLE} AS n, {_T.replace('lower(p_name)', _TITLE)} AS g FROM part WHERE p_partkey IS NOT NULL AND p_name IS NOT NULL),
+p AS (SELECT x.n AS n1, y.n AS n2, x.k AS k1, y.k AS k2, x.p_brand IS NOT DISTINCT FROM y.p_brand AS b, x.p_type IS NOT DISTINCT FROM y.p_type AS t, round(len(list_intersect(x.g, y.g)) / (len(x.g) + len(y.g) - len(list_intersect(x.g, y.g)))::DOUBLE, 6) AS score FROM g x JOIN g y ON x.k < y.k AND x.p_type <= 'Z')
+SELECT least(min(CASE WHEN n1 <= n2 THEN k1 ELSE k2 END), min(CASE WHEN n1 <= n2 THEN k2 ELSE k1 END)) AS a, CASE WHEN n1 = n2 THEN max(k2) ELSE greatest(min(CASE WHEN n1 <= n2 THEN k1 ELSE k2 END), min(CASE WHEN n1 <= n2 THEN k2 ELSE k1 END)) END AS b,
+score, count(*) AS pairs, count(*) FILTER (WHERE b) AS same_p_brand, count(*) FILTER (WHERE t) AS same_p_type FROM p WHERE score >= 0.8 GROUP BY least(n1, n2), greatest(n1, n2), n1 = n2, score""")
 def x16_near_dup_pairs(t: Tables) -> DataFrame:
-    return D.near_pairs(t.part, "p_partkey", "p_name", ["p_brand", "p_type"], 0.75)
+    return D.near_classes(t.part.withColumn("title", F.concat_ws(" ", "p_name", "p_brand")), "p_partkey", "title", ["p_brand", "p_type"], 0.8)
 
 
 @query(f"""WITH g AS (SELECT p_partkey, lower(p_name) AS title, p_brand, p_type FROM part WHERE p_partkey IS NOT NULL AND len({_T}) > 0)

@@ -28,7 +28,8 @@ def tokens_sql(column: str) -> str:
 
 
 def _lexical(t: Tables) -> DataFrame:
-    docs = t.documents.withColumn("ws", T.tokens(F.col("text")))
+    # a generator is where filters stop: the tokens of a text are worked out once, not for each test on them
+    docs = t.documents.select("doc_id", F.explode(F.array(T.tokens(F.col("text")))).alias("ws"))
     return R.lexical(docs, "doc_id", {"A": F.col("ws")}, P.parse_query(ASKED))
 
 
@@ -44,18 +45,18 @@ def r04_lexical_topk(t: Tables) -> DataFrame:
 @query(f"""WITH d AS (SELECT doc_id AS id, {key_sql("source")} AS name, {tokens_sql("text")} AS ws FROM documents), f AS (SELECT id, name, len(ws) AS n, len(list_filter(ws, lambda w: starts_with(w, 'moti'))) AS a, len(list_filter(ws, lambda w: starts_with(w, 'idio'))) AS b FROM d)
 SELECT id, CASE WHEN name = 'moti idio' THEN 0 WHEN contains(name, 'moti idio') THEN 1 ELSE 2 END AS match_class, round((a + b) / greatest(n, 1)::DOUBLE + CASE WHEN a > 0 AND b > 0 THEN 0.5 ELSE 0 END, 6) AS score FROM f WHERE a > 0 OR b > 0""")
 def r03_prefix_or_search(t: Tables) -> DataFrame:
-    docs = t.documents.withColumn("ws", T.tokens(F.col("text")))
+    docs = t.documents.select("doc_id", "source", F.explode(F.array(T.tokens(F.col("text")))).alias("ws"))
     return R.prefix_search(docs, "doc_id", F.col("source"), F.col("ws"), ["moti", "idio"])
 
 
 _GRAMS = "list_distinct(flatten(list_transform({ws}, lambda w: list_transform(range(1, length(w)::BIGINT + 2), lambda i: substr('  ' || w || ' ', i::BIGINT, 3)))))"
 
 
-@query(f"""WITH q AS (SELECT {_GRAMS.format(ws="['almond']")} AS g), p AS (SELECT p_partkey AS id, {tokens_sql("p_name")} AS ws FROM part),
+@query(f"""WITH q AS (SELECT {_GRAMS.format(ws="['rings']")} AS g), p AS (SELECT p_partkey AS id, {tokens_sql("p_name")} AS ws FROM part),
 w AS (SELECT id, unnest(ws) AS w FROM p), s AS (SELECT id, max(len(list_intersect(q.g, {_GRAMS.format(ws="[w]")})) / len(q.g)::DOUBLE) AS score FROM w, q GROUP BY 1)
 SELECT 'trigram' AS source, id, round(score, 6) AS score FROM s WHERE round(score, 6) > 0.3""")
 def r05_trigram_source(t: Tables) -> DataFrame:
-    return R.trigram(t.part, "p_partkey", F.col("p_name"), "almond")
+    return R.trigram(t.part, "p_partkey", F.col("p_name"), "rings")
 
 
 @query("""WITH q AS (SELECT embedding AS e FROM embeddings WHERE vec_id = 0), s AS (SELECT vec_id AS id, round(list_cosine_similarity(embedding::DOUBLE[], e::DOUBLE[]), 6) AS score FROM embeddings, q)
@@ -144,10 +145,9 @@ def r19_suggestions_prefix(t: Tables) -> DataFrame:
     return R.suggestions([("part", t.part, "p_name"), ("nation", t.nation, "n_name"), ("region", t.region, "r_name"), ("segment", t.customer, "c_mktsegment")], "am")
 
 
-@query("""SELECT doc_id, instr(lower(text), 'idiot') > 0 AS matched, CASE WHEN instr(lower(text), 'idiot') > 0 THEN substr(text, greatest(1, instr(lower(text), 'idiot') - 180), 360) ELSE substr(text, 1, 360) END AS piece FROM documents WHERE doc_id % 2 = 0 OR lang = 'en'""")
+@query("""SELECT doc_id, instr(lower(text), 'license') > 0 AS matched, CASE WHEN instr(lower(text), 'license') > 0 THEN substr(text, greatest(1, instr(lower(text), 'license') - 180), 360) ELSE substr(text, 1, 360) END AS piece FROM documents""")
 def r18_snippet_window(t: Tables) -> DataFrame:
-    docs = t.documents.where("doc_id % 2 = 0 OR lang = 'en'")
-    return docs.select("doc_id", (F.locate("idiot", F.lower("text")) > 0).alias("matched"), R.snippet(F.col("text"), "idiot").alias("piece"))
+    return t.documents.select("doc_id", (F.locate("license", F.lower("text")) > 0).alias("matched"), R.snippet(F.col("text"), "license").alias("piece"))
 
 
 @query("""SELECT doc_id, instr(lower(text), 'idiot') > 0 AS matched, CASE WHEN instr(lower(text), 'idiot') > 0 THEN substr(text, greatest(1, instr(lower(text), 'idiot') - 180), 360) ELSE substr(text, 1, 360) END AS piece FROM documents""")

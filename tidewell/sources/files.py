@@ -1,4 +1,4 @@
-"""File catalogue: crawl, incremental skip, typed text extraction, inventories."""
+"""File catalogue: crawl, incremental skip, typed text extraction, inventories."""
 
 from __future__ import annotations
 

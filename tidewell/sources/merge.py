@@ -1,4 +1,4 @@
-"""Writes as merges of DataFrames: upserts, reconciliation, diffs.
+"""Writes as merges of DataFrames: upserts, reconciliation, diffs.
 
 Plain Parquet has no MERGE, so a merge computes the new state of a table; ``swap`` writes it as
 a new version beside the old one. On a table format with MERGE the same conditions apply.
@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 
 def upsert(target: DataFrame, source: DataFrame, keys: Sequence[str], guard: Column | None = None, keep_old: bool = False) -> DataFrame:
-    """Source rows replace target rows of equal keys (null-safe), others are added or kept.
+    """Source rows replace target rows of equal keys (null-safe), others are added or kept.
 
     ``guard`` (over target columns) protects rows from being replaced. With ``keep_old`` a null
     of the source keeps the target's value. Equal keys in the source: the last by all columns.
@@ -79,13 +79,30 @@ def explode_record(records: DataFrame, key: str, children: Sequence[str]) -> dic
 
 
 def free_names(wanted: DataFrame, name: str, taken: DataFrame) -> DataFrame:
-    """Names with -2, -3, ... where an earlier row or an existing name has them; stem and extension kept."""
-    used = taken.groupBy(F.col(name).alias("__used")).agg(F.count("*").alias("__before"))
-    order = Window.partitionBy(name).orderBy("id")
-    numbered = wanted.withColumn("__n", F.row_number().over(order)).join(used, F.col(name) == F.col("__used"), "left")
-    place = F.col("__n") + F.coalesce("__before", F.lit(0))
+    """Names with -2, -3, ... where an earlier row or an existing name has them; stem and extension kept.
+
+    The n-th row (by ``id``) that wants a name gets the n-th of name, name-2, name-3, ... that is
+    neither taken nor itself wanted by other rows, so no given name meets another. Free numbers
+    are counted, not tried: of the sorted taken numbers t1 < t2 < ..., those with ti - i < n lie
+    before the n-th free one.
+    """
     stem, extension = F.regexp_replace(name, "(\\.[^./]+)$", ""), F.regexp_extract(name, "(\\.[^./]+)$", 1)
-    return numbered.select("id", F.when(place == 1, F.col(name)).otherwise(F.concat(stem, F.lit("-"), place.cast("string"), extension)).alias(name))
+    told = F.regexp_extract(stem, "^(.+)-([1-9][0-9]*)$", 2)
+    numbered = F.when((told != "") & (told != "1"), F.struct(F.concat(F.regexp_extract(stem, "^(.+)-([1-9][0-9]*)$", 1), extension).alias("of"), told.try_cast("long").alias("n")))
+    there = taken.select(name).unionByName(wanted.select(name)).distinct()
+    whole = taken.select(F.col(name).alias("of"), F.lit(1).cast("long").alias("n"))
+    held = whole.unionByName(there.select(F.inline(F.array(numbered)))).where("of IS NOT NULL AND n IS NOT NULL").distinct()
+    held = held.groupBy(F.col("of").alias("__of")).agg(F.sort_array(F.collect_list("n")).alias("__held"))  # taken numbers of one name
+    rows = wanted.withColumn("__n", F.row_number().over(Window.partitionBy(name).orderBy("id"))).join(held, F.col(name) == F.col("__of"), "left")
+    before = F.size(F.filter(F.coalesce("__held", F.array().cast("array<bigint>")), lambda t, i: t - i - 1 < F.col("__n")))
+    place = F.col("__n") + before
+    return rows.select("id", F.when(place == 1, F.col(name)).otherwise(F.concat(stem, F.lit("-"), place.cast("string"), extension)).alias(name))
+
+
+def text_checksum(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """Rows and a sum, whatever their order, of eight hex digits of each row's MD5: the same in any engine."""
+    told = F.concat_ws("|", *[F.coalesce(F.col(c).cast("string"), F.lit("~")) for c in columns])
+    return df.agg(F.count("*").alias("n"), F.sum(F.conv(F.substring(F.md5(told), 1, 8), 16, 10).cast("decimal(38,0)")).cast("long").alias("checksum"))
 
 
 def checksum(df: DataFrame) -> DataFrame:

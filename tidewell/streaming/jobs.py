@@ -1,4 +1,4 @@
-"""Queue semantics as state tables and streams.
+"""Queue semantics as state tables and streams.
 
 Batch forms answer for a table of attempts; streaming forms read a folder of task files. Spark's
 checkpoint gives at-least-once delivery, keys make the effects idempotent.
@@ -39,10 +39,15 @@ def stale(jobs: DataFrame, beat: str, now: Column, seconds: int = 300) -> DataFr
 def rate_limited(events: DataFrame, key: str, at: str, seconds: int = 60, most: int = 600) -> DataFrame:
     """Per event the events of its key in the ``seconds`` up to it, whether over the limit, and when the oldest leaves."""
     clock = F.unix_seconds(F.col(at).cast("timestamp"))
-    w = Window.partitionBy(key).orderBy("__s").rangeBetween(-seconds, 0)
-    counted = events.withColumn("__s", clock).withColumn("in_window", F.count("*").over(w)).withColumn("__oldest", F.min("__s").over(w))
+    span = max(3600, 60 * seconds)  # a key's events are cut into spans, each with the end of the one before it: no task sorts a whole key
+    place = F.floor(F.col("__s") / span)
+    late = F.when(F.pmod("__s", F.lit(span)) >= span - seconds, F.struct((place + 1).alias("__span"), F.lit(False).alias("__own")))
+    spans = F.filter(F.array(F.struct(place.alias("__span"), F.lit(True).alias("__own")), late), lambda x: x.isNotNull())
+    spread = events.withColumn("__s", clock).select("*", F.inline(spans))
+    w = Window.partitionBy(key, "__span").orderBy("__s").rangeBetween(-seconds, 0)
+    counted = spread.withColumn("in_window", F.count("*").over(w)).withColumn("__oldest", F.min("__s").over(w)).where("__own")
     wait = F.when(F.col("in_window") > most, F.col("__oldest") + seconds + 1 - F.col("__s")).otherwise(0)
-    return counted.withColumn("limited", F.col("in_window") > most).withColumn("retry_after", wait.cast("long")).drop("__s", "__oldest")
+    return counted.withColumn("limited", F.col("in_window") > most).withColumn("retry_after", wait.cast("long")).drop("__s", "__oldest", "__span", "__own")
 
 
 def sessions(events: DataFrame, key: str, at: str, gap_minutes: int = 30) -> DataFrame:
@@ -60,8 +65,8 @@ def lockout(attempts: DataFrame, user: str, at: str, failed: Column, now: Column
     end = F.unix_seconds(now.cast("timestamp"))
     last = attempts.groupBy(user).agg(F.max(F.when(~failed, clock)).alias("__ok"))
     recent = attempts.join(last, user).where(failed & (clock > F.coalesce("__ok", F.lit(-(2**62)))) & (clock > end - minutes * 60))
-    state = recent.groupBy(user).agg(F.count("*").alias("failures"), F.max(clock).alias("__last"))
-    return state.select(user, "failures", F.when(F.col("failures") >= most, F.greatest(F.lit(0), F.col("__last") + minutes * 60 - end)).otherwise(0).cast("long").alias("locked_s"))
+    state = recent.groupBy(user).agg(F.count("*").alias("failures"), F.max(clock).alias("__last"), F.max(end).alias("__end"))
+    return state.select(user, "failures", F.when(F.col("failures") >= most, F.greatest(F.lit(0), F.col("__last") + minutes * 60 - F.col("__end"))).otherwise(0).cast("long").alias("locked_s"))
 
 
 def retention(rows: DataFrame, at: str, now: Column, days: int, protected: DataFrame, key: str) -> DataFrame:
