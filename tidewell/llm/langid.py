@@ -72,11 +72,17 @@ def linear_svm(x: np.ndarray, y: np.ndarray, cost: float = 8.0, rounds: int = 12
 def families(centroids: np.ndarray) -> list[list[int]]:
     """Average-link agglomeration by cosine until half as many groups as languages are left."""
     unit = centroids / np.maximum(np.linalg.norm(centroids, axis=1, keepdims=True), 1e-12)
-    close = unit @ unit.T
+    total, size = (unit @ unit.T).astype(np.float64), np.ones(len(unit))  # sums of cosines between groups
     groups = [[k] for k in range(len(unit))]
     while len(groups) > max(1, (len(unit) + 1) // 2):
-        _, i, j = max((close[np.ix_(a, b)].mean(), -i, -j) for i, a in enumerate(groups) for j, b in enumerate(groups) if i < j)
-        groups[-i] = sorted(groups[-i] + groups.pop(-j))
+        close = np.where(np.triu(np.ones_like(total, dtype=bool), 1), total / np.outer(size, size), -np.inf)
+        i, j = np.unravel_index(int(close.argmax()), close.shape)
+        total[i] += total[j]
+        total[:, i] += total[:, j]
+        total = np.delete(np.delete(total, j, 0), j, 1)
+        size[i] += size[j]
+        size = np.delete(size, j)
+        groups[i] = sorted(groups[i] + groups.pop(j))
     return sorted(groups)
 
 
@@ -152,13 +158,15 @@ def fit(docs: DataFrame, sample: int = SAMPLE) -> Model:
     spark = docs.sparkSession
     bounded_batches(spark)
     known = docs.where(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & F.col("text").isNotNull() & ~held_out(F.col("doc_id")))
-    counts = Table(known.groupBy("lang").agg(F.count("*").alias("n")), "labels").df  # written: its size is known to the join
+    buckets = 1 << 20
+    place = F.pmod(F.xxhash64("doc_id"), F.lit(buckets))
+    counts = known.groupBy("lang").agg(F.count("*").alias("n"), F.min(place).alias("least"))
+    counts = Table(counts, "labels").df  # written: its size is known to the join
     languages = counts.count()
     if not languages:
         return Model.fit(np.zeros((0, BUCKETS), np.float32), [])
-    buckets, each = 1 << 20, max(1, sample // languages)
-    place = F.pmod(F.xxhash64("doc_id"), F.lit(buckets))
-    shares = counts.select(F.col("lang").alias("label"), F.least(F.lit(buckets), F.floor(F.lit(buckets * each) / F.col("n")) + 1).alias("share"))
+    share = F.least(F.lit(buckets), F.floor(F.lit(buckets * max(1, sample // languages)) / F.col("n")) + 1)
+    shares = counts.select(F.col("lang").alias("label"), F.greatest(share, F.col("least") + 1).alias("share"))  # one row of each label at least
     rows = known.select("lang", "text", "doc_id").join(shares, F.col("lang") == F.col("label")).where(place < F.col("share"))
 
     def run(batches):

@@ -88,7 +88,7 @@ class TemplateIndex:
             for k, position in first.items():
                 own = self.sets[k][1]
                 # the words before ``position`` are known to be absent
-                if len(block) < self.needed[k] or len(own) - position < self.needed[k]:
+                if len(block) < self.needed[k]:
                     continue
                 overlap, left = 0, len(own) - position
                 for w in own[position:]:

@@ -174,17 +174,19 @@ def links(distinct: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(anchor), pa.array(part[which]), pa.array(home)], ["anchor", "fp", "home"])
 
     def compare(batches):
-        rest = None
+        held: list[list[np.ndarray]] = []  # of the last anchor, which may go on in the next batch
         for batch in batches:
-            table = pa.Table.from_batches([batch])
-            got = [table.column(k).to_numpy() for k in range(3)]
-            if rest is not None:
-                got = [np.concatenate(x) for x in zip(rest, got, strict=True)]
-            last = int(np.searchsorted(got[0], got[0][-1])) if len(got[0]) else 0  # the last anchor may go on
-            rest = [x[last:] for x in got]
-            yield from at_anchors(*(x[:last] for x in got))
-        if rest is not None:
-            yield from at_anchors(*rest)
+            got = [batch.column(k).to_numpy(zero_copy_only=False) for k in range(3)]
+            if not len(batch):
+                continue
+            if held and held[0][0][0] == got[0][-1]:
+                held.append(got)
+                continue
+            last = int(np.searchsorted(got[0], got[0][-1]))
+            yield from at_anchors(*(np.concatenate(x) for x in zip(*held, [x[:last] for x in got], strict=True)))
+            held = [[x[last:] for x in got]]
+        if held:
+            yield from at_anchors(*(np.concatenate(x) for x in zip(*held, strict=True)))
 
     def at_anchors(anchor, fp, home):
         if not len(anchor):
