@@ -1,6 +1,6 @@
 """Queries on the driver tables; importing the modules registers them."""
 
-from . import flow, lookups, more, quality, records, scalars, search, workflow
+from . import flow, intake, lookups, more, quality, records, scalars, search, workflow
 from .registry import ORACLES, QUERIES
 
-__all__ = ["ORACLES", "QUERIES", "flow", "lookups", "more", "quality", "records", "scalars", "search", "workflow"]
+__all__ = ["ORACLES", "QUERIES", "flow", "intake", "lookups", "more", "quality", "records", "scalars", "search", "workflow"]
