@@ -34,6 +34,7 @@ WIDTH = 35
 CHUNK = 1_500_000  # words whose windows a map task holds at once
 BUCKET = 1_500_000  # windows aimed at in a bucket
 REMEMBER = 1_000_000  # word hashes a worker remembers
+DEALS = 8  # partitions that copies of one text are dealt over
 _BASES = (0xD6E8FEB86659FD93, 0xA0761D6478BD642F)  # odd, so invertible modulo 2**64
 
 
@@ -246,8 +247,14 @@ def without_repeats(docs: DataFrame, width: int = WIDTH) -> DataFrame:
     than ``width`` words have nothing to remove; repeated rows remove each other.
     """
     spans = removal_intervals(docs, width)
-    rows = docs.select("doc_id", "text", F.unhex(F.sha2("text", 256)).alias("digest"))
-    return rows.join(spans, "digest", "left").select("doc_id", "text", "spans")
+    # what is too short to hold a window, nulls too, is not shuffled
+    least = 2 * width - 1  # characters of ``width`` words of one letter
+    short = F.coalesce(F.length("text") < least, F.lit(True))
+    whole = docs.where(~short).select("doc_id", "text", F.unhex(F.sha2("text", 256)).alias("digest"), F.pmod(F.xxhash64("doc_id"), F.lit(DEALS)).alias("deal"))
+    # copies of one text are dealt over several partitions, each with its intervals
+    dealt = spans.select("digest", "spans", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(DEALS - 1).cast("long"))).alias("deal"))
+    met = whole.join(dealt, ["digest", "deal"], "left").select("doc_id", "text", "spans")
+    return met.unionByName(docs.where(short).select("doc_id", "text", F.lit(None).cast("array<int>").alias("spans")))
 
 
 def kept_words(ws: list[bytes], spans: list[int] | None) -> list[bytes]:
