@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, langid, licenses, mixing, pii, secrets, simhash, substrings, tokenstore, topk
+from . import audit, decontaminate, langid, licenses, mixing, pii, secrets, simhash, substrings, tokenstore, topk
 from .sql import ORACLES
 
 QUERIES = {
@@ -16,6 +16,7 @@ QUERIES = {
     "op8_simhash_near_dedup": simhash.op8_simhash_near_dedup,
     "op9_decontaminate": decontaminate.op9_decontaminate,
     "op10_personal_data": pii.op10_personal_data,
+    "op11_filter_audit": audit.op11_filter_audit,
 }
 
 __all__ = ["ORACLES", "QUERIES"]

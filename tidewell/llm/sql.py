@@ -120,3 +120,41 @@ FROM d LEFT JOIN base USING (doc) LEFT JOIN own USING (doc)"""
 
 
 ORACLES["op7_license_scan"] = _licenses()
+
+
+ORACLES["op11_filter_audit"] = r"""
+WITH d AS (
+  SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS text,
+         list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda w: w <> '') AS ws,
+         min(doc_id) OVER (PARTITION BY coalesce(text, '')) AS first
+  FROM documents
+), marks AS (
+  SELECT doc_id, bool_or(quality = 1) AS good, bool_or(toxic = 1) AS toxic FROM labels GROUP BY doc_id
+), f AS (
+  SELECT part, coalesce(good, false) AS good, coalesce(toxic, false) AS toxic,
+         [len(ws) < 50, 100 * len(list_distinct(ws)) < 65 * len(ws), 100 * length(regexp_replace(text, '[^A-Z]', '', 'g')) > 5 * length(text),
+          regexp_matches(text, '[#$%&*|]'), coalesce(d.doc_id > first, false)] AS fails
+  FROM d LEFT JOIN marks USING (doc_id)
+), l(k, letter) AS (
+  VALUES (1, 'A'), (2, 'B'), (3, 'C'), (4, 'D'), (5, 'E')
+), orders AS (
+  SELECT [a.k, b.k, c.k, d.k, e.k] AS o, a.letter || b.letter || c.letter || d.letter || e.letter AS filter_order
+  FROM l a, l b, l c, l d, l e WHERE len(list_distinct([a.k, b.k, c.k, d.k, e.k])) = 5
+), sets AS (
+  SELECT part, good, toxic, fails, count(*) AS n FROM f GROUP BY ALL
+), each AS (
+  SELECT part, filter_order, s.step, o[s.step] AS own, fails[o[s.step]] AS here, n, good, toxic,
+         len(list_filter(o[1:s.step-1], lambda k: fails[k])) > 0 AS before, len(list_filter(fails, lambda x: x)) AS many
+  FROM sets, orders, range(1, 6) s(step)
+), told AS (
+  SELECT part, filter_order, step::INTEGER AS step, any_value(own) AS own,
+         coalesce(sum(n) FILTER (WHERE NOT before AND NOT here), 0)::BIGINT AS kept,
+         coalesce(sum(n) FILTER (WHERE NOT before AND here), 0)::BIGINT AS removed,
+         coalesce(sum(n) FILTER (WHERE before AND here), 0)::BIGINT AS redundant,
+         coalesce(sum(n) FILTER (WHERE here AND many = 1), 0)::BIGINT AS unique_fails,
+         coalesce(sum(n) FILTER (WHERE NOT before AND here AND good), 0)::BIGINT AS good_lost,
+         coalesce(sum(n) FILTER (WHERE NOT before AND here AND toxic), 0)::BIGINT AS toxic_lost
+  FROM each GROUP BY part, filter_order, step
+)
+SELECT * EXCLUDE (own), (sum(removed) OVER (PARTITION BY part, own))::BIGINT AS shapley FROM told
+"""
