@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import audit, decontaminate, langid, licenses, mixing, pii, secrets, simhash, substrings, tokenstore, topk
+from . import audit, clusters, decontaminate, langid, licenses, mixing, pii, secrets, simhash, substrings, tokenstore, topk
 from .sql import ORACLES
 
 QUERIES = {
@@ -17,6 +17,7 @@ QUERIES = {
     "op9_decontaminate": decontaminate.op9_decontaminate,
     "op10_personal_data": pii.op10_personal_data,
     "op11_filter_audit": audit.op11_filter_audit,
+    "op12_centroid_clusters": clusters.op12_centroid_clusters,
 }
 
 __all__ = ["ORACLES", "QUERIES"]

@@ -158,3 +158,34 @@ WITH d AS (
 )
 SELECT * EXCLUDE (own), (sum(removed) OVER (PARTITION BY part, own))::BIGINT AS shapley FROM told
 """
+
+
+def _clusters(k: int = 16, rounds: int = 3) -> str:
+    """Rounds of assignment and moving, one after the other; distances in integers."""
+    steps = []
+    for r in range(rounds + 1):
+        steps.append(f"""a{r} AS (
+  SELECT row, vec_id, v, arg_min(c, (d, c)) AS cluster, min(d) AS distance
+  FROM (SELECT row, vec_id, v, c, list_sum(list_transform(range(1, 65), lambda i: (v[i] - w[i]) * (v[i] - w[i])))::BIGINT AS d FROM kept, c{r})
+  GROUP BY row, vec_id, v
+)""")
+        if r < rounds:
+            steps.append(f"""c{r + 1} AS (
+  SELECT c, coalesce(m, w) AS w FROM c{r} LEFT JOIN (
+    SELECT cluster, list(mean ORDER BY i) AS m FROM (
+      SELECT cluster, i, (sum(v[i]) - ((sum(v[i]) % count(*)) + count(*)) % count(*)) // count(*) AS mean FROM a{r}, range(1, 65) t(i) GROUP BY cluster, i
+    ) GROUP BY cluster
+  ) ON cluster = c
+)""")
+    return f"""WITH kept AS (
+  SELECT row_number() OVER () AS row, vec_id, list_transform(embedding, lambda x: floor(64 * x::DOUBLE)::HUGEINT) AS v
+  FROM embeddings WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), c0 AS (
+  SELECT (row_number() OVER (ORDER BY sha256('1:' || vec_id), v))::INTEGER - 1 AS c, v AS w FROM kept ORDER BY sha256('1:' || vec_id), v LIMIT {k}
+), {", ".join(steps)}
+SELECT vec_id, cluster, distance, (sum(distance) OVER (PARTITION BY cluster))::BIGINT AS cluster_inertia, (sum(distance) OVER ())::BIGINT AS inertia,
+       sha256(array_to_string(w, ',')) AS centroid_sha256
+FROM a{rounds} JOIN c{rounds} ON cluster = c"""
+
+
+ORACLES["op12_centroid_clusters"] = _clusters()
