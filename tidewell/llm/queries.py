@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import audit, clusters, decontaminate, langid, licenses, mixing, pii, secrets, simhash, substrings, tokenstore, topk
+from . import audit, clusters, decontaminate, langid, licenses, mixing, pii, secrets, simhash, substrings, suffixes, tokenstore, topk
 from .sql import ORACLES
 
 QUERIES = {
@@ -18,6 +18,7 @@ QUERIES = {
     "op10_personal_data": pii.op10_personal_data,
     "op11_filter_audit": audit.op11_filter_audit,
     "op12_centroid_clusters": clusters.op12_centroid_clusters,
+    "op13_suffix_dedup": suffixes.op13_suffix_dedup,
 }
 
 __all__ = ["ORACLES", "QUERIES"]

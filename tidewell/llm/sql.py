@@ -189,3 +189,28 @@ FROM a{rounds} JOIN c{rounds} ON cluster = c"""
 
 
 ORACLES["op12_centroid_clusters"] = _clusters()
+
+ORACLES["op13_suffix_dedup"] = """
+WITH d AS (
+  SELECT row_number() OVER () AS doc, doc_id, hex(encode(coalesce(text, ''))) AS x FROM documents
+), part AS (  -- pieces of a thousand places, so that no long text is cut from its beginning again and again
+  SELECT doc, base, substring(x, (2 * base + 1)::BIGINT, 2398) AS piece FROM (SELECT doc, x, unnest(range(0, length(x) // 2 - 199, 1000)) AS base FROM d WHERE length(x) >= 400)
+), win AS (
+  SELECT doc, base + i AS i, md5(substring(piece, (2 * i + 1)::BIGINT, 400)) AS m FROM (SELECT doc, base, piece, unnest(range(0, least(1000, length(piece) // 2 - 199))) AS i FROM part)
+), rep AS (
+  SELECT doc, i FROM win WHERE m IN (SELECT m FROM win GROUP BY m HAVING count(*) > 1)
+), runs AS (
+  SELECT doc, min(i) AS a, max(i) + 200 AS b
+  FROM (SELECT doc, i, sum(new) OVER (PARTITION BY doc ORDER BY i) AS g
+        FROM (SELECT doc, i, CASE WHEN i - lag(i) OVER (PARTITION BY doc ORDER BY i) <= 200 THEN 0 ELSE 1 END AS new FROM rep))
+  GROUP BY doc, g
+), between_runs AS (
+  SELECT doc, a, b, coalesce(lag(b) OVER (PARTITION BY doc ORDER BY a), 0) AS p FROM runs
+), told AS (
+  SELECT doc, count(*) AS n, sum(b - a) AS gone, max(b) AS last, string_agg(substring(x, (2 * p + 1)::BIGINT, (2 * (a - p))::BIGINT), '' ORDER BY a) AS head
+  FROM between_runs JOIN d USING (doc) GROUP BY doc
+)
+SELECT d.doc_id, (length(x) // 2)::BIGINT AS n_bytes, coalesce(gone, 0)::BIGINT AS n_removed, coalesce(n, 0)::BIGINT AS n_spans,
+       sha256(unhex(coalesce(head, '') || substring(x, (2 * coalesce(last, 0) + 1)::BIGINT))) AS kept_sha256
+FROM d LEFT JOIN told USING (doc)
+"""
