@@ -6,18 +6,20 @@ Every string of ``WIDTH`` bytes that starts more than once anywhere is removed w
    overlapping by ``WIDTH - 1`` bytes, so memory is bounded by the shard whatever the text. Equal texts of
    a shard are kept once.
 2. Each string of ``WIDTH`` bytes is named by its anchor, the ``GRAM`` bytes in it of the smallest hash.
-   Equal strings have equal anchors, so only strings whose anchor stands elsewhere too can repeat; all
-   others are settled. Anchors are about one in fifty positions and are counted by Spark.
-3. Per shard, the suffixes that are left are sorted by Larsson-Sadakane refinement (``suffix_array``) and
-   Kasai's rule gives common prefixes (``long_prefixes``), so the shard knows which strings it holds
-   twice. One suffix of each set of equal strings goes on, as 64 bits of hash in one of many buckets.
-4. A bucket gets the sorted hashes of all shards and merges them by binary search (``merge``); shards
-   learn which of their single strings stand in another shard, and intervals go back by the text's SHA-256.
+   Equal strings have equal anchors, so strings whose anchor stands nowhere else are single. Shards send
+   their anchors (about one in fifty positions), each with a hash of its run, the neighbouring strings that
+   share it. Where all shards that have an anchor have the same run, its strings all repeat.
+3. The suffixes that are left, those of anchors whose runs differ and of anchors that a shard has twice,
+   are sorted per shard by Larsson-Sadakane refinement (``suffix_array``), and Kasai's rule gives common
+   prefixes (``long_prefixes``): the shard knows which strings it holds twice. Of strings that may stand
+   in other shards, one suffix of each set of equal ones goes on, as 64 bits of hash in one of many buckets.
+4. A bucket gets the hashes of all shards and merges them by binary search (``merge``); shards learn which
+   of their single strings stand in another shard, and intervals go back by the text's SHA-256.
 
 Distribution: what a shard sends to a bucket is one row; a passage that stands in every document is
 sent once a shard. Shards are rows of a written table, so a lost executor changes no name. Different
 strings are taken for equal with a probability of about strings ** 2 / 2 ** 65 / buckets, strings
-being those left after step 2; the number of buckets grows with the data.
+being those left after step 2, and runs and anchors likewise; the number of buckets grows with the data.
 """
 
 from __future__ import annotations
@@ -194,82 +196,145 @@ def _pack(width: int, most: int):
 
 
 class _Shard:
-    """A shard's bytes, which places begin a string of ``width`` bytes, and their anchors."""
+    """A shard's bytes and its runs: neighbouring strings of ``width`` bytes that have one anchor."""
 
     def __init__(self, sizes, data: bytes, width: int, gram: int):
         self.bytes = np.frombuffer(zstandard.ZstdDecompressor().decompress(data, max_output_size=int(sum(sizes))), dtype=np.uint8)
-        self.ends = np.cumsum(sizes)
-        self.values = _BYTES[self.bytes]
-        n = len(self.bytes)
-        self.grams = Windows(gram, _BASES[0])(self.values)
-        self.anchors = smallest(self.grams, width - gram + 1)
-        left = self.ends[np.searchsorted(self.ends, np.arange(n - width + 1), side="right")] - np.arange(n - width + 1)
-        self.whole = left >= width
-
-    def twice(self, own: np.ndarray) -> np.ndarray:
-        """Those of the ascending anchors that stand at several places here."""
+        self.sizes, self.ends, self.width, self.span = np.array(sizes), np.cumsum(sizes), width, width - gram + 1
+        values = _BYTES[self.bytes]
+        self.grams = Windows(gram, _BASES[0])(values)
+        anchors = smallest(self.grams, self.span)
+        whole = np.ones(len(anchors), dtype=bool)  # does a string begin here that its text holds whole?
+        for end in self.ends[:-1].tolist():
+            whole[max(0, end - width + 1) : end] = False
+        first = whole.copy()
+        first[1:] &= ~whole[:-1] | (anchors[1:] != anchors[:-1])
+        self.begin = np.flatnonzero(first)
+        stop = np.r_[self.begin[1:], len(whole)]
+        gaps = np.flatnonzero(~whole)  # a run ends at the next run, or before, where its text does
+        nearest = np.r_[gaps, len(whole)][np.searchsorted(gaps, self.begin)]
+        self.end = np.minimum(stop, nearest)
+        self.anchor = anchors[self.begin]
+        # a run's bytes as a hash of any length, from sums over inverse powers
+        powers = Windows(width, _BASES[1])
+        if len(values) > len(powers.power):
+            powers.grow(len(values))
+        total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(values * powers.inverse[: len(values)])])
+        self.piece = (total[self.end + width - 1] - total[self.begin]) * powers.power[self.begin] + (self.end - self.begin).astype(np.uint64)
+
+    def told(self) -> tuple[np.ndarray, np.ndarray]:
+        """Distinct anchors, ascending, and the hash of their run's bytes; 0 where runs of one anchor differ."""
+        order = np.lexsort((self.piece, self.anchor))
+        anchor, piece = self.anchor[order], self.piece[order]
+        first = np.flatnonzero(np.r_[True, anchor[1:] != anchor[:-1]])
+        last = np.r_[first[1:], len(anchor)] - 1
+        return anchor[first], np.where(piece[first] == piece[last], piece[first], np.uint64(0))
+
+    def twice(self) -> np.ndarray:
+        """Anchors that stand at several places here."""
+        own = np.unique(self.anchor)
         near = self.grams[self.grams <= own[-1]]
         near = near[own[np.searchsorted(own, near)] == near]
         value, count = np.unique(near, return_counts=True)
         return value[count > 1]
 
 
-def _anchors(width: int, gram: int):
+ANCHORS = "bucket int, shard long, anchors binary, pieces binary"
+
+
+def _anchors(width: int, gram: int, buckets: int):
     def run(batches):
         for batch in batches:
             for shard, sizes, data in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
-                s = _Shard(sizes, data, width, gram)
-                own = np.unique(s.anchors[s.whole])
-                yield pa.RecordBatch.from_arrays([pa.array(own.view(np.int64)), pa.array(np.full(len(own), shard))], ["anchor", "shard"])
+                anchor, piece = _Shard(sizes, data, width, gram).told()
+                bucket = _bucket(anchor * np.uint64(_BASES[2]), buckets)  # anchors are small numbers: spread them first
+                by = np.argsort(bucket, kind="stable")
+                cut = np.searchsorted(bucket[by], np.arange(buckets + 1))
+                rows = [(k, shard, anchor[at].tobytes(), piece[at].tobytes()) for k in np.flatnonzero(np.diff(cut)).tolist() for at in [by[cut[k] : cut[k + 1]]]]
+                for k in range(0, len(rows), 256):
+                    yield _columns(rows[k : k + 256], [pa.int32(), pa.int64(), pa.binary(), pa.binary()], ANCHORS)
 
     return run
 
 
+HITS = "shard long, settled binary, mixed binary"
+
+
+def _met(table: pa.Table) -> pa.Table:
+    """Of one bucket's anchors, for each shard those that another shard has too.
+
+    Settled: the runs of all shards are the same bytes, so all their strings repeat. Mixed: they are not.
+    """
+    shards, lists = table["shard"].to_pylist(), [np.frombuffer(x, dtype=np.uint64) for x in table["anchors"].to_pylist()]
+    shared = in_several(lists)
+    alike = np.ones(len(shared), dtype=bool)
+    seen = np.zeros(len(shared), dtype=np.uint64)
+    found = []
+    for own, piece in zip(lists, (np.frombuffer(x, dtype=np.uint64) for x in table["pieces"].to_pylist()), strict=True):
+        at = np.searchsorted(shared, own)
+        here = np.flatnonzero(shared[np.minimum(at, len(shared) - 1)] == own) if len(shared) else at[:0]
+        place, piece = at[here], piece[here]
+        fresh = seen[place] == 0
+        seen[place[fresh]] = piece[fresh]
+        alike[place] &= (piece == seen[place]) & (piece != 0)
+        found.append(place)
+    told = [(s, shared[p[alike[p]]].tobytes(), shared[p[~alike[p]]].tobytes()) for s, p in zip(shards, found, strict=True) if len(p)]
+    types = [pa.int64(), pa.binary(), pa.binary()]
+    return pa.table([pa.array(c, t) for c, t in zip(zip(*told, strict=True) if told else [[]] * 3, types, strict=True)], ["shard", "settled", "mixed"])
+
+
 PARTS = "bucket int, shard long, several binary, single binary, place binary, texts array<binary>, offsets array<long>, known binary"
 _PART_TYPES = [pa.int32(), pa.int64(), pa.binary(), pa.binary(), pa.binary(), pa.list_(pa.binary()), pa.list_(pa.int64()), pa.binary()]
 
 
-def _regions(starts: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
-    """Begins and ends of the union of [s, s + width) over ascending starts."""
-    spans = np.array(merged(starts, width), dtype=np.int64).reshape(-1, 2)
-    return spans[:, 0], spans[:, 1]
+def _in(values: np.ndarray, ascending: np.ndarray) -> np.ndarray:
+    return ascending[np.minimum(np.searchsorted(ascending, values), len(ascending) - 1)] == values if len(ascending) else np.zeros(len(values), dtype=bool)
+
+
+def _each(begin: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """All places in the stretches [begin, end)."""
+    size = end - begin
+    return np.repeat(begin - np.r_[0, np.cumsum(size)[:-1]], size) + np.arange(int(size.sum()))
 
 
-def classes(s: _Shard, hits: np.ndarray, width: int, buckets: int):
-    """Of strings whose anchor is among ``hits`` or stands here twice: places of those that repeat here, and one string of each set of equal ones.
+def classes(s: _Shard, mixed: np.ndarray, buckets: int):
+    """Suffixes whose anchor another shard has in other company, or which stands here twice, sorted: their sets of equal strings.
 
-    Returns (places that repeat here, places of single strings with hash and bucket, hash and bucket of repeated strings).
+    Returns places that repeat here; of strings with a mixed anchor, the places of single ones with hash and
+    bucket, then hash and bucket of one of each set of repeated ones.
     """
-    own = np.unique(s.anchors[s.whole])
-    wanted = np.union1d(hits, s.twice(own)) if len(own) else hits
-    left = s.whole & np.isin(s.anchors, wanted)
     none = np.empty(0, dtype=np.int64)
-    if not left.any():
+    runs = _in(s.anchor, np.union1d(mixed, s.twice())) if len(s.anchor) else np.zeros(0, dtype=bool)
+    if not runs.any():
         return none, none, none.astype(np.uint64), none, none.astype(np.uint64), none
-    begin, end = _regions(np.flatnonzero(left), width)
-    # regions that meet in different texts are cut there, so that no suffix crosses from one text to another
+    places = _each(s.begin[runs], s.end[runs])
+    spans = np.array(merged(places, s.width), dtype=np.int64).reshape(-1, 2)
+    begin, end = spans[:, 0], spans[:, 1]
+    # regions that meet at the end of a text are cut there, so that no suffix crosses from one text to another
     cuts = s.ends[:-1]
-    inside = cuts[(np.searchsorted(begin, cuts, side="left") - 1 == np.searchsorted(end, cuts, side="right")) & (np.searchsorted(end, cuts, side="right") < len(begin))]
+    inside = cuts[np.searchsorted(begin, cuts, side="left") - 1 == np.searchsorted(end, cuts, side="right")]
     begin, end = np.sort(np.r_[begin, inside]), np.sort(np.r_[end, inside])
-    size = end - begin
-    where = np.repeat(begin - np.r_[0, np.cumsum(size + 1)[:-1]], size + 1) + np.arange(int((size + 1).sum()))  # place in the shard of each symbol
-    stop = np.cumsum(size + 1) - 1
-    symbols = s.bytes[np.minimum(where, len(s.bytes) - 1)].astype(np.int16) + 1
+    where = _each(begin, end + 1)  # place in the shard of each symbol; one more for the region's end
+    stop = np.cumsum(end - begin + 1) - 1
+    raw = s.bytes[np.minimum(where, len(s.bytes) - 1)]
+    symbols = raw.astype(np.int16) + 1
     symbols[stop] = 0
     order, rank, key = suffix_array(symbols)
-    alike = long_prefixes(symbols, order, rank, key, width)
+    alike = long_prefixes(symbols, order, rank, key, s.width)
     group = np.cumsum(~alike)  # of equal strings, in the array's order
-    place = where[order]
     is_string = np.zeros(len(s.bytes) + 1, dtype=bool)
-    is_string[: len(left)] = left
-    keep = is_string[place] & (symbols[order] != 0)
-    place, group = place[keep], group[keep]
+    is_string[places] = True
+    keep = is_string[where[order]] & (symbols[order] != 0)
+    at, group = order[keep], group[keep]
     first = np.r_[True, group[1:] != group[:-1]]
     alone = first & np.r_[first[1:], True]
-    h, b = Windows(width, _BASES[1])(s.values), _bucket(Windows(width, _BASES[2])(s.values), buckets)
-    single = np.sort(place[alone])
-    several = place[first & ~alone]
-    return np.sort(place[~alone]), single, h[single], b[single], h[several], b[several]
+    sent = np.zeros(len(s.bytes) + 1, dtype=bool)
+    asked = _in(s.anchor, mixed)
+    sent[_each(s.begin[asked], s.end[asked])] = True
+    values = _BYTES[raw]
+    h, b = Windows(s.width, _BASES[1])(values), _bucket(Windows(s.width, _BASES[2])(values), buckets)
+    single, several = np.sort(at[alone & sent[where[at]]]), at[first & ~alone & sent[where[at]]]
+    return np.sort(where[at[~alone]]), where[single], h[single], b[single], h[several], b[several]
 
 
 def _sorted_classes(width: int, gram: int, buckets: int):
@@ -277,10 +342,13 @@ def _sorted_classes(width: int, gram: int, buckets: int):
         for batch in batches:
             for shard, digests, bases, sizes, copied, data, hits in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 s = _Shard(sizes, data, width, gram)
-                known, single, h, b, more, more_b = classes(s, np.unique(np.array(hits or [], dtype=np.int64).view(np.uint64)), width, buckets)
-                firsts = s.ends - np.array(sizes)
+                settled, mixed = (np.unique(np.concatenate([np.frombuffer(h[kind], dtype=np.uint64) for h in hits or []] or [np.empty(0, np.uint64)])) for kind in ("settled", "mixed"))
+                known, single, h, b, more, more_b = classes(s, mixed, buckets)
+                firsts = s.ends - s.sizes
                 mark = np.zeros(len(s.bytes), dtype=bool)
                 mark[known] = True
+                agreed = _in(s.anchor, settled)
+                mark[_each(s.begin[agreed], s.end[agreed])] = True
                 for first, size, twice in zip(firsts.tolist(), sizes, copied, strict=True):
                     if twice:
                         mark[first : first + size - width + 1] = True
@@ -350,10 +418,10 @@ def removal_intervals(docs: DataFrame, width: int = WIDTH, gram: int = GRAM, sha
     packed = Table(texts.mapInArrow(_pack(width, shard), SHARDS), "shards")
     size = packed.df.agg(F.sum(F.aggregate("sizes", F.lit(0).cast("long"), lambda a, x: a + x))).first()[0] or 0
     buckets = int(size // BUCKET) + 1
-    anchors = Table(packed.df.select("shard", "sizes", "data").mapInArrow(_anchors(width, gram), "anchor long, shard long"), "anchors")
-    shared = anchors.df.groupBy("anchor").agg(F.min("shard").alias("a"), F.max("shard").alias("b")).where("a < b").select("anchor")
-    hits = anchors.df.join(shared, "anchor").groupBy("shard").agg(F.collect_list("anchor").alias("hits"))
-    met = packed.df.join(hits, "shard", "left").select("shard", "digests", "bases", "sizes", "copied", "data", "hits")
+    anchors = packed.df.select("shard", "sizes", "data").mapInArrow(_anchors(width, gram, buckets), ANCHORS)
+    hits = anchors.groupBy("bucket").applyInArrow(_met, HITS)
+    per_shard = hits.groupBy("shard").agg(F.collect_list(F.struct("settled", "mixed")).alias("hits"))  # no more than the shard's anchors
+    met = packed.df.join(per_shard, "shard", "left").select("shard", "digests", "bases", "sizes", "copied", "data", "hits")
     parts = met.mapInArrow(_sorted_classes(width, gram, buckets), PARTS)
     answers = parts.groupBy("bucket").applyInArrow(_merged, ANSWERS)
     found = answers.groupBy("shard").applyInArrow(_gather(width), "digest binary, base long, spans array<long>")
@@ -361,7 +429,6 @@ def removal_intervals(docs: DataFrame, width: int = WIDTH, gram: int = GRAM, sha
     pieces = found.dropDuplicates(["digest", "base"]).groupBy("digest").agg(F.sort_array(F.collect_list(F.struct("base", "spans"))).alias("pieces"))
     out = Table(pieces.select("digest", F.flatten(F.col("pieces.spans")).alias("spans")), "intervals").df
     packed.drop()
-    anchors.drop()
     return out
 
 
