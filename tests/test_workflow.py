@@ -103,13 +103,3 @@ def test_uploads_tell_their_first_gap(spark):
     chunks = spark.createDataFrame([("a", 0, 5), ("a", 0, 5), ("a", 2, 5), ("b", 1, 5), ("c", 0, 5), ("c", 1, 5)], "s string, n int, size int")
     expected = spark.createDataFrame([("a", 3), ("b", 2), ("c", 2), ("d", 1)], "s string, chunks int")
     assert rows(workflow.upload_state(chunks, "s", "n", F.col("size"), expected)) == [("a", 2, 10, 1, False), ("b", 1, 5, 0, False), ("c", 2, 10, None, True), ("d", 0, 0, 0, False)]
-
-
-def test_written_postings_answer_as_texts_do(spark, sf_dir, tmp_path):
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    tokens = T.tokens(F.col("text"))
-    stored = intake.write_postings(intake.postings(docs, "doc_id", tokens), str(tmp_path / "postings"))
-    plan = intake.search_postings(stored, ["the", "that"], ["loser"])
-    assert "PushedFilters: [In(word" in plan._jdf.queryExecution().executedPlan().toString()
-    want = retrieval.lexical(docs, "doc_id", {"A": tokens}, P.parse_query("the that -loser"))
-    assert rows(plan) == rows(want) and plan.count() > 0

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .text import search_key
+from .text import has_reference_shape, search_key
 from .values import METRES
 
 _NUMBER = "[0-9]+(?:[.,][0-9]+)?"
@@ -74,12 +74,12 @@ def category(folder: Column, template: Column, names: Sequence[str], default: st
 
 def code_from_name(file: Column, folder: Column) -> Column:
     """the reference at the start of the file's name, else of its folder's; its two parts may be parted by one sign."""
-    from .query import REFERENCE_SHAPES
 
-    runs = {"L": "[A-Z]", "D": "[0-9]"}
-    shapes = ("[-_ ]?".join(f"{runs[kind]}{{{low},{high}}}" for kind, low, high in shape) for shape in REFERENCE_SHAPES)
-    pattern = f"^({'|'.join(shapes)})(?![A-Za-z0-9])"
-    of = lambda c: F.nullif(F.regexp_replace(F.regexp_extract(F.upper(c), pattern, 1), "[-_ ]", ""), F.lit(""))
+    def of(name: Column) -> Column:
+        begin = F.regexp_extract(F.upper(name), "^([A-Z]+[-_ ]?[0-9]+|[0-9]+[-_ ]?[A-Z]+)(?![A-Za-z0-9])", 1)
+        key = F.regexp_replace(begin, "[-_ ]", "")
+        return F.when(has_reference_shape(key), key)
+
     return F.coalesce(of(file), of(folder))
 
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .query import REFERENCE
+
 # Letters with marks, and what they fold to.
 _MARKED = "àáâãäåāăąçćĉċčďèéêëēĕėęěĝğġģĥìíîïĩīĭįĵķĺļľñńņňòóôõöōŏőŕŗřśŝşšţťùúûüũūŭůűųŵýÿŷźżž"
 _PLAIN = "aaaaaaaaacccccdeeeeeeeeegggghiiiiiiiijklllnnnnoooooooorrrssssttuuuuuuuuuuwyyyzzz"
@@ -25,6 +27,7 @@ def strip_accents(text: Column) -> Column:
 def search_key(text: Column) -> Column:
     """Fold for searching (F01): case, marks, ligatures, sharp s, white space. Null gives ''."""
     key = strip_accents(F.coalesce(text, F.lit("")))
+    # Ligatures and what they are written as.
     for ligature, letters in (("œ", "oe"), ("æ", "ae"), ("ß", "ss")):
         key = F.replace(key, F.lit(ligature), F.lit(letters))
     return collapse(key)
@@ -52,12 +55,8 @@ def reference_key(text: Column) -> Column:
 
 
 def has_reference_shape(key: Column) -> Column:
-    """whether a key's letters and digits are as many as ``query.REFERENCE_SHAPES`` wants."""
-    from .query import REFERENCE_SHAPES
-
-    runs = {"L": "[A-Z]", "D": "[0-9]"}
-    shapes = ("".join(f"{runs[kind]}{{{low},{high}}}" for kind, low, high in shape) for shape in REFERENCE_SHAPES)
-    return key.rlike(f"^(?:{'|'.join(shapes)})$")
+    """whether the whole key looks like a reference."""
+    return key.rlike(f"^{REFERENCE}$")
 
 
 def model_key(text: Column) -> Column:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..storage import kept
+
 LEAST = 0.85
 
 
@@ -31,7 +33,7 @@ def families(found: DataFrame, least: float = LEAST) -> DataFrame:
     both = pairs.join(rows.select("layout", "pages", "labels"), "layout").join(rows.select(F.col("layout").alias("head"), F.col("pages").alias("head_pages"), F.col("labels").alias("head_labels")), "head")
     alike = F.size(F.array_intersect("labels", "head_labels")) / F.size(F.array_union("labels", "head_labels")) >= least - 1e-9
     before = (F.col("head_pages") > F.col("pages")) | ((F.col("head_pages") == F.col("pages")) & (F.col("head") < F.col("layout")))
-    edges = _kept(both.where(alike & before).select("layout", "head", "head_pages"))
+    edges = kept(both.where(alike & before).select("layout", "head", "head_pages"))
     state = rows.select("layout", F.lit(None).cast("string").alias("family"))
     while True:
         # a layout is decided when all alike ones before it are: by the first of them that is a head, else as a head
@@ -42,17 +44,11 @@ def families(found: DataFrame, least: float = LEAST) -> DataFrame:
         after = state.join(seen, "layout", "left").select(
             "layout", F.coalesce("family", F.when(F.coalesce("open", F.lit(0)) == 0, F.coalesce(F.col("best.head"), F.col("layout")))).alias("family")
         )
-        state = _kept(after)
+        state = kept(after)
         if state.where("family IS NULL").isEmpty():
             return state
 
 
-def _kept(df: DataFrame) -> DataFrame:
-    from .dedup import _kept as kept
-
-    return kept(df)
-
-
 def merged(models: DataFrame, merges: DataFrame) -> DataFrame:
     """Models with what they are merged into (themselves if nothing) and a snapshot of their name from before."""
     joined = models.join(merges, "id", "left")

@@ -36,31 +36,6 @@ def settings(df: DataFrame, key: str, text: Column, schema: str, checks: dict[st
     return read.withColumn("wrong", wrong)
 
 
-def postings(docs: DataFrame, key: str, tokens: Column) -> DataFrame:
-    """Word, id, tf, n_distinct: the table a lexical search reads by word instead of folding every text.
-
-    Written sorted by word (see ``write_postings``), a scan for a few words reads few row groups.
-    """
-    words = docs.select(F.col(key).alias("id"), F.explode(F.array(tokens)).alias("ws"))
-    counted = words.select("id", F.size(F.array_distinct("ws")).alias("n_distinct"), F.explode("ws").alias("word"))
-    return counted.groupBy("word", "id", "n_distinct").agg(F.count("*").alias("tf"))
-
-
-def write_postings(found: DataFrame, path: str) -> DataFrame:
-    """The postings in order of their words; statistics of the files then tell which hold a word."""
-    found.repartitionByRange("word", "id").sortWithinPartitions("word", "id").write.parquet(path)
-    return found.sparkSession.read.parquet(path)
-
-
-def search_postings(found: DataFrame, required: Sequence[str], excluded: Sequence[str] = ()) -> DataFrame:
-    """R04 on postings: ids that have all required words and none excluded, scored as ``retrieval.lexical`` does for one class."""
-    some = found.where(F.col("word").isin([*required, *excluded]))
-    wanted = F.col("word").isin(list(required))
-    by_id = some.groupBy("id").agg(F.count_if(wanted).alias("hits"), F.count_if(~wanted).alias("bad"), F.sum(F.when(wanted, F.col("tf")).otherwise(0)).alias("tf"), F.max("n_distinct").alias("n"))
-    score = F.round(F.col("tf") / (1 + F.log(F.greatest(F.col("n"), F.lit(1)))), 6)
-    return by_id.where((F.col("hits") == len(set(required))) & (F.col("bad") == 0)).select(F.lit("lexical").alias("source"), "id", score.alias("score"))
-
-
 def report_lines(df: DataFrame, columns: Sequence[str], separator: str = ";") -> DataFrame:
     """Rows as lines of a report; values that hold the separator or a quote are quoted."""
 

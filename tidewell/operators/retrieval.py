@@ -27,11 +27,14 @@ def depth(offset: int, limit: int) -> int:
 
 
 def matches(tokens: Column, spec: QuerySpec) -> Column:
-    """All required words and phrases stand in the token array, no excluded one does."""
-    has = lambda w: F.array_contains(tokens, w)
+    """In one of the query's groups all words and phrases stand in the token array, and nothing excluded does."""
     line = F.concat(F.lit(" "), F.array_join(tokens, " "), F.lit(" "))
-    tests = [*map(has, spec.required), *(F.contains(line, F.lit(f" {' '.join(p)} ")) for p in spec.phrases), *(~has(w) for w in spec.excluded)]
-    return reduce(lambda a, b: a & b, tests, F.lit(bool(spec.required or spec.phrases)))
+
+    def holds(term) -> Column:
+        found = F.array_contains(tokens, term.words[0]) if len(term.words) == 1 else F.contains(line, F.lit(f" {' '.join(term.words)} "))
+        return ~found if term.negated else found
+
+    return reduce(lambda a, b: a | b, [reduce(lambda a, b: a & b, map(holds, g)) for g in spec.groups], F.lit(False))
 
 
 def lexical(docs: DataFrame, key: str, weighted: dict[str, Column], spec: QuerySpec) -> DataFrame:

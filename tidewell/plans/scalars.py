@@ -128,12 +128,13 @@ def f24_category(t: Tables) -> DataFrame:
     return t.part.select("p_partkey", E.category(F.upper("p_name"), F.when(F.col("p_size") > 25, F.lower("p_type")), ["gear", "ring"]).alias("category"))
 
 
-@query("SELECT o_orderkey, CASE WHEN o_orderkey < 10 THEN 'Z' || (100 + o_custkey) ELSE 'AB' || o_orderkey END AS code FROM orders WHERE o_custkey < 900 AND o_orderkey < 1000000")
+_CODE = "nullif(regexp_replace(regexp_extract({c}, '^([A-Z]{{2,4}}[-_ ]?[0-9]{{2,6}}|[0-9]{{2,6}}[-_ ]?[A-Z]{{1,4}})([^A-Z0-9]|$)', 1), '[-_ ]', '', 'g'), '')"
+
+
+@query(f"SELECT o_orderkey, coalesce({_CODE.format(c="'AB-' || o_orderkey || ' PLAN.PDF'")}, {_CODE.format(c="'ZZ_' || o_custkey")}) AS code FROM orders")
 def f25_code_from_name(t: Tables) -> DataFrame:
-    few = t.orders.where("o_custkey < 900 AND o_orderkey < 1000000")
-    # names of one digit are no codes: the folder's is taken, told with two letters and read without the first
-    code = E.code_from_name(F.concat(F.lit("ab-"), F.col("o_orderkey").cast("string"), F.lit(" plan.pdf")), F.concat(F.lit("ZZ_"), (F.col("o_custkey") + 100).cast("string")))
-    return few.select("o_orderkey", F.when(code.startswith("ZZ"), F.substring(code, 2, 20)).otherwise(code).alias("code"))
+    file = F.concat(F.lit("ab-"), F.col("o_orderkey").cast("string"), F.lit(" plan.pdf"))
+    return t.orders.select("o_orderkey", E.code_from_name(file, F.concat(F.lit("ZZ_"), F.col("o_custkey").cast("string"))).alias("code"))
 
 
 @query("""SELECT o_orderkey, split_part(o_orderpriority, '-', 2) AS part, strftime(o_orderdate, '%Y') AS told, month(date_trunc('quarter', o_orderdate)) AS quarter, greatest(o_custkey, o_orderkey) AS most, least(o_custkey, o_orderkey) AS fewest, CASE WHEN o_orderstatus <> 'F' THEN o_orderstatus END AS nf, left(o_orderpriority, 3) || right(o_orderpriority, 2) AS ends FROM orders""")

@@ -2,15 +2,19 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import uuid
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import query as P
 from ..functions import text as T
 from ..functions import values as V
 from ..operators import compare as K
+from ..operators import index as X
 from ..operators import latest as L
 from ..operators import retrieval as R
+from ..storage import shared_dir
 from .registry import Tables, query
 
 ASKED = "the that -loser"
@@ -27,10 +31,13 @@ def tokens_sql(column: str) -> str:
     return _TOKENS.format(c=column)
 
 
-def _lexical(t: Tables) -> DataFrame:
-    # a generator is where filters stop: the tokens of a text are worked out once, not for each test on them
-    docs = t.documents.select("doc_id", F.explode(F.array(T.tokens(F.col("text")))).alias("ws"))
-    return R.lexical(docs, "doc_id", {"A": F.col("ws")}, P.parse_query(ASKED))
+def _tokens() -> dict[str, Column]:
+    return {"A": T.tokens(F.col("text"))}
+
+
+def documents_index(t: Tables) -> X.Index:
+    """The stored index of the documents: made by the first search, read by the others."""
+    return X.stored(t.documents, "doc_id", _tokens())
 
 
 _LEXICAL = f"""lexical AS (SELECT 'lexical' AS source, doc_id AS id, round(len(list_filter(ws, lambda w: w IN ('the', 'that'))) / (1 + ln(greatest(len(list_distinct(ws)), 1))), 6) AS score
@@ -39,7 +46,57 @@ FROM (SELECT doc_id, {tokens_sql("text")} AS ws FROM documents) WHERE list_conta
 
 @query(f"WITH {_LEXICAL} SELECT * FROM lexical ORDER BY score DESC, id LIMIT 100")
 def r04_lexical_topk(t: Tables) -> DataFrame:
-    return _lexical(t).orderBy(F.desc("score"), "id").limit(100)
+    return documents_index(t).top(P.parse_query(ASKED), 100, covers=False)
+
+
+def boolean_sql(spec: P.QuerySpec, documents: str = "documents") -> str:
+    """Cover density by window functions over the places of the terms: what ``operators.index`` does over positions."""
+    terms = list(dict.fromkeys(t.words for g in spec.groups for t in g))
+    wanted = list(dict.fromkeys(t.words for g in spec.groups for t in g if not t.negated))
+    told = lambda ws: "[" + ", ".join(f"'{w}'" for w in ws) + "]"
+    places = " UNION ALL ".join(
+        f"SELECT id, {k} AS leaf, i AS s, i + {len(ws) - 1} AS e FROM (SELECT id, ws, unnest(range(1, len(ws) + 1)) AS i FROM d) WHERE ws[i:i+{len(ws) - 1}] = {told(ws)}" for k, ws in enumerate(terms)
+    )
+    holds = " OR ".join("(" + " AND ".join(f"count(*) FILTER (WHERE leaf = {terms.index(t.words)}) {'= 0' if t.negated else '> 0'}" for t in g) + ")" for g in spec.groups)
+    last = ", ".join(f"max(s) FILTER (WHERE leaf = {terms.index(ws)}) OVER w AS l{k}" for k, ws in enumerate(wanted))
+    group = lambda ks: f"CASE WHEN {' AND '.join(f'l{k} IS NOT NULL' for k in ks)} THEN least({', '.join(f'l{k}' for k in ks)}) END"
+    reach = ", ".join(group([wanted.index(t.words) for t in g if not t.negated]) for g in spec.groups)
+    words = " + ".join(f"CASE WHEN l{k} >= reach THEN {len(ws)} ELSE 0 END" for k, ws in enumerate(wanted))
+    return f"""WITH d AS (SELECT doc_id AS id, {tokens_sql("text")} AS ws FROM {documents}), p AS ({places}),
+m AS (SELECT id FROM p GROUP BY id HAVING {holds}),
+o AS (SELECT DISTINCT id, e, {last} FROM p SEMI JOIN m USING (id) WHERE leaf IN ({", ".join(str(terms.index(ws)) for ws in wanted)}) WINDOW w AS (PARTITION BY id ORDER BY e RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)),
+r AS (SELECT *, greatest({reach}, 0) AS reach FROM o), c AS (SELECT *, lag(reach, 1, 0) OVER (PARTITION BY id ORDER BY e) AS before FROM r),
+s AS (SELECT id, sum(1.0::DOUBLE / (1 + greatest(0, e - reach + 1 - ({words})))) AS covers FROM c WHERE reach > before GROUP BY id)
+SELECT 'lexical' AS source, id, round(covers / (1 + ln(greatest(len(list_distinct(ws)), 1))), 6) AS score FROM s JOIN d USING (id)"""
+
+
+BOOLEAN = P.parse_query('"all rights reserved" or license -loser or "of the" that')
+
+
+@query(boolean_sql(BOOLEAN))
+def r04_boolean_search(t: Tables) -> DataFrame:
+    return documents_index(t).search(BOOLEAN)
+
+
+@query(boolean_sql(BOOLEAN) + " ORDER BY score DESC, id LIMIT 20")
+def r04_boolean_topk(t: Tables) -> DataFrame:
+    return documents_index(t).top(BOOLEAN, 20)
+
+
+def _changed(docs: DataFrame) -> DataFrame:
+    return docs.where("doc_id % 5 = 0").withColumn("text", F.concat(F.coalesce("text", F.lit("")), F.lit(" under the License, all rights reserved")))
+
+
+@query(boolean_sql(BOOLEAN, "(SELECT doc_id, CASE WHEN doc_id % 5 = 0 THEN coalesce(text, '') || ' under the License, all rights reserved' ELSE text END AS text FROM documents WHERE doc_id % 7 <> 0)"))
+def r04_search_after_changes(t: Tables) -> DataFrame:
+    """A fifth of the documents replaced and a seventh deleted in the stored index, then the segments merged."""
+    spark = t.documents.sparkSession
+    made = X.Index(spark, f"{shared_dir(spark)}/changed-{uuid.uuid4().hex}").create(t.documents.where("doc_id % 3 > 0"), "doc_id", _tokens())
+    made.add(t.documents.where("doc_id % 3 = 0"), "doc_id", _tokens())
+    made.add(_changed(t.documents), "doc_id", _tokens())
+    made.delete(t.documents.where("doc_id % 7 = 0").select(F.col("doc_id").alias("id")))
+    made.merge()
+    return made.search(BOOLEAN)
 
 
 @query(f"""WITH d AS (SELECT doc_id AS id, {key_sql("source")} AS name, {tokens_sql("text")} AS ws FROM documents), f AS (SELECT id, name, len(ws) AS n, len(list_filter(ws, lambda w: starts_with(w, 'moti'))) AS a, len(list_filter(ws, lambda w: starts_with(w, 'idio'))) AS b FROM d)
@@ -82,7 +139,8 @@ def r13_rrf_fusion(t: Tables) -> DataFrame:
     own = t.embeddings.where("vec_id = 0").select(F.col("embedding").alias("q")).limit(1)
     vectors = R.vector(t.embeddings.crossJoin(F.broadcast(own)), "vec_id", "embedding", F.col("q"), 100)
     longest = t.documents.select(F.lit("text").alias("source"), F.col("doc_id").alias("id"), F.col("n_chars").cast("double").alias("score"))
-    fused = R.fuse([R.ranked(_lexical(t)), R.ranked(vectors), R.ranked(longest)])
+    words = documents_index(t).top(P.parse_query(ASKED), 100, covers=False)
+    fused = R.fuse([R.ranked(words), R.ranked(vectors), R.ranked(longest)])
     return fused.orderBy(F.desc("score"), "id").limit(50)
 
 
