@@ -140,7 +140,7 @@ def test_suffix_array_and_prefixes(monkeypatch):
     pick = random.Random(1)
     for trial in range(150):
         s = symbols_of([bytes(pick.choice(b"ab\x00\xff" if trial % 2 else b"a") for _ in range(pick.randint(1, 60))) for _ in range(pick.randint(1, 6))])
-        monkeypatch.setattr(suffixes, "_LANES", pick.choice([3, 7, 1024]))
+        monkeypatch.setattr(suffixes, "_LANES", pick.choice([1, 3, 4096]))
         order, rank, key = suffixes.suffix_array(s)
         end = lambda i: i + int(np.flatnonzero(s[i:] == 0)[0])
         want = sorted(range(len(s)), key=lambda i: [int(x) + len(s) for x in s[i : end(i)]] + [end(i)])

@@ -34,7 +34,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Table, bounded_batches
+from .common import Table, bounded_batches, per_worker
 from .substrings import DEALS, Windows, _bucket, _gaps, _positions, merged
 
 WIDTH = 200
@@ -44,7 +44,7 @@ BUCKET = 8_000_000  # bytes of text for each bucket
 _BASES = (0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB)  # odd, so invertible modulo 2**64
 _BYTES = np.array([xxhash.xxh3_64_intdigest(bytes([b])) for b in range(256)], dtype=np.uint64)
 _PREFIX = 7  # symbols of 9 bits in a first key
-_LANES = 1024  # suffixes that one lane follows by Kasai's rule
+_LANES = 4096  # lanes that follow Kasai's rule side by side, of 32 suffixes at least
 
 
 def suffix_array(symbols: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -87,16 +87,17 @@ def long_prefixes(symbols: np.ndarray, order: np.ndarray, rank: np.ndarray, key:
     """For each place of the array: does its suffix share ``least`` symbols or more with the one before?
 
     Kasai's rule: a suffix shares with its predecessor at most one symbol less than the suffix before it in
-    the text did. Lanes of ``_LANES`` suffixes each follow it side by side, ``_PREFIX`` symbols a step.
+    the text did. ``_LANES`` stretches of the text follow it side by side, ``_PREFIX`` symbols a step.
     """
     n = len(symbols)
     ends = np.flatnonzero(symbols == 0)
     left = ends[np.searchsorted(ends, np.arange(n))] - np.arange(n)  # symbols up to the region's end
-    lanes = -(-n // _LANES)
+    each = max(32, -(-n // _LANES))
+    lanes = -(-n // each)
     out = np.zeros(n, dtype=bool)
-    begin = np.arange(lanes) * _LANES
+    begin = np.arange(lanes) * each
     shared = np.zeros(lanes, dtype=np.int64)
-    for t in range(min(_LANES, n)):
+    for t in range(min(each, n)):
         i = begin + t
         if i[-1] >= n:
             i, shared = i[:-1], shared[:-1]
@@ -119,6 +120,11 @@ def long_prefixes(symbols: np.ndarray, order: np.ndarray, rank: np.ndarray, key:
     return out
 
 
+def _windows(width: int, base: int) -> Windows:
+    """Hashes of windows; their tables of powers are kept by the worker."""
+    return per_worker(("windows", width, base), lambda: Windows(width, _BASES[base]))
+
+
 def smallest(values: np.ndarray, width: int) -> np.ndarray:
     """The minimum of each ``width`` neighbours, from minima running to and from every ``width``-th place."""
     n = len(values)
@@ -202,7 +208,7 @@ class _Shard:
         self.bytes = np.frombuffer(zstandard.ZstdDecompressor().decompress(data, max_output_size=int(sum(sizes))), dtype=np.uint8)
         self.sizes, self.ends, self.width, self.span = np.array(sizes), np.cumsum(sizes), width, width - gram + 1
         values = _BYTES[self.bytes]
-        self.grams = Windows(gram, _BASES[0])(values)
+        self.grams = _windows(gram, 0)(values)
         anchors = smallest(self.grams, self.span)
         whole = np.ones(len(anchors), dtype=bool)  # does a string begin here that its text holds whole?
         for end in self.ends[:-1].tolist():
@@ -216,7 +222,7 @@ class _Shard:
         self.end = np.minimum(stop, nearest)
         self.anchor = anchors[self.begin]
         # a run's bytes as a hash of any length, from sums over inverse powers
-        powers = Windows(width, _BASES[1])
+        powers = _windows(width, 1)
         if len(values) > len(powers.power):
             powers.grow(len(values))
         total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(values * powers.inverse[: len(values)])])
@@ -332,7 +338,7 @@ def classes(s: _Shard, mixed: np.ndarray, buckets: int):
     asked = _in(s.anchor, mixed)
     sent[_each(s.begin[asked], s.end[asked])] = True
     values = _BYTES[raw]
-    h, b = Windows(s.width, _BASES[1])(values), _bucket(Windows(s.width, _BASES[2])(values), buckets)
+    h, b = _windows(s.width, 1)(values), _bucket(_windows(s.width, 2)(values), buckets)
     single, several = np.sort(at[alone & sent[where[at]]]), at[first & ~alone & sent[where[at]]]
     return np.sort(where[at[~alone]]), where[single], h[single], b[single], h[several], b[several]
 
