@@ -82,13 +82,19 @@ def tokens(text: Column) -> Column:
     return F.filter(F.split(F.regexp_replace(search_key(text), "[^\\p{L}\\p{N}]+", " "), " "), lambda w: w != "")
 
 
-def trigrams(text: Column) -> Column:
-    """Distinct trigrams of each word of letters and digits, padded by two spaces before and one after."""
-    grams = F.transform(
-        tokens(text),
-        lambda w: F.transform(F.sequence(F.lit(1), F.length(w) + 1), lambda i: F.substr(F.concat(F.lit("  "), w, F.lit(" ")), i, F.lit(3))),
+def ordered_trigrams(text: Column) -> Column:
+    """The trigrams of each word of letters and digits in the order they stand, repeats included; words are padded by two spaces before and one after."""
+    return F.flatten(
+        F.transform(
+            tokens(text),
+            lambda w: F.transform(F.sequence(F.lit(1), F.length(w) + 1), lambda i: F.substr(F.concat(F.lit("  "), w, F.lit(" ")), i, F.lit(3))),
+        )
     )
-    return F.array_distinct(F.flatten(grams))
+
+
+def trigrams(text: Column) -> Column:
+    """Distinct trigrams of a text."""
+    return F.array_distinct(ordered_trigrams(text))
 
 
 def trigram_similarity(a: Column, b: Column) -> Column:
@@ -97,21 +103,36 @@ def trigram_similarity(a: Column, b: Column) -> Column:
     return F.when(every == 0, F.lit(0.0)).otherwise(shared / F.nullif(every, F.lit(0)))
 
 
-def word_similarity(query: Column, text: Column) -> Column:
-    """best share of the query's trigrams within any run of the text's words as long as the query's.
+def word_similarity(query: Column, text: Column, least: float = 0.3) -> Column:
+    """the greatest similarity of the query's trigrams to any continuous extent of the text's ordered trigrams.
 
-    ``query`` and ``text`` are strings. The extent is whole words: a defined, slightly stricter
-    form of comparing with the closest continuous extent of trigrams.
+    0 below ``least``, which bounds how many different trigrams an extent may have. Extents that end at one
+    place differ by the trigrams met last, so it is enough to keep those, latest last: time is linear in
+    the text. Only ends that are trigrams of the query are scored. An empty query or text gives 0.
     """
-    own, words = trigrams(query), tokens(text)
-    width = F.greatest(F.size(tokens(query)), F.lit(1))
+    own = trigrams(query)
+    size = F.size(own)
+    most = F.greatest(F.floor(size / least).cast("int"), F.lit(1))
+    of = lambda count, width: F.try_divide(count, size + width - count)
+
+    def ending_here(recent: Column) -> Column:
+        start = F.struct(F.lit(0).alias("width"), F.lit(0).alias("count"), F.lit(0.0).alias("best"))
+
+        def longer(s: Column, g: Column) -> Column:
+            count = s["count"] + F.array_contains(own, g).cast("int")
+            return F.struct((s["width"] + 1).alias("width"), count.alias("count"), F.greatest(s["best"], of(count, s["width"] + 1)).alias("best"))
+
+        return F.aggregate(F.reverse(recent), start, longer, lambda s: s["best"])
 
-    def at(i: Column) -> Column:
-        part = trigrams(F.array_join(F.slice(words, i, width), " "))
-        return F.size(F.array_intersect(own, part)) / F.greatest(F.size(own), F.lit(1))
+    def step(s: Column, g: Column) -> Column:
+        kept = F.filter(s["recent"], lambda x: x != g)
+        recent = F.concat(F.slice(kept, F.greatest(F.size(kept) - most + 2, F.lit(1)), most), F.array(g))
+        best = F.when(F.array_contains(own, g), F.greatest(s["best"], ending_here(recent))).otherwise(s["best"])
+        return F.struct(recent.alias("recent"), best.alias("best"))
 
-    starts = F.sequence(F.lit(1), F.greatest(F.size(words) - width + 1, F.lit(1)))
-    return F.coalesce(F.array_max(F.transform(starts, at)), F.lit(0.0))
+    start = F.struct(F.array().cast("array<string>").alias("recent"), F.lit(0.0).alias("best"))
+    found = F.aggregate(ordered_trigrams(text), start, step, lambda s: s["best"])
+    return F.when(found >= least - 1e-12, found).otherwise(0.0)
 
 
 def french_number(value: Column, digits: int = 2) -> Column:

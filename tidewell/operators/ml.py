@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -34,17 +34,31 @@ def centroids(df: DataFrame, label: str, vector: str) -> DataFrame:
     return whole.select(F.col(label).alias("centroid"), F.transform(v, lambda x: F.try_divide(x, norm)).alias("c"))
 
 
+LABELS = 1_000  # labels that a row meets at once
+MOST_SENT = 32_000_000  # bytes of a model that every executor gets; a larger one is joined by its blocks
+
+
 def classify(df: DataFrame, key: str, vector: str, model: DataFrame) -> DataFrame:
-    """Nearest centroid by cosine, with the margin over the next. The model has a row a label: it is checked to be small."""
-    labels = model.limit(10_001).count()
-    if labels > 10_000:
-        raise ValueError("more labels than a model may have")
-    norm = F.sqrt(F.aggregate(vector, F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double")))
-    dot = F.aggregate(F.zip_with(vector, "c", lambda x, y: x.cast("double") * y), F.lit(0.0), lambda s, x: s + x)
-    scored = df.crossJoin(F.broadcast(model)).select(key, "centroid", F.round(F.try_divide(dot, norm), 6).alias("score"))
-    order = Window.partitionBy(key).orderBy(F.desc("score"), "centroid")
-    top = scored.withColumn("place", F.row_number().over(order)).where("place <= 2")
-    return top.groupBy(key).agg(F.max_by("centroid", "score").alias("x"), F.min_by("centroid", "place").alias("predicted"), F.max("score").alias("score"), F.round(F.max("score") - F.min("score"), 6).alias("margin")).drop("x")
+    """Nearest centroid by cosine, with the margin over the next (0 if there is none).
+
+    The model goes in blocks of about ``LABELS`` labels; a row is scored against a block in one expression
+    that keeps the best two, so no row for each label is made, and a model of any size is whole.
+    """
+    labels, dims = model.agg(F.count("*"), F.max(F.size("c"))).first()
+    blocks = max(1, -(-labels // LABELS))
+    packed = model.groupBy(F.pmod(F.xxhash64("centroid"), F.lit(blocks)).alias("__block")).agg(F.collect_list(F.struct("centroid", "c")).alias("__labels"))
+    if labels * (dims or 0) * 8 <= MOST_SENT:
+        packed = F.broadcast(packed)
+    dot = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
+    v = F.col(vector)
+    score = lambda label: F.round(F.try_divide(dot(v, label["c"]), F.sqrt(dot(v, v))), 6)
+    best = lambda scored: F.slice(F.array_sort(scored), 1, 2)
+    met = df.select(key, vector, F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))).alias("__block")).join(packed, "__block")
+    tops = met.select(key, best(F.transform("__labels", lambda x: F.struct((-score(x)).alias("less"), x["centroid"].alias("centroid")))).alias("two"))
+    if blocks > 1:
+        tops = tops.groupBy(key).agg(best(F.flatten(F.collect_list("two"))).alias("two"))  # two a block
+    first, second = F.get("two", F.lit(0)), F.get("two", F.lit(1))
+    return tops.select(key, first["centroid"].alias("predicted"), (-first["less"]).alias("score"), F.round(F.coalesce(second["less"], first["less"]) - first["less"], 6).alias("margin"))
 
 
 def keyword_rules(text: Column, rules: Sequence[tuple[str, Sequence[str]]], default: str) -> Column:

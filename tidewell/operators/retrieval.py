@@ -66,8 +66,8 @@ def _starts(prefix: str):
 
 def trigram(docs: DataFrame, key: str, text: Column, query: str, least: float = TRIGRAM_LEAST) -> DataFrame:
     """One-word queries only; word similarity strictly above ``least``."""
-    score = T.word_similarity(F.lit(query), text)
-    rows = docs.select(F.lit("trigram").alias("source"), F.col(key).alias("id"), F.round(score, 6).alias("score"))
+    scored = docs.select(F.col(key).alias("id"), F.explode(F.array(T.word_similarity(F.lit(query), text, least))).alias("score"))  # once a row
+    rows = scored.select(F.lit("trigram").alias("source"), "id", F.round("score", 6).alias("score"))
     return rows.where(F.col("score") > least) if len(query.split()) == 1 else rows.limit(0)
 
 

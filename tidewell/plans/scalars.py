@@ -11,7 +11,7 @@ from ..functions import values as V
 from ..operators import quality as A
 from ..operators import retrieval as R
 from .registry import Tables, query
-from .search import _FOLD, _GRAMS, key_sql, tokens_sql
+from .search import extent_sql, _FOLD, _GRAMS, key_sql, tokens_sql
 
 
 @query("SELECT doc_id, md5(trim(regexp_replace(" + _FOLD.format(c="text") + r", '[\s\x{a0}\x{202f}\x{2007}]+', ' ', 'g'))) AS digest FROM documents")
@@ -31,9 +31,9 @@ def f04_majority_spelling(t: Tables) -> DataFrame:
     return A.majority(t.part.select(F.col("p_brand").alias("k"), T.canonical_form(written).alias("form")), ["k"], "form")
 
 
-@query(f"""WITH q AS (SELECT {_GRAMS.format(ws="['hot', 'ring']")} AS g), p AS (SELECT p_partkey, {tokens_sql("p_name")} AS ws FROM part)
+@query(f"""WITH q AS (SELECT {_GRAMS.format(ws="['hot', 'ring']")} AS g), p AS (SELECT p_partkey, {tokens_sql("p_name")} AS ws FROM part), {extent_sql("hot ring", "p_partkey", "p_name", "part")}
 SELECT p_partkey, round(len(list_intersect(q.g, {_GRAMS.format(ws="ws")})) / len(list_distinct(list_concat(q.g, {_GRAMS.format(ws="ws")})))::DOUBLE, 6) AS similarity,
-round(list_max(list_transform(range(1, greatest(len(ws), 2)), lambda i: len(list_intersect(q.g, {_GRAMS.format(ws="ws[i:i+1]")})) / len(q.g)::DOUBLE)), 6) AS word_similarity FROM p, q""")
+round(CASE WHEN score >= 0.3 THEN score ELSE 0 END, 6)::DOUBLE AS word_similarity FROM q, p LEFT JOIN extents ON p_partkey = id""")
 def f05_trigram_similarities(t: Tables) -> DataFrame:
     name = F.col("p_name")
     return t.part.select("p_partkey", F.round(T.trigram_similarity(T.trigrams(name), T.trigrams(F.lit("hot ring"))), 6).alias("similarity"), F.round(T.word_similarity(F.lit("hot ring"), name), 6).alias("word_similarity"))

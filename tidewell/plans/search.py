@@ -14,6 +14,7 @@ from ..operators import compare as K
 from ..operators import index as X
 from ..operators import latest as L
 from ..operators import retrieval as R
+from ..operators import trigrams as G
 from ..storage import shared_dir
 from .registry import Tables, query
 
@@ -109,11 +110,26 @@ def r03_prefix_or_search(t: Tables) -> DataFrame:
 _GRAMS = "list_distinct(flatten(list_transform({ws}, lambda w: list_transform(range(1, length(w)::BIGINT + 2), lambda i: substr('  ' || w || ' ', i::BIGINT, 3)))))"
 
 
-@query(f"""WITH q AS (SELECT {_GRAMS.format(ws="['rings']")} AS g), p AS (SELECT p_partkey AS id, {tokens_sql("p_name")} AS ws FROM part),
-w AS (SELECT id, unnest(ws) AS w FROM p), s AS (SELECT id, max(len(list_intersect(q.g, {_GRAMS.format(ws="[w]")})) / len(q.g)::DOUBLE) AS score FROM w, q GROUP BY 1)
-SELECT 'trigram' AS source, id, round(score, 6) AS score FROM s WHERE round(score, 6) > 0.3""")
+def extent_sql(query: str, key: str, column: str, table: str) -> str:
+    """CTE ``extents`` (id, score): the best of all continuous extents of the ordered trigrams that begin and end at one of the query's."""
+    ordered = "flatten(list_transform({ws}, lambda w: list_transform(range(1, length(w)::BIGINT + 2), lambda i: substr('  ' || w || ' ', i::BIGINT, 3))))"
+    own = _GRAMS.format(ws=f"string_split('{query}', ' ')")
+    return f"""own AS (SELECT {own} AS q), seqs AS (SELECT {key} AS id, {ordered.format(ws="ws")} AS s FROM (SELECT {key}, {tokens_sql(column)} AS ws FROM {table})),
+hits AS (SELECT id, s, q, list_filter(range(1, len(s) + 1), lambda i: list_contains(q, s[i])) AS h FROM seqs, own),
+ends AS (SELECT id, s, q, h, unnest(h) AS a FROM hits), stretches AS (SELECT id, q, list_distinct(s[a:b]) AS e FROM (SELECT id, s, q, a, unnest(list_filter(h, lambda b: b >= a)) AS b FROM ends)),
+extents AS (SELECT id, max(len(list_intersect(e, q)) / (len(e) + len(q) - len(list_intersect(e, q)))::DOUBLE) AS score FROM stretches GROUP BY id)"""
+
+
+@query(f"WITH {extent_sql('ringz', 'p_partkey', 'p_name', 'part')} SELECT 'trigram' AS source, id, round(score, 6) AS score FROM extents WHERE round(score, 6) > 0.3")
 def r05_trigram_source(t: Tables) -> DataFrame:
-    return R.trigram(t.part, "p_partkey", F.col("p_name"), "rings")
+    grams = G.stored(t.part, "p_partkey", F.col("p_name"))
+    return G.trigram(t.part, "p_partkey", F.col("p_name"), "ringz", grams)
+
+
+@query(f"""WITH q AS (SELECT {_GRAMS.format(ws="['hot', 'ringz']")} AS g), p AS (SELECT p_partkey AS id, {_GRAMS.format(ws=tokens_sql("p_name"))} AS t FROM part),
+s AS (SELECT id, round(len(list_intersect(t, g)) / (len(t) + len(g) - len(list_intersect(t, g)))::DOUBLE, 6) AS score FROM p, q) SELECT id, score FROM s WHERE score >= 0.3""")
+def r05_similar_titles(t: Tables) -> DataFrame:
+    return G.stored(t.part, "p_partkey", F.col("p_name")).similar("hot ringz")
 
 
 @query("""WITH q AS (SELECT embedding AS e FROM embeddings WHERE vec_id = 0), s AS (SELECT vec_id AS id, round(list_cosine_similarity(embedding::DOUBLE[], e::DOUBLE[]), 6) AS score FROM embeddings, q)

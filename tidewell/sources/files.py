@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import io
+import multiprocessing
 import re
 import zipfile
 from collections.abc import Sequence
@@ -50,47 +51,110 @@ def strip_markup(html: Column) -> Column:
     return F.trim(F.regexp_replace(text, "\\s+", " "))
 
 
-def _office_text(content: bytes, most_members: int = 500, most_bytes: int = 10_000_000) -> str:
+def _office_text(content: bytes, most_members: int, most_bytes: int) -> tuple[str, int]:
+    """Text of the members, and how many were left out."""
     pieces = []
     with zipfile.ZipFile(io.BytesIO(content)) as z:
-        for info in [i for i in z.infolist() if i.filename.endswith(".xml")][:most_members]:
-            if info.file_size <= most_bytes:
-                pieces.append(re.sub(r"<[^>]+>", " ", z.read(info).decode("utf-8", "ignore")))
-    return " ".join(" ".join(pieces).split())
+        members = [i for i in z.infolist() if i.filename.endswith(".xml")]
+        read = [i for i in members[:most_members] if i.file_size <= most_bytes]
+        for info in read:
+            pieces.append(re.sub(r"<[^>]+>", " ", z.read(info).decode("utf-8", "ignore")))
+    return " ".join(" ".join(pieces).split()), len(members) - len(read)
 
 
-def _manifest(content: bytes, most: int = 10_000) -> str:
+def _manifest(content: bytes, most: int) -> tuple[str, int]:
     with zipfile.ZipFile(io.BytesIO(content)) as z:
-        return "\n".join(z.namelist()[:most])
-
-
-def extract_text(files: DataFrame, most_chars: int = 1_000_000, most_bytes: int = 50_000_000) -> DataFrame:
-    """Path, status, detail, text of ``files`` (path, extension, length, content).
-
-    Statuses: extracted, unavailable (no reader for the type), skipped (too large), error. A
-    file that fails gives a row with its error and never stops the others.
+        names = z.namelist()
+    return "\n".join(names[:most]), max(0, len(names) - most)
+
+
+class _Child:
+    """Reads files in a process of its own, which is killed when a file takes too long."""
+
+    def __init__(self, read):
+        self.read, self.process = read, None
+
+    def __call__(self, seconds: float, *given):
+        if self.process is None:
+            context = multiprocessing.get_context("fork")
+            self.pipe, theirs = context.Pipe()
+            self.process = context.Process(target=self._serve, args=(theirs,), daemon=True)
+            self.process.start()
+            theirs.close()
+        self.pipe.send(given)
+        try:
+            if self.pipe.poll(seconds):
+                return self.pipe.recv()
+            told = ("timeout", f"{seconds} s", None, 0)
+        except EOFError:  # the child died of the file
+            told = ("error", "the reader died", None, 0)
+        self.stop()
+        return told
+
+    def _serve(self, pipe):
+        while True:
+            try:
+                pipe.send(self.read(*pipe.recv()))
+            except EOFError:
+                return
+
+    def stop(self):
+        if self.process is not None:
+            self.process.kill()
+            self.process.join()
+            self.process = None
+
+
+def _reader(most_chars: int, most_members: int, most_member_bytes: int, most_names: int):
+    def read(extension: str, content: bytes):
+        """status, detail, text, left_out."""
+        try:
+            if extension in PLAIN:
+                text, lost = content.decode("utf-8", "ignore"), 0
+            elif extension in OFFICE:
+                text, lost = _office_text(content, most_members, most_member_bytes)
+            elif extension in ARCHIVES:
+                text, lost = _manifest(content, most_names)
+            else:
+                return "unavailable", extension, None, 0
+        except Exception as e:
+            return "error", type(e).__name__, None, 0
+        what = "names" if extension in ARCHIVES else "members"
+        if len(text) > most_chars:
+            return "truncated", f"{len(text) - most_chars} characters" + (f", {lost} {what}" if lost else ""), text[:most_chars], len(text) - most_chars + lost
+        return ("truncated", f"{lost} {what}", text, lost) if lost else ("extracted", None, text, 0)
+
+    return read
+
+
+def extract_text(files: DataFrame, most_chars: int = 1_000_000, most_bytes: int = 50_000_000, most_members: int = 500, most_member_bytes: int = 10_000_000, most_names: int = 10_000, seconds: float = 60.0) -> DataFrame:
+    """Path, status, detail, text, left_out of ``files`` (path, extension, length, content).
+
+    Statuses: extracted (whole), truncated (``left_out`` characters, members or names are missing, as ``detail``
+    says), unavailable (no reader for the type), skipped (too large), timeout, error. The limits are parameters.
+    A file is read in a child process that is killed after ``seconds``; a file that fails or is not done in
+    time gives a row with its error and never stops the others.
     """
+    read = _reader(most_chars, most_members, most_member_bytes, most_names)
 
     def run(batches):
-        for batch in batches:
-            rows = []
-            for path, extension, length, content in zip(*(batch.column(k).to_pylist() for k in range(4)), strict=True):
-                try:
+        child = _Child(read)
+        try:
+            for batch in batches:
+                rows = []
+                for path, extension, length, content in zip(*(batch.column(k).to_pylist() for k in range(4)), strict=True):
                     if length > most_bytes:
-                        rows.append((path, "skipped", f"{length} bytes", None))
-                    elif extension in PLAIN:
-                        rows.append((path, "extracted", None, content.decode("utf-8", "ignore")[:most_chars]))
-                    elif extension in OFFICE:
-                        rows.append((path, "extracted", None, _office_text(content)[:most_chars]))
-                    elif extension in ARCHIVES:
-                        rows.append((path, "extracted", None, _manifest(content)[:most_chars]))
+                        rows.append((path, "skipped", f"{length} bytes", None, length))
+                    elif extension not in (*PLAIN, *OFFICE, *ARCHIVES):
+                        rows.append((path, "unavailable", extension, None, 0))
                     else:
-                        rows.append((path, "unavailable", extension, None))
-                except Exception as e:
-                    rows.append((path, "error", type(e).__name__, None))
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in zip(*rows, strict=True)] if rows else [pa.array([], pa.string())] * 4, ["path", "status", "detail", "text"])
+                        rows.append((path, *child(seconds, extension, content)))
+                cells = zip(*rows, strict=True) if rows else [[]] * 5
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cells, [pa.string()] * 4 + [pa.int64()], strict=True)], ["path", "status", "detail", "text", "left_out"])
+        finally:
+            child.stop()
 
-    return files.select("path", "extension", "length", "content").mapInArrow(run, "path string, status string, detail string, text string")
+    return files.select("path", "extension", "length", "content").mapInArrow(run, "path string, status string, detail string, text string, left_out long")
 
 
 def folders_with(files: DataFrame, extension: str) -> DataFrame:
