@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..sources import files as S
 from ..sources import merge as W
+from ..sources.stored import StoredTable
+from ..storage import shared_dir
 from ..streaming import jobs as J
 from .registry import Tables, query
 
@@ -46,6 +50,18 @@ def w01_upsert(t: Tables) -> DataFrame:
     return W.upsert(target, fresh, ["k"], guard=F.col("s") == "F", keep_old=True)
 
 
+@query("""WITH n AS (SELECT o_orderkey + CASE WHEN o_orderkey % 200 = 0 THEN 50000000 ELSE 0 END AS k, 'N' AS s, o_totalprice + 5 AS v FROM orders WHERE o_orderkey % 100 = 0)
+SELECT coalesce(n.k, o_orderkey) AS k, coalesce(n.s, o_orderstatus) AS s, coalesce(n.v, o_totalprice) AS v FROM orders FULL JOIN n ON o_orderkey = n.k WHERE coalesce(o_orderkey, 1) % 1000 <> 7""")
+def w01_touched_files(t: Tables) -> DataFrame:
+    """One key in a hundred upserted and one in a thousand deleted, in the files that hold them."""
+    rows = t.orders.select(F.col("o_orderkey").alias("k"), F.col("o_orderstatus").alias("s"), F.col("o_totalprice").alias("v"))
+    table = StoredTable(rows.sparkSession, f"{shared_dir(rows.sparkSession)}/orders-{uuid.uuid4().hex}", "k").create(rows, 2_000)
+    changes = rows.where("k % 100 = 0").select((F.col("k") + F.when(F.col("k") % 200 == 0, 50_000_000).otherwise(0)).alias("k"), F.lit("N").alias("s"), (F.col("v") + 5).alias("v"))
+    table.upsert(changes, rows_a_file=2_000)
+    table.delete(rows.where("k % 1000 = 7"), rows_a_file=2_000)
+    return table.read()
+
+
 @query("SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderstatus = 'F') AND c_custkey NOT IN (SELECT user_id FROM events WHERE event_type = 'purchase') AND NOT starts_with(c_custkey::VARCHAR, '9')")
 def w02_reconcile_delete(t: Tables) -> DataFrame:
     rows = t.customer.select(F.col("c_custkey").cast("string").alias("k"))

@@ -89,11 +89,14 @@ class Log:
         if not files.exists(target):
             return 0, None
         numbers = [int(n[:-5]) for n in (s.getPath().getName() for s in files.listStatus(target)) if n.endswith(".json") and n[0] != "."]
-        if not numbers:
-            return 0, None
-        stream = files.open(_path(self.spark, f"{self.path}/{max(numbers)}.json"))
+        return (max(numbers), self.at(max(numbers))) if numbers else (0, None)
+
+    def at(self, version: int) -> dict:
+        """The state of a version."""
+        files, target = _files(self.spark, f"{self.path}/{version}.json")
+        stream = files.open(target)
         try:
-            return max(numbers), json.loads(self.spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8"))
+            return json.loads(self.spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8"))
         finally:
             stream.close()
 
