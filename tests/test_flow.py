@@ -22,19 +22,6 @@ def test_upsert_guards_and_keeps(spark):
     assert rows(got) == sorted([(1, "a", "x"), (2, "b", "done"), (3, "d", "x"), (None, "m", "x")], key=str)
 
 
-def test_chain_breaks(spark):
-    import hashlib
-
-    log, previous = [], None
-    for k in range(4):
-        h = hashlib.sha256(f"{previous or ''}|e{k}".encode()).hexdigest()
-        log.append((k, k, f"e{k}", previous, h))
-        previous = h
-    log[2] = (2, 2, "forged", log[2][3], log[2][4])
-    df = spark.createDataFrame(log, "id int, at int, what string, previous string, digest string")
-    assert rows(merge.chain_breaks(df, "at", "id", "digest", "previous", ["what"])) == [(2, 2)]
-
-
 def test_versions(spark, tmp_path):
     path = str(tmp_path)
     merge.swap(spark.range(3).toDF("x"), path, 1)

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..operators import assistant as A
+from ..operators import chains as B
 from ..operators import confidence as C
 from ..operators import dedup as D
 from ..operators import families as Y
@@ -16,6 +17,7 @@ from ..operators import rules as U
 from ..operators import search as H
 from ..operators import workflow as K
 from ..sources import merge as W
+from ..storage import kept
 from ..streaming import jobs as J
 from .registry import Tables, query
 from .search import tokens_sql
@@ -63,18 +65,40 @@ def w12_journal_append(t: Tables) -> DataFrame:
     return Q.top_queries(journal.unionByName(row), "query", F.col("results"), "created_at").select("query", "n", "n_empty")
 
 
-@query("SELECT user_id AS id, event_id AS at FROM (SELECT *, count(*) OVER (PARTITION BY user_id) AS c, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS k FROM events) WHERE k = 2")
+_LOG = ["event_id", "user_id", "event_type", "value"]
+
+
+def _log(t: Tables) -> DataFrame:
+    """Events as an audit log, a chain for each type and lane; values as whole cents, which both engines write alike."""
+    rows = t.events.select("event_id", "user_id", "event_type", F.round(F.col("value") * 100).cast("long").alias("value"))
+    return B.sealed(rows, "event_id", ["event_id"], F.col("event_type"), _LOG, lanes=4, block=50)
+
+
+def log_sql(block: int = 50, lanes: int = 4) -> str:
+    """CTEs ``numbered`` and ``blocks``: digests folded over the entries of each block."""
+    told = " || ',' || ".join(f"coalesce(length({c}::VARCHAR) || ':' || {c}::VARCHAR, '-')" for c in _LOG)
+    return f"""rows AS (SELECT event_id, user_id, event_type, round(value * 100)::BIGINT AS value FROM events),
+dealt AS (SELECT *, event_type AS period, ('0x' || substr(md5(event_id::VARCHAR), 1, 4))::INT % {lanes} AS lane, {told} AS content FROM rows),
+numbered AS (SELECT *, row_number() OVER (PARTITION BY period, lane ORDER BY event_id) AS n FROM dealt),
+blocks AS (SELECT period, lane, (n - 1) // {block} AS block, count(*) AS entries, list_reduce(list_prepend(sha256(period || '|' || lane || '|' || ((n - 1) // {block})), list(content ORDER BY n)), lambda d, c: sha256(d || '|' || c)) AS tail FROM numbered GROUP BY 1, 2, 3),
+of_lanes AS (SELECT period, lane, sha256(string_agg(tail, '|' ORDER BY block)) AS root, sum(entries) AS entries FROM blocks GROUP BY 1, 2),
+of_periods AS (SELECT period, sha256(string_agg(root, '|' ORDER BY lane)) AS root, sum(entries)::BIGINT AS entries FROM of_lanes GROUP BY 1)"""
+
+
+@query(f"""WITH {log_sql()} SELECT period, entries, root, list_reduce(list_prepend('', list(root) OVER (ORDER BY period ROWS UNBOUNDED PRECEDING)), lambda d, c: sha256(d || '|' || c)) AS head FROM of_periods""")
+def w13_chain_heads(t: Tables) -> DataFrame:
+    return B.heads(_log(t), block=50)
+
+
+@query(f"""WITH {log_sql()}, found AS (
+SELECT period, event_id AS id, CASE WHEN event_id % 97 = 3 THEN 'altered' WHEN n % 50 <> 1 AND lag(event_id) OVER (PARTITION BY period, lane ORDER BY n) % 89 = 5 THEN 'unlinked' END AS state, event_id % 89 = 5 AS gone FROM numbered)
+SELECT period, id, state FROM found WHERE NOT gone AND state IS NOT NULL
+UNION ALL SELECT period, NULL, 'root' FROM (SELECT period, lane, (n - 1) // 50 AS block, arg_max(event_id, n) AS last, count(*) FILTER (WHERE event_id % 89 = 5) AS gone FROM numbered GROUP BY 1, 2, 3) GROUP BY period HAVING sum(gone) > 0""")
 def w13_chain_breaks(t: Tables) -> DataFrame:
-    """A chain a user, of which the second entry was altered after the fact."""
-    from pyspark.sql import Window
-
-    order = Window.partitionBy("user_id").orderBy("event_id")
-    digest = lambda key, n: F.sha2(F.concat_ws("|", F.when(n > 1, F.concat_ws("/", "user_id", F.lit("head"))).otherwise(F.lit("")), key.cast("string")), 256)
-    rows = t.events.select(F.col("user_id").alias("id"), F.col("event_id").alias("at"), F.col("event_id").cast("string").alias("what"), F.row_number().over(order).alias("n"), "user_id")
-    link = F.when(F.col("n") > 1, F.concat_ws("/", "user_id", F.lit("head")))
-    log = rows.select("id", "at", F.when(F.col("n") == 2, "forged").otherwise(F.col("what")).alias("what"), link.alias("previous"), digest(F.col("what"), F.col("n")).alias("digest"))
-    heads = rows.where("n = 1").select("id", "at", F.lit("head").alias("what"), F.lit(None).cast("string").alias("previous"), F.concat_ws("/", "user_id", F.lit("head")).alias("digest"))
-    return W.chain_breaks(log.unionByName(heads), "at", "id", "digest", "previous", ["what"]).join(heads.select("id", "at"), ["id", "at"], "left_anti")
+    """The log after some entries were altered and others removed, against the heads that were kept."""
+    log = kept(_log(t))
+    forged = log.where("event_id % 89 <> 5").withColumn("value", F.col("value") + F.when(F.col("event_id") % 97 == 3, 1).otherwise(0))
+    return B.breaks(forged, B.heads(log, block=50), "event_id", _LOG, block=50)
 
 
 @query("SELECT o_orderkey, CASE WHEN o_custkey % 2 = 0 THEN 'Z' ELSE o_orderstatus END AS o_orderstatus, CASE WHEN o_custkey % 2 = 0 THEN 2 ELSE 1 END AS revision FROM orders")

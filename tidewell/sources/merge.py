@@ -110,19 +110,6 @@ def checksum(df: DataFrame) -> DataFrame:
     return df.agg(F.count("*").alias("n"), F.sum(F.xxhash64(*df.columns).cast("decimal(38,0)")).alias("checksum"))
 
 
-def chain_breaks(log: DataFrame, at: str, key: str, digest: str, previous: str, content: Sequence[str]) -> DataFrame:
-    """Rows of an append-only log whose hash or link to the row before is wrong.
-
-    The link names the row before, so the check is an equality join on hashes, not a global
-    window over one partition.
-    """
-    expected = F.sha2(F.concat_ws("|", F.coalesce(previous, F.lit("")), *content), 256)
-    known = log.select(F.col(digest).alias("__known")).distinct()
-    rows = log.withColumn("__wrong", F.col(digest) != expected)
-    linked = rows.join(known, F.col(previous) == F.col("__known"), "left")
-    return linked.where(F.col("__wrong") | (F.col(previous).isNotNull() & F.col("__known").isNull())).select(key, at)
-
-
 def swap(df: DataFrame, path: str, version: int) -> str:
     """The new state as a version of its own; readers move when the pointer is written, after the data."""
     target = f"{path}/v{version}"
