@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from ..operators import confidence as C
 from ..operators import quality as Q
+from ..operators import quantiles as N
 from .registry import Tables, query
 
 
@@ -181,6 +182,13 @@ def a28_robust_stats(t: Tables) -> DataFrame:
     return C.robust_stats(t.lineitem, ["l_suppkey"], "l_extendedprice")
 
 
+@query(f"""WITH x AS (SELECT l_returnflag AS k, l_extendedprice AS v FROM lineitem WHERE l_extendedprice IS NOT NULL), {_STATS}
+SELECT k AS l_returnflag, n, round_even(m, 3) AS median, round_even(a, 3) AS q1, round_even(b, 3) AS q3, round_even(b - a, 3) AS iqr, round_even(mad, 3) AS mad, round_even(lo, 3) AS least, round_even(hi, 3) AS most FROM q JOIN d USING (k)""")
+def a28_stats_of_large_groups(t: Tables) -> DataFrame:
+    """Three groups hold all rows: none of them meets in one task."""
+    return N.robust_stats(t.lineitem, ["l_returnflag"], "l_extendedprice")
+
+
 _OBS = "SELECT lang, (doc_id * 37 % 100) / 100.0 AS s, quality = 1 AS ok FROM documents JOIN labels USING (doc_id)"
 
 
