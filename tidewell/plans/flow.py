@@ -12,6 +12,7 @@ from ..sources import merge as W
 from ..sources.stored import StoredTable
 from ..storage import shared_dir
 from ..streaming import jobs as J
+from ..streaming import leases as E
 from .registry import Tables, query
 
 
@@ -177,6 +178,13 @@ def t06_stale_heartbeats(t: Tables) -> DataFrame:
     return J.stale(_with_now(t), "ts", F.col("now")).select("event_id")
 
 
+@query("SELECT user_id AS job, ts AS at FROM events s WHERE event_type = 'click' AND NOT EXISTS (SELECT 1 FROM events b WHERE b.event_type = 'view' AND b.user_id = s.user_id AND b.ts > s.ts AND b.ts <= s.ts + INTERVAL 3 DAY)")
+def t06_silent_jobs(t: Tables) -> DataFrame:
+    """Clicks that no view of the same user followed within three days; the same join runs on streams."""
+    of = lambda kind: t.events.where(F.col("event_type") == kind).select(F.col("user_id").alias("job"), F.col("ts").alias("at"))
+    return E.silent_jobs(of("click"), of("view"), within="3 days")
+
+
 @query("""WITH w AS (SELECT event_id, count(*) OVER w AS n FROM (SELECT *, floor(epoch(ts))::BIGINT AS s FROM events) WINDOW w AS (PARTITION BY event_type ORDER BY s RANGE BETWEEN 60 PRECEDING AND CURRENT ROW))
 SELECT event_id, n AS in_window, n > 2 AS limited FROM w""")
 def t07_rate_limit_window(t: Tables) -> DataFrame:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -11,6 +12,7 @@ from ..functions import query as P
 from ..functions import text as T
 from ..functions import values as V
 from ..operators import compare as K
+from ..operators import completions as Z
 from ..operators import index as X
 from ..operators import latest as L
 from ..operators import retrieval as R
@@ -216,7 +218,19 @@ r AS (SELECT nature, value, key, CASE WHEN key = 'am' THEN 0 WHEN starts_with(ke
 round(CASE WHEN key = 'am' THEN 1.0 WHEN starts_with(key, 'am') THEN 0.70 + 0.25 * 2 / length(key)::DOUBLE ELSE fuzzy END, 6)::DOUBLE AS score FROM s)
 SELECT nature, value, rank, score FROM (SELECT *, row_number() OVER (PARTITION BY key ORDER BY rank, score DESC, value, nature) AS place FROM r WHERE rank IS NOT NULL) WHERE place = 1""")
 def r19_suggestions_prefix(t: Tables) -> DataFrame:
-    return R.suggestions([("part", t.part, "p_name"), ("nation", t.nation, "n_name"), ("region", t.region, "r_name"), ("segment", t.customer, "c_mktsegment")], "am")
+    return _completions(t).suggestions("am")
+
+
+def _completions(t: Tables) -> Z.Completions:
+    values = [(t.part, "part", "p_name"), (t.nation, "nation", "n_name"), (t.region, "region", "r_name"), (t.customer, "segment", "c_mktsegment")]
+    return Z.stored(reduce(DataFrame.unionByName, [df.select(F.lit(nature).alias("nature"), F.col(c).alias("value")) for df, nature, c in values]))
+
+
+@query(f"""WITH v AS (SELECT DISTINCT 'part' AS nature, p_name AS value FROM part UNION ALL SELECT DISTINCT 'nation', n_name FROM nation UNION ALL SELECT DISTINCT 'region', r_name FROM region UNION ALL SELECT DISTINCT 'segment', c_mktsegment FROM customer),
+k AS (SELECT key, min((value, nature)) AS v FROM (SELECT nature, value, {key_sql("value")} AS key FROM v WHERE value IS NOT NULL) WHERE starts_with(key, 's') GROUP BY key)
+SELECT (row_number() OVER (ORDER BY length(key), v[1], v[2]))::INT AS place, v[1] AS value, v[2] AS nature, key FROM k ORDER BY place LIMIT 12""")
+def o08_completions(t: Tables) -> DataFrame:
+    return _completions(t).complete("s")
 
 
 @query("""SELECT doc_id, instr(lower(text), 'license') > 0 AS matched, CASE WHEN instr(lower(text), 'license') > 0 THEN substr(text, greatest(1, instr(lower(text), 'license') - 180), 360) ELSE substr(text, 1, 360) END AS piece FROM documents""")
