@@ -15,6 +15,7 @@ from ..operators import compare as K
 from ..operators import completions as Z
 from ..operators import index as X
 from ..operators import latest as L
+from ..operators import links as Y
 from ..operators import retrieval as R
 from ..operators import trigrams as G
 from ..storage import shared_dir
@@ -274,6 +275,21 @@ def r24_model_match(t: Tables) -> DataFrame:
     return R.model_match(t.part, "p_name", models)
 
 
+@query(f"""WITH m(model_id, model_key, alias) AS (VALUES (1, 'small ring', false), (1, 'small rings', true), (2, 'red widget 2', false), (3, 'hot gears', false), (4, 'bolt blue', true)),
+w AS (SELECT p_partkey AS id, string_split('pour ' || lower(p_name), ' ') AS ws FROM part),
+s AS (SELECT DISTINCT id, b - a + 1 AS words, array_to_string(ws[a:b], ' ') AS phrase FROM (SELECT id, ws, a, unnest(range(a, least(a + 8, len(ws) + 1))) AS b FROM (SELECT id, ws, unnest(range(1, len(ws) + 1)) AS a FROM w))),
+e AS (SELECT id, model_id, CASE WHEN alias THEN 1 ELSE 0 END AS tier, CASE WHEN alias THEN 0.98 ELSE 1.0 END AS score, phrase FROM (SELECT *, max(words) OVER (PARTITION BY id) AS most FROM s JOIN m ON phrase = model_key) WHERE words = most),
+b AS (SELECT id, model_id, 2 AS tier, round(0.70 + 0.25 * length(phrase) / length(model_key), 6) AS score, phrase FROM (SELECT *, max(length(phrase)) OVER (PARTITION BY id) AS most FROM s JOIN m ON starts_with(model_key, phrase) WHERE length(phrase) >= 3 AND id NOT IN (SELECT id FROM e)) WHERE length(phrase) = most),
+l AS (SELECT id, phrase FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY length(phrase) DESC, phrase) AS k FROM s WHERE length(phrase) >= 4 AND id NOT IN (SELECT id FROM e UNION ALL SELECT id FROM b)) WHERE k <= 12),
+g AS (SELECT id, model_id, phrase, {_GRAMS.format(ws=tokens_sql("phrase"))} AS x, {_GRAMS.format(ws="string_split(model_key, ' ')")} AS y FROM l, m),
+f AS (SELECT id, model_id, 3 AS tier, round(len(list_intersect(x, y)) / (len(x) + len(y) - len(list_intersect(x, y)))::DOUBLE, 6) AS score, phrase FROM g),
+u AS (SELECT * FROM e UNION ALL SELECT * FROM b UNION ALL SELECT * FROM f WHERE score >= 0.3)
+SELECT id AS p_partkey, model_id, tier, score::DOUBLE AS score, phrase FROM (SELECT *, row_number() OVER (PARTITION BY id, model_id ORDER BY tier, score DESC, phrase) AS place FROM u) WHERE place = 1""")
+def r24_models_in_texts(t: Tables) -> DataFrame:
+    models = t.spark.createDataFrame(_MODELS, "model_id int, name string, alias boolean").select("model_id", T.model_key(F.col("name")).alias("model_key"), "alias")
+    return Y.model_links(t.part, "p_partkey", F.concat(F.lit("pour "), F.col("p_name")), models)
+
+
 @query("""SELECT doc_id, length(c)::INT AS kept, md5(c) AS digest FROM (SELECT doc_id, """ + key_sql("text") + """ AS c FROM documents)""")
 def f01_search_key(t: Tables) -> DataFrame:
     return t.documents.select("doc_id", T.search_key(F.col("text")).alias("c")).select("doc_id", F.length("c").alias("kept"), F.md5("c").alias("digest"))
