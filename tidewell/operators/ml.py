@@ -77,6 +77,6 @@ def accuracy(df: DataFrame, truth: Column, *predictions: tuple[str, Column]) ->
     return df.agg(F.count("*").alias("n"), *[F.round(F.avg((p == truth).cast("double")), 6).alias(name) for name, p in predictions])
 
 
-def stratified_split(df: DataFrame, key: str, share: float) -> Column:
-    """Held out or not, from the key's hash, the same in every run."""
-    return F.pmod(F.xxhash64(key), F.lit(1000)) < int(share * 1000)
+def stratified_split(key: Column, share: float) -> Column:
+    """Held out or not, from the MD5 of the key: the same in every run, and in every label about the same share."""
+    return F.pmod(F.conv(F.substring(F.md5(key.cast("string")), 1, 8), 16, 10).cast("long"), F.lit(1000)) < round(share * 1000)

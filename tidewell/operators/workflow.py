@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -133,10 +135,19 @@ def preservation(jobs: DataFrame, key: str, captured: Column, verified: Column,
     return jobs.select(key, action.alias("action"))
 
 
-def schema_gaps(spark, tables: Mapping[str, DataFrame], expected: Mapping[str, Sequence[str]]) -> DataFrame:
-    """Columns that a table should have and has not."""
-    missing = [(name, c) for name, columns in expected.items() for c in columns if name not in tables or c not in tables[name].columns]
-    return spark.createDataFrame(missing, "table_name string, column_name string")
+def schema_health(spark, tables: Mapping[str, DataFrame], expected: Mapping[str, Sequence[str]]) -> DataFrame:
+    """table_name, column_name, filled, rows of the columns that tables should have: how many values there are; null where the column or table is missing.
+
+    One aggregate a table, over the expected columns it has.
+    """
+    told = []
+    for name, columns in expected.items():
+        there = [c for c in columns if name in tables and c in tables[name].columns]
+        entries = [F.struct(F.lit(c).alias("column_name"), (F.count(c) if c in there else F.lit(None).cast("long")).alias("filled")) for c in columns]
+        source = tables[name] if name in tables else spark.range(1).limit(1)
+        rows = F.count("*") if name in tables else F.max(F.lit(None).cast("long"))
+        told.append(source.agg(F.array(*entries).alias("e"), rows.alias("rows")).select(F.lit(name).alias("table_name"), F.inline("e"), "rows"))
+    return reduce(DataFrame.unionByName, told)
 
 
 def relinked(records: DataFrame, choices: DataFrame, key: str, category: Column) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -47,13 +49,13 @@ def w10_refresh_search_text(t: Tables) -> DataFrame:
     return text.select("p_partkey", F.md5("a").alias("a"), F.md5("b").alias("b"))
 
 
-@query(f"""WITH w AS (SELECT p_partkey, unnest(string_split(lower(p_name), ' ')) AS w FROM part), h AS (SELECT p_partkey, md5(w) AS m, 1.0 + ln(1 + length(w)) * 0.1 AS weight FROM w WHERE w <> ''),
+@query(f"""WITH w AS (SELECT p_partkey, unnest(string_split(lower(CASE WHEN p_partkey % 3 = 0 THEN p_name || ' before' ELSE p_name END), ' ')) AS w FROM part), h AS (SELECT p_partkey, md5(w) AS m, 1.0 + ln(1 + length(w)) * 0.1 AS weight FROM w WHERE w <> ''),
 b AS (SELECT p_partkey, weight, (('0x' || m[1:2])::INT + ('0x' || m[3:4])::INT * 256 + ('0x' || m[5:6])::INT * 65536 + ('0x' || m[7:8])::BIGINT * 16777216) % 16 AS place, CASE WHEN ('0x' || m[9:10])::INT % 2 = 0 THEN 1.0 ELSE -1.0 END AS sign FROM h),
 s AS (SELECT p_partkey, place, sum(sign * weight) AS v FROM b GROUP BY 1, 2), n AS (SELECT p_partkey, sqrt(sum(v * v)) AS norm FROM s GROUP BY 1)
 SELECT s.p_partkey, place, round(CASE WHEN norm > 0 THEN v / norm END, 6) AS weight FROM s JOIN n USING (p_partkey)""")
 def w11_vector_backfill(t: Tables) -> DataFrame:
-    """Only rows without a vector are encoded; on these tables that is all of them."""
-    stored = M.hashed_terms(t.part.where("false"), "p_partkey", F.col("p_name"), 16)
+    """Only rows without a vector are encoded: a third have one, of an older name, and keep it."""
+    stored = kept(M.hashed_terms(t.part.where("p_partkey % 3 = 0"), "p_partkey", F.concat("p_name", F.lit(" before")), 16))
     missing = t.part.join(stored.select("p_partkey").distinct(), "p_partkey", "left_anti")
     return stored.unionByName(M.hashed_terms(missing, "p_partkey", F.col("p_name"), 16)).select("p_partkey", "place", F.round("weight", 6).alias("weight"))
 
@@ -154,14 +156,21 @@ def r22_detail_of_page(t: Tables) -> DataFrame:
     return t.supplier.join(F.broadcast(page), "s_suppkey").select("s_suppkey", "s_name", "s_nationkey")  # a page: one row
 
 
-@query("SELECT 'ok' AS state, 'count' AS intent, count(*)::VARCHAR AS told FROM orders WHERE contains(lower(o_orderpriority), 'urgent') AND year(o_orderdate) = 1996")
+@query("""SELECT 'How many  URGENT orders in 1996?' AS question, 'ok' AS state, 'count' AS intent, count(*)::VARCHAR AS told FROM orders WHERE contains(lower(o_orderpriority), 'urgent') AND year(o_orderdate) = 1996
+UNION ALL SELECT 'how many low orders in 1994', 'ok', 'count', count(*)::VARCHAR FROM orders WHERE contains(lower(o_orderpriority), 'low') AND year(o_orderdate) = 1994
+UNION ALL SELECT 'balance of supplier 3', 'ok', 'value', (s_acctbal)::VARCHAR FROM supplier WHERE s_suppkey = 3""")
 def r25_question_driver(t: Tables) -> DataFrame:
+    """Questions of two intents, each answered from the tables."""
     intents = [
         A.Intent("value", r"balance of supplier (?P<code>\d+)", lambda code: A.value_of(t.supplier, "s_suppkey", code, "s_acctbal", "s_nationkey", "0")),
         A.Intent("count", r"how many (?P<motif>\w+) orders in (?P<year>\d{4})", lambda motif, year: A.counted(t.orders, "o_orderkey", "o_orderpriority", motif, int(year), "o_orderdate")[0]),
     ]
-    answer = A.ask("How many  URGENT orders in 1996?", intents, lambda words: t.orders.limit(0))
-    return answer.rows.select(F.lit(answer.state).alias("state"), F.lit(answer.intent).alias("intent"), F.col("n").cast("string").alias("told"))
+    told = []
+    for question in ("How many  URGENT orders in 1996?", "how many low orders in 1994", "balance of supplier 3"):
+        answer = A.ask(question, intents, lambda words: t.orders.limit(0))
+        value = F.col("n" if answer.intent == "count" else "value").cast("string")
+        told.append(answer.rows.select(F.lit(question).alias("question"), F.lit(answer.state).alias("state"), F.lit(answer.intent).alias("intent"), value.alias("told")))
+    return reduce(DataFrame.unionByName, told)
 
 
 @query("SELECT p_partkey, 'p_size' AS attribute, p_size::VARCHAR AS value FROM part WHERE p_brand = 'Brand#3' AND p_type = 'SMALL'")
@@ -246,12 +255,9 @@ def x26_calibration_proposal(t: Tables) -> DataFrame:
     return C.calibration_proposal(rows, "family", "score", F.col("right"), "user_id", 0.9, 20)
 
 
-@query("SELECT label, count(*) AS n FROM embeddings GROUP BY 1")
+@query("SELECT vec_id, label, ('0x' || substr(md5(vec_id::VARCHAR), 1, 8))::BIGINT % 1000 < 300 AS held FROM embeddings")
 def x31_stratified_split(t: Tables) -> DataFrame:
-    """Both sides of the split together are the table, label by label."""
-    held = M.stratified_split(t.embeddings, "vec_id", 0.3)
-    sides = t.embeddings.select("label", held.alias("held"))
-    return sides.where("held").select("label").unionByName(sides.where("NOT held").select("label")).groupBy("label").agg(F.count("*").alias("n"))
+    return t.embeddings.select("vec_id", "label", M.stratified_split(F.col("vec_id"), 0.3).alias("held"))
 
 
 @query("""WITH l AS (SELECT DISTINCT l_orderkey AS page, l_returnflag || l_linenumber % 3 AS label FROM lineitem), s AS (SELECT page, string_agg(label, '+' ORDER BY label) AS layout FROM l GROUP BY 1)
@@ -347,9 +353,11 @@ def m19_preservation(t: Tables) -> DataFrame:
     return K.preservation(t.orders, "o_orderkey", F.col("o_orderstatus") == "F", F.col("o_totalprice") > 100000, F.col("o_orderstatus") == "P")
 
 
-@query("SELECT * FROM (VALUES ('part', 'p_colour'), ('ghost', 'id')) v(table_name, column_name)")
+@query("""SELECT 'part' AS table_name, 'p_partkey' AS column_name, count(p_partkey) AS filled, count(*) AS rows FROM part UNION ALL SELECT 'part', 'p_colour', NULL, count(*) FROM part
+UNION ALL SELECT 'documents', 'lang', count(lang), count(*) FROM documents UNION ALL SELECT 'orders', 'o_orderkey', count(o_orderkey), count(*) FROM orders UNION ALL SELECT 'ghost', 'id', NULL, NULL""")
 def m18_schema_gaps(t: Tables) -> DataFrame:
-    return K.schema_gaps(t.spark, {"part": t.part, "orders": t.orders}, {"part": ["p_partkey", "p_colour"], "orders": ["o_orderkey"], "ghost": ["id"]})
+    tables = {"part": t.part, "orders": t.orders, "documents": t.documents}
+    return K.schema_health(t.spark, tables, {"part": ["p_partkey", "p_colour"], "documents": ["lang"], "orders": ["o_orderkey"], "ghost": ["id"]})
 
 
 @query("SELECT o_orderkey, o_orderstatus FROM orders WHERE ((o_orderstatus = 'F' AND date_diff('day', o_orderdate::DATE, DATE '1998-08-02') > 1000) OR (o_orderstatus = 'O' AND date_diff('day', o_orderdate::DATE, DATE '1998-08-02') > 2000)) AND o_orderkey NOT IN (SELECT l_orderkey FROM lineitem WHERE l_quantity > 45)")
