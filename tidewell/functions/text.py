@@ -110,29 +110,36 @@ def word_similarity(query: Column, text: Column, least: float = 0.3) -> Column:
     place differ by the trigrams met last, so it is enough to keep those, latest last: time is linear in
     the text. Only ends that are trigrams of the query are scored. An empty query or text gives 0.
     """
-    own = trigrams(query)
-    size = F.size(own)
-    most = F.greatest(F.floor(size / least).cast("int"), F.lit(1))
-    of = lambda count, width: F.try_divide(count, size + width - count)
+    of = lambda count, width, size: F.try_divide(count, size + width - count)
 
-    def ending_here(recent: Column) -> Column:
-        start = F.struct(F.lit(0).alias("width"), F.lit(0).alias("count"), F.lit(0.0).alias("best"))
+    def best_extent(own: Column) -> Column:
+        size = F.size(own)
+        most = F.greatest(F.floor(size / least).cast("int"), F.lit(1))
 
-        def longer(s: Column, g: Column) -> Column:
-            count = s["count"] + F.array_contains(own, g).cast("int")
-            return F.struct((s["width"] + 1).alias("width"), count.alias("count"), F.greatest(s["best"], of(count, s["width"] + 1)).alias("best"))
+        def ending_here(recent: Column) -> Column:
+            start = F.struct(F.lit(0).alias("width"), F.lit(0).alias("count"), F.lit(0.0).alias("best"))
 
-        return F.aggregate(F.reverse(recent), start, longer, lambda s: s["best"])
+            def longer(s: Column, g: Column) -> Column:
+                count = s["count"] + F.array_contains(own, g).cast("int")
+                return F.struct((s["width"] + 1).alias("width"), count.alias("count"), F.greatest(s["best"], of(count, s["width"] + 1, size)).alias("best"))
 
-    def step(s: Column, g: Column) -> Column:
-        kept = F.filter(s["recent"], lambda x: x != g)
-        recent = F.concat(F.slice(kept, F.greatest(F.size(kept) - most + 2, F.lit(1)), most), F.array(g))
-        best = F.when(F.array_contains(own, g), F.greatest(s["best"], ending_here(recent))).otherwise(s["best"])
-        return F.struct(recent.alias("recent"), best.alias("best"))
+            return F.aggregate(F.reverse(recent), start, longer, lambda s: s["best"])
 
-    start = F.struct(F.array().cast("array<string>").alias("recent"), F.lit(0.0).alias("best"))
-    found = F.aggregate(ordered_trigrams(text), start, step, lambda s: s["best"])
-    return F.when(found >= least - 1e-12, found).otherwise(0.0)
+        def step(s: Column, g: Column) -> Column:
+            kept = F.array_remove(s["recent"], g)
+            recent = F.concat(F.slice(kept, F.greatest(F.size(kept) - most + 2, F.lit(1)), most), F.array(g))
+            moved = lambda r: F.struct(r.alias("recent"), F.when(F.array_contains(own, g), F.greatest(s["best"], ending_here(r))).otherwise(s["best"]).alias("best"))
+            return _once(recent, moved)
+
+        start = F.struct(F.array().cast("array<string>").alias("recent"), F.lit(0.0).alias("best"))
+        return F.aggregate(ordered_trigrams(text), start, step, lambda s: s["best"])
+
+    return _once(_once(trigrams(query), best_extent), lambda found: F.when(found >= least - 1e-12, found).otherwise(0.0))
+
+
+def _once(value: Column, use) -> Column:
+    """``use(value)`` with the value worked out once, however often it is used."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
 
 
 def french_number(value: Column, digits: int = 2) -> Column:

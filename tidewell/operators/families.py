@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..storage import kept
 
 LEAST = 0.85
+STEPS = 3  # links of a chain that one job decides
 
 
 def layouts(labels: DataFrame, page: str, label: str) -> DataFrame:
@@ -23,28 +24,35 @@ def families(found: DataFrame, least: float = LEAST) -> DataFrame:
     alike. ``found``: layout, pages. Alike pairs come from an equality join on the rarest labels,
     as many as the similarity allows to miss. Only a count of undecided layouts reaches the driver.
     """
-    rows = found.select("layout", "pages", F.split("layout", "\\+").alias("labels"))
+    rows = kept(found.select("layout", "pages", F.split("layout", "\\+").alias("labels")))  # read many times, made once
     counts = rows.select(F.explode("labels").alias("label")).groupBy("label").agg(F.count("*").alias("n"))
     ranked = rows.select("layout", F.size("labels").alias("size"), F.explode("labels").alias("label")).join(counts, "label")
     ordered = ranked.groupBy("layout", "size").agg(F.sort_array(F.collect_list(F.struct("n", "label"))).alias("s"))
     prefix = ordered.select("layout", F.explode(F.slice("s", F.lit(1), (F.col("size") - F.ceil(F.col("size") * least) + 1).cast("int"))).alias("x")).select("layout", F.col("x.label").alias("label"))
     other = prefix.select(F.col("layout").alias("head"), "label")
-    pairs = prefix.join(other, "label").where("layout <> head").select("layout", "head").distinct()
+    # sizes bound what two sets can share, before any label is compared
+    size = lambda c, name: rows.select(F.col("layout").alias(c), F.size("labels").alias(name))
+    pairs = prefix.join(other, "label").where("layout <> head").select("layout", "head").distinct().join(size("layout", "n"), "layout").join(size("head", "head_n"), "head")
+    pairs = pairs.where(F.least("n", "head_n") >= F.greatest("n", "head_n") * least - 1e-9).select("layout", "head")
     both = pairs.join(rows.select("layout", "pages", "labels"), "layout").join(rows.select(F.col("layout").alias("head"), F.col("pages").alias("head_pages"), F.col("labels").alias("head_labels")), "head")
     alike = F.size(F.array_intersect("labels", "head_labels")) / F.size(F.array_union("labels", "head_labels")) >= least - 1e-9
     before = (F.col("head_pages") > F.col("pages")) | ((F.col("head_pages") == F.col("pages")) & (F.col("head") < F.col("layout")))
     edges = kept(both.where(alike & before).select("layout", "head", "head_pages"))
-    state = rows.select("layout", F.lit(None).cast("string").alias("family"))
-    while True:
-        # a layout is decided when all alike ones before it are: by the first of them that is a head, else as a head
+    state = kept(rows.select("layout", F.lit(None).cast("string").alias("family")))
+
+    def step(state: DataFrame) -> DataFrame:
+        """A layout is decided when all alike ones before it are: by the first of them that is a head, else as a head."""
         known = state.select(F.col("layout").alias("head"), F.col("family").alias("of"))
         seen = edges.join(known, "head").groupBy("layout").agg(
             F.count_if(F.col("of").isNull()).alias("open"), F.min(F.when(F.col("of") == F.col("head"), F.struct((-F.col("head_pages")).alias("p"), "head"))).alias("best")
         )
-        after = state.join(seen, "layout", "left").select(
-            "layout", F.coalesce("family", F.when(F.coalesce("open", F.lit(0)) == 0, F.coalesce(F.col("best.head"), F.col("layout")))).alias("family")
-        )
-        state = kept(after)
+        decided = F.when(F.coalesce("open", F.lit(0)) == 0, F.coalesce(F.col("best.head"), F.col("layout")))
+        return state.join(seen, "layout", "left").select("layout", F.coalesce("family", decided).alias("family"))
+
+    while True:
+        for _ in range(STEPS):
+            state = step(state)
+        state = kept(state)
         if state.where("family IS NULL").isEmpty():
             return state
 

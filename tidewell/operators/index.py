@@ -13,11 +13,13 @@ A position is the word's place times 4 plus its class, so that equal steps are e
 
 from __future__ import annotations
 
+import json
 import uuid
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from ..functions.query import QuerySpec, Term
 from ..storage import Log, fingerprint, shared_dir
@@ -127,7 +129,7 @@ class Index:
         written = self.spark.read.parquet(f"{where}/postings")
         tops = written.groupBy("word", "segment", "block").agg(F.max(_damped(F.size("positions").cast("double"), F.col("n"))).alias("top"), F.count("*").alias("postings"))
         tops.repartitionByRange("word", "block").sortWithinPartitions("word", "block").write.parquet(f"{where}/tops")
-        return {"name": name, "number": number}
+        return {"name": name, "number": number, "postings": written.schema.json(), "tops": tops.schema.json()}
 
     def _blocks(self, docs: DataFrame) -> int:
         return max(1, docs.count() // (BLOCK * 32))
@@ -167,7 +169,8 @@ class Index:
     # --- reading
 
     def _read(self, state: dict, table: str) -> DataFrame:
-        return self.spark.read.parquet(*[f"{self.path}/{s['name']}/{table}" for s in state["segments"]])
+        schema = StructType.fromJson(json.loads(state["segments"][0][table]))
+        return self.spark.read.schema(schema).parquet(*[f"{self.path}/{s['name']}/{table}" for s in state["segments"]])
 
     def live(self, words: list[str] | None = None, state: dict | None = None) -> DataFrame:
         """Postings of the words (all without) that no tombstone covers."""

@@ -30,10 +30,13 @@ def similar(left: DataFrame, right: DataFrame, least: float = LEAST) -> DataFram
     needed = (F.col("l_size") + F.col("r_size")) * (least / (1 + least))
     left_over = F.least(F.col("l_size") - F.col("l_at"), F.col("r_size") - F.col("r_at")) + F.least("l_at", "r_at")
     fits = (F.least("l_size", "r_size") >= F.greatest("l_size", "r_size") * least - 1e-9) & (left_over >= needed - 1e-9)
-    pairs = a.join(b, "gram").where(fits).select("l", "r").distinct()
+    pairs = a.join(b, "gram").where(fits).select("l", "r", "l_size", "r_size").distinct()
     held = lambda side, c, g: sides.where(F.col("side") == side).select(F.col("t").alias(c), F.col("g").alias(g))
     both = pairs.join(held(0, "l", "lg"), "l").join(held(1, "r", "rg"), "r")
-    return both.select("l", "r", F.round(T.trigram_similarity(F.col("lg"), F.col("rg")), 6).alias("score")).where(F.col("score") >= least)
+    # few bytes but much work: dealt out by number, which adaptive execution leaves as it is
+    dealt = both.repartition(int(left.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    shared = dealt.select("l", "r", (F.col("l_size") + F.col("r_size")).alias("sizes"), F.explode(F.array(F.size(F.array_intersect("lg", "rg")))).alias("shared"))
+    return shared.select("l", "r", F.round(F.col("shared") / (F.col("sizes") - F.col("shared")), 6).alias("score")).where(F.col("score") >= least)
 
 
 def _longest(rows: DataFrame, key: str, length: str) -> DataFrame:

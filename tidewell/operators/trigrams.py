@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import json
 import math
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from ..functions import text as T
 from ..storage import Log, fingerprint, shared_dir
@@ -27,13 +29,14 @@ class Grams:
         sized = read.select("id", F.explode(F.array(F.struct(F.size("g").alias("size"), F.col("g").alias("grams")))).alias("s"))
         rows = sized.select("id", "s.size", F.explode("s.grams").alias("gram"))
         rows.repartitionByRange("gram", "id").sortWithinPartitions("gram", "id").write.parquet(f"{self.path}/{name}")
-        self.log.commit(0, {"name": name})
+        self.log.commit(0, {"name": name, "schema": rows.schema.json()})
         return self
 
     def _shared(self, query: str) -> tuple[DataFrame, int]:
         """id, size, shared of texts with trigrams of the query; how many it has."""
         own = sorted({w[i : i + 3] for w in _words(self.spark, query) for w in [f"  {w} "] for i in range(len(w) - 2)})
-        table = self.spark.read.parquet(f"{self.path}/{self.log.current()[1]['name']}")
+        state = self.log.current()[1]
+        table = self.spark.read.schema(StructType.fromJson(json.loads(state["schema"]))).parquet(f"{self.path}/{state['name']}")
         return table.where(F.col("gram").isin(own)).groupBy("id", "size").agg(F.count("*").alias("shared")), len(own)
 
     def similar(self, query: str, least: float = LEAST) -> DataFrame:

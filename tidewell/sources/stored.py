@@ -43,7 +43,8 @@ class StoredTable:
 
     def manifest(self, version: int | None = None) -> DataFrame:
         """file, low, high, rows, nulls."""
-        return self.spark.read.parquet(f"{self.path}/{self._state(version)['manifest']}")
+        state = self._state(version)
+        return self.spark.read.schema(StructType.fromJson(json.loads(state["files"]))).parquet(f"{self.path}/{state['manifest']}")
 
     def files(self, version: int | None = None) -> list[str]:
         """Names of the version's files; as many as files, not rows."""
@@ -70,7 +71,7 @@ class StoredTable:
     def _publish(self, version: int, manifest: DataFrame, schema: str) -> int:
         name = f"manifest-{uuid.uuid4().hex}"
         manifest.coalesce(1).write.parquet(f"{self.path}/{name}")
-        return self.log.commit(version, {"manifest": name, "schema": schema})
+        return self.log.commit(version, {"manifest": name, "files": manifest.schema.json(), "schema": schema})
 
     def touched(self, keys: DataFrame, version: int | None = None) -> list[str]:
         """Files that hold one of the keys (a DataFrame of the key column)."""
