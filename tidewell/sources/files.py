@@ -2,16 +2,21 @@
 
 from __future__ import annotations
 
+import fnmatch
 import io
 import multiprocessing
+import os
 import re
 import zipfile
 from collections.abc import Sequence
+from functools import reduce
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..storage import kept
+
 # Extensions read as plain text.
 PLAIN = ("txt", "csv", "tsv", "json", "xml", "html", "htm", "md", "log", "yaml", "yml", "ini", "sql")
 OFFICE = ("docx", "xlsx", "pptx", "odt", "ods", "odp")
@@ -35,6 +40,40 @@ def crawl(spark: SparkSession, root: str, pattern: str = "*", excluded: Sequence
     return rows.where(~F.col("name").startswith("~$"))
 
 
+def walk(spark: SparkSession, root: str, excluded: Sequence[str] = (), reserved: Sequence[str] = (), pattern: str = "*") -> DataFrame:
+    """S01 / S02 on a mounted tree: path, parent, name, kind (file or folder), extension, size, modified_at, level of all below ``root``.
+
+    The folders of a level are listed by tasks, each its own; ``excluded`` names and ``reserved`` folders are left
+    out before anything in them is listed. Links are told as files and not followed. Any error of a listing
+    fails the scan, so that a partial one is never taken for deletions. Only whether a level has folders reaches the driver.
+    """
+    zones = tuple(z.rstrip("/") for z in reserved)
+    names = frozenset(excluded)
+
+    def listed(batches):
+        for batch in batches:
+            rows = []
+            for folder in batch.column(0).to_pylist():
+                with os.scandir(folder) as entries:
+                    for e in entries:
+                        folder_like = e.is_dir(follow_symlinks=False)
+                        if e.name in names or e.name.startswith("~$") or e.path in zones or not (folder_like or fnmatch.fnmatch(e.name, pattern)):
+                            continue
+                        told = e.stat(follow_symlinks=False)
+                        rows.append((e.path, folder, e.name, "folder" if folder_like else "file", None if folder_like else told.st_size, int(told.st_mtime * 1_000_000)))
+            cells = zip(*rows, strict=True) if rows else [[]] * 6
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cells, [pa.string()] * 4 + [pa.int64()] * 2, strict=True)], ["path", "parent", "name", "kind", "size", "us"])
+
+    level, found = spark.createDataFrame([(root.rstrip("/") or "/",)], "folder string"), []
+    while not level.isEmpty():
+        rows = level.repartition("folder").mapInArrow(listed, "path string, parent string, name string, kind string, size long, us long")
+        found.append(kept(rows.withColumn("level", F.lit(len(found) + 1))))
+        level = found[-1].where("kind = 'folder'").select(F.col("path").alias("folder"))
+    every = reduce(DataFrame.unionByName, found)
+    extension = F.when(F.col("kind") == "file", F.lower(F.regexp_extract("name", "\\.([^./]+)$", 1)))
+    return every.select("path", "parent", "name", "kind", extension.alias("extension"), "size", F.timestamp_micros("us").alias("modified_at"), "level")
+
+
 def changed(scan: DataFrame, manifest: DataFrame, version: str) -> DataFrame:
     """Rows whose size, time or extractor version differ from the manifest, and new ones."""
     old = manifest.select("path", F.col("size").alias("__size"), F.col("modified_at").alias("__at"), F.col("extractor_version").alias("__version"))
