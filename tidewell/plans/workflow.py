@@ -17,6 +17,7 @@ from ..operators import ml as M
 from ..operators import quality as Q
 from ..operators import rules as U
 from ..operators import search as H
+from ..operators import training as R
 from ..operators import workflow as K
 from ..sources import merge as W
 from ..storage import kept
@@ -353,6 +354,24 @@ def m19_preservation(t: Tables) -> DataFrame:
     return K.preservation(t.orders, "o_orderkey", F.col("o_orderstatus") == "F", F.col("o_totalprice") > 100000, F.col("o_orderstatus") == "P")
 
 
+_TRAINED = """k AS (SELECT vec_id, label, embedding, ('0x' || substr(md5(vec_id::VARCHAR), 1, 8))::BIGINT % 1000 < 300 AS held FROM embeddings WHERE label IS NOT NULL AND embedding IS NOT NULL),
+n AS (SELECT label, generate_subscripts(embedding, 1) AS i, unnest(embedding)::DOUBLE AS x FROM k WHERE NOT held), m AS (SELECT label, i, avg(x) AS m FROM n GROUP BY 1, 2), c AS (SELECT label AS predicted, list(m ORDER BY i) AS v FROM m GROUP BY 1),
+s AS (SELECT vec_id, label, predicted, round(list_cosine_similarity(embedding::DOUBLE[], v), 6) AS s FROM k, c WHERE held), r AS (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY s DESC, predicted) AS place FROM s),
+confusion AS (SELECT label, predicted, count(*) AS n FROM r WHERE place = 1 GROUP BY 1, 2)"""
+
+
+@query(f"WITH {_TRAINED} SELECT * FROM confusion")
+def m15_confusion(t: Tables) -> DataFrame:
+    return R.train(t.embeddings, "vec_id", "label", "embedding").confusion
+
+
+@query(f"""WITH {_TRAINED}, b AS (SELECT held, ('0x' || substr(md5(vec_id || ':' || label), 1, 8))::BIGINT AS mark FROM k), p AS (SELECT label, sum(n) AS n, coalesce(sum(n) FILTER (WHERE label = predicted), 0) AS ok FROM confusion GROUP BY 1)
+SELECT (SELECT md5('centroid/300/' || sum(mark) FILTER (WHERE NOT held) || '/' || sum(mark) FILTER (WHERE held)) FROM b) AS version, (SELECT count(*) FROM k WHERE NOT held) AS n_train, (SELECT count(*) FROM k WHERE held) AS n_held,
+round(sum(ok) / sum(n), 6)::DOUBLE AS accuracy, round(avg(ok / n), 6)::DOUBLE AS macro_recall FROM p""")
+def m15_training_run(t: Tables) -> DataFrame:
+    return R.train(t.embeddings, "vec_id", "label", "embedding").metrics
+
+
 @query("""SELECT 'part' AS table_name, 'p_partkey' AS column_name, count(p_partkey) AS filled, count(*) AS rows FROM part UNION ALL SELECT 'part', 'p_colour', NULL, count(*) FROM part
 UNION ALL SELECT 'documents', 'lang', count(lang), count(*) FROM documents UNION ALL SELECT 'orders', 'o_orderkey', count(o_orderkey), count(*) FROM orders UNION ALL SELECT 'ghost', 'id', NULL, NULL""")
 def m18_schema_gaps(t: Tables) -> DataFrame:
