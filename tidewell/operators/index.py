@@ -131,12 +131,14 @@ class Index:
         tops.repartitionByRange("word", "block").sortWithinPartitions("word", "block").write.parquet(f"{where}/tops")
         return {"name": name, "number": number, "postings": written.schema.json(), "tops": tops.schema.json()}
 
-    def _blocks(self, docs: DataFrame) -> int:
-        return max(1, docs.count() // (BLOCK * 32))
+    def _made(self, docs: DataFrame, key: str, classes: dict[str, Column], number: int) -> dict:
+        rows = docs.where(F.col(key).isNotNull())
+        many = rows.count()
+        return {**self._segment(postings(rows, key, classes, max(1, many // (BLOCK * 32))), number), "documents": many}
 
     def create(self, docs: DataFrame, key: str, classes: dict[str, Column]) -> Index:
         """The first segment; ids are to be unique and not null."""
-        state = {"segments": [self._segment(postings(docs.where(F.col(key).isNotNull()), key, classes, self._blocks(docs)), 1)], "tombstones": []}
+        state = {"segments": [self._made(docs, key, classes, 1)], "tombstones": []}
         self.log.commit(0, state)
         return self
 
@@ -144,7 +146,7 @@ class Index:
         """Documents are added; those of known ids are replaced."""
         version, state = self.log.current()
         number = max((s["number"] for s in state["segments"]), default=0) + 1
-        segment = self._segment(postings(docs.where(F.col(key).isNotNull()), key, classes, self._blocks(docs)), number)
+        segment = self._made(docs, key, classes, number)
         stone = self._tombstone(docs.select(F.col(key).alias("id")), number)
         self.log.commit(version, {"segments": [*state["segments"], segment], "tombstones": [*state["tombstones"], stone]})
 
@@ -163,7 +165,7 @@ class Index:
         """One segment of what lives, without tombstones. Files of earlier versions stay for their readers."""
         version, state = self.log.current()
         number = max((s["number"] for s in state["segments"]), default=0) + 1
-        segment = self._segment(self.live().drop("segment"), number)
+        segment = {**self._segment(self.live().drop("segment"), number), "documents": sum(s["documents"] for s in state["segments"])}
         self.log.commit(version, {"segments": [segment], "tombstones": []})
 
     # --- reading
@@ -238,7 +240,9 @@ class Index:
         state = self.log.current()[1]
         words = sorted({w for g in spec.groups for t in g for w in t.words})
         rows = self.live(words, state)
-        if (self.bounds(spec, state).agg(F.sum("postings")).first()[0] or 0) > DIRECT:
+        # no more postings than documents for each word: of a small index that is enough to know
+        most = len(words) * sum(s["documents"] for s in state["segments"])
+        if most > DIRECT and (self.bounds(spec, state).agg(F.sum("postings")).first()[0] or 0) > DIRECT:
             rows = rows.join(self.surviving(spec, k, covers).select("segment", "block"), ["segment", "block"], "left_semi")
         return self._matched(rows, spec, covers).orderBy(F.desc("score"), "id").limit(k).select(F.lit("lexical").alias("source"), "id", "score")
 
