@@ -84,7 +84,7 @@ def free_names(wanted: DataFrame, name: str, taken: DataFrame) -> DataFrame:
     The n-th row (by ``id``) that wants a name gets the n-th of name, name-2, name-3, ... that is
     neither taken nor itself wanted by other rows, so no given name meets another. Free numbers
     are counted, not tried: of the sorted taken numbers t1 < t2 < ..., those with ti - i < n lie
-    before the n-th free one.
+    before the n-th free one, which one running count over both tells.
     """
     stem, extension = F.regexp_replace(name, "(\\.[^./]+)$", ""), F.regexp_extract(name, "(\\.[^./]+)$", 1)
     told = F.regexp_extract(stem, "^(.+)-([1-9][0-9]*)$", 2)
@@ -92,11 +92,15 @@ def free_names(wanted: DataFrame, name: str, taken: DataFrame) -> DataFrame:
     there = taken.select(name).unionByName(wanted.select(name)).distinct()
     whole = taken.select(F.col(name).alias("of"), F.lit(1).cast("long").alias("n"))
     held = whole.unionByName(there.select(F.inline(F.array(numbered)))).where("of IS NOT NULL AND n IS NOT NULL").distinct()
-    held = held.groupBy(F.col("of").alias("__of")).agg(F.sort_array(F.collect_list("n")).alias("__held"))  # taken numbers of one name
-    rows = wanted.withColumn("__n", F.row_number().over(Window.partitionBy(name).orderBy("id"))).join(held, F.col(name) == F.col("__of"), "left")
-    before = F.size(F.filter(F.coalesce("__held", F.array().cast("array<bigint>")), lambda t, i: t - i - 1 < F.col("__n")))
-    place = F.col("__n") + before
-    return rows.select("id", F.when(place == 1, F.col(name)).otherwise(F.concat(stem, F.lit("-"), place.cast("string"), extension)).alias(name))
+    # free numbers below the i-th taken one: its number less i; rows and taken numbers of a name in one order by that
+    nth = F.row_number().over(Window.partitionBy("of").orderBy("n"))
+    known = held.join(wanted.select(F.col(name).alias("of")).distinct(), "of", "left_semi")  # of names that are wanted
+    free = known.select(F.col("of").alias(name), (F.col("n") - nth).alias("__n"), F.lit(1).alias("__held"), F.lit(None).cast(wanted.schema["id"].dataType).alias("id"))
+    rows = wanted.select(name, F.row_number().over(Window.partitionBy(name).orderBy("id")).cast("long").alias("__n"), F.lit(0).alias("__held"), "id")
+    up_to = Window.partitionBy(name).orderBy("__n", "__held").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    placed = rows.unionByName(free).withColumn("__place", F.col("__n") + F.sum("__held").over(up_to)).where("__held = 0")
+    place = F.col("__place")
+    return placed.select("id", F.when(place == 1, F.col(name)).otherwise(F.concat(stem, F.lit("-"), place.cast("string"), extension)).alias(name))
 
 
 def text_checksum(df: DataFrame, columns: Sequence[str]) -> DataFrame:
