@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tidewell.functions import query as P
 from tidewell.functions import text as T
 from tidewell.operators import dedup, families, filters, intake, retrieval, workflow
+from tidewell.plans import QUERIES
 from tidewell.sources import merge
 from tidewell.streaming import jobs
 
@@ -103,3 +104,10 @@ def test_uploads_tell_their_first_gap(spark):
     chunks = spark.createDataFrame([("a", 0, 5), ("a", 0, 5), ("a", 2, 5), ("b", 1, 5), ("c", 0, 5), ("c", 1, 5)], "s string, n int, size int")
     expected = spark.createDataFrame([("a", 3), ("b", 2), ("c", 2), ("d", 1)], "s string, chunks int")
     assert rows(workflow.upload_state(chunks, "s", "n", F.col("size"), expected)) == [("a", 2, 10, 1, False), ("b", 1, 5, 0, False), ("c", 2, 10, None, True), ("d", 0, 0, 0, False)]
+
+
+def test_automatic_links_of_any_number_stay_automatic(spark, tmp_path):
+    events = [(1, 1200, "view"), (2, 7, "click"), (3, None, "click"), (4, 1200, "click"), (5, None, "view"), (6, 7, None)]
+    spark.createDataFrame(events, "event_id long, user_id long, event_type string").write.parquet(f"{tmp_path}/events.parquet")
+    got = {r.id: (r.link, r.category) for r in QUERIES["m01_relinked"](spark, str(tmp_path)).collect()}
+    assert got == {1: (1200, "auto"), 2: (1007, "human"), 3: (None, "human"), 4: (2200, "human"), 5: (None, "auto"), 6: (7, "auto")}

@@ -297,9 +297,10 @@ def x35_merge_and_undo(t: Tables) -> DataFrame:
 
 @query("SELECT event_id AS id, CASE WHEN event_type = 'click' THEN user_id + 1000 ELSE user_id END AS link, CASE WHEN event_type = 'click' THEN 'human' ELSE 'auto' END AS category FROM events")
 def m01_relinked(t: Tables) -> DataFrame:
-    records = t.events.select(F.col("event_id").alias("id"), F.col("user_id").alias("link"))
-    chosen = t.events.where("event_type = 'click'").select(F.col("event_id").alias("id"), (F.col("user_id") + 1000).alias("link"))
-    return K.relinked(records, chosen, "id", F.when(F.col("link") >= 1000, "human").otherwise("auto"))
+    # who linked travels with the link: automatic ones reach 1000 too
+    records = t.events.select(F.col("event_id").alias("id"), F.col("user_id").alias("link"), F.lit("auto").alias("by"))
+    chosen = t.events.where("event_type = 'click'").select(F.col("event_id").alias("id"), (F.col("user_id") + 1000).alias("link"), F.lit("human").alias("by"))
+    return K.relinked(records, chosen, "id", F.col("by")).drop("by")
 
 
 @query("SELECT o_custkey, o_orderkey FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS k FROM orders WHERE o_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderstatus = 'P')) WHERE k = 1")
