@@ -111,3 +111,12 @@ def test_automatic_links_of_any_number_stay_automatic(spark, tmp_path):
     spark.createDataFrame(events, "event_id long, user_id long, event_type string").write.parquet(f"{tmp_path}/events.parquet")
     got = {r.id: (r.link, r.category) for r in QUERIES["m01_relinked"](spark, str(tmp_path)).collect()}
     assert got == {1: (1200, "auto"), 2: (1007, "human"), 3: (None, "human"), 4: (2200, "human"), 5: (None, "auto"), 6: (7, "auto")}
+
+
+def test_links_from_either_end_are_dealt_by_their_number(spark, monkeypatch):
+    pairs = [(i % 40, i % 7 + 20) for i in range(300)] + [(None, 1), (3, 3)]
+    links = spark.createDataFrame(pairs, "a long, b long")
+    monkeypatch.setattr(dedup, "ROWS", 50, raising=False)
+    got = dedup.links_both_ways(links)
+    assert got.rdd.getNumPartitions() == 13
+    assert rows(got) == sorted({x for a, b in pairs for x in ((a, b), (b, a))}, key=str)

@@ -231,7 +231,7 @@ def x17_scan_summary(t: Tables) -> DataFrame:
 
 @query("WITH l AS (SELECT l_partkey AS a, l_suppkey AS b FROM lineitem WHERE l_partkey <> l_suppkey GROUP BY 1, 2), u AS (SELECT a AS id, b AS other FROM l UNION SELECT b, a FROM l) SELECT id, count(DISTINCT other) AS links FROM u GROUP BY 1")
 def x18_links_both_ways(t: Tables) -> DataFrame:
-    links = t.lineitem.where("l_partkey <> l_suppkey").select(F.col("l_partkey").alias("a"), F.col("l_suppkey").alias("b")).distinct()
+    links = t.lineitem.where("l_partkey <> l_suppkey").select(F.col("l_partkey").alias("a"), F.col("l_suppkey").alias("b"))
     return D.links_both_ways(links).groupBy("id").agg(F.count("*").alias("links"))
 
 
