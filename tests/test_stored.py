@@ -80,3 +80,15 @@ def test_empty_table(spark):
     assert made.read().count() == 0
     made.upsert(spark.createDataFrame([(1, 2)], "k long, v long"))
     assert [tuple(r) for r in made.read().collect()] == [(1, 2)]
+
+
+def test_many_files_take_few_ranges_and_no_listing_by_path(spark, monkeypatch):
+    monkeypatch.setattr("tidewell.sources.stored.RANGES", 2, raising=False)
+    rows = spark.range(2000).select(F.col("id").alias("k"), F.lit("old").alias("s"))
+    made = StoredTable(spark, f"{shared_dir(spark)}/table-{random.random()}", "k").create(rows, 50)
+    parts = {f.rsplit("/", 1)[1][:10] for f in made.files()}
+    assert len(parts) == 2 and len(made.files()) >= 40 and made.manifest().agg(F.max("rows")).first()[0] <= 50
+    assert len(made.read().inputFiles()) == len(made.files()) and "Location: InMemoryFileIndex(1 paths)" in made.read()._jdf.queryExecution().executedPlan().toString()
+    made.upsert(spark.createDataFrame([(7, "new"), (5000, "new")], "k long, s string"), rows_a_file=50)
+    made.delete(spark.createDataFrame([(8,)], "k long"), rows_a_file=50)
+    assert {r.k: r.s for r in made.read().collect()} == {k: "new" if k in (7, 5000) else "old" for k in [*range(2000), 5000] if k != 8}
