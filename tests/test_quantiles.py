@@ -37,3 +37,12 @@ def test_robust_stats_are_the_same(df):
     rows = lambda d: {r.k: [None if x is None else round(float(x), 3) for x in r[1:]] for r in d.collect()}
     assert rows(quantiles.robust_stats(known, ["k"], "v")) == rows(confidence.robust_stats(known, ["k"], "v"))
     assert quantiles.quantiles(df.limit(0), ["k"], F.col("v"), (0.5,)).count() == 0
+
+
+def test_medians_meet_counted_values_by_range(spark, df, monkeypatch, tmp_path):
+    df.write.parquet(f"{tmp_path}/given")
+    given, written, kept = spark.read.parquet(f"{tmp_path}/given"), [], quantiles.kept
+    monkeypatch.setattr(quantiles, "kept", lambda d: written.append(d) or kept(d))
+    quantiles.robust_stats(given, ["k"], "v").count()
+    rows_read = [any("/given/" in f for f in d.inputFiles()) for d in written]
+    assert rows_read[0] and not any(rows_read[1:])  # the rows are read to be counted, and never sent to their group
