@@ -3,10 +3,12 @@
 import json
 import zipfile
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
 from tidewell.operators import confidence, dedup, latest, rules
+from tidewell.plans import ORACLES, QUERIES
 from tidewell.sources import files, merge
 from tidewell.streaming import jobs
 
@@ -119,3 +121,12 @@ def test_pairs_and_classes_hold_equal_titles(spark):
 @pytest.mark.parametrize("name", ["tidewell.plans", "__spark_entry__"])
 def test_imports(name):
     __import__(name)
+
+
+def test_lines_of_words_with_unknown_places_equal_sql(spark, tmp_path):
+    words = [(1, 1, 10.0, "a"), (1, 2, 11.0, "b"), (1, 3, 20.0, "c"), (1, 4, None, "n"), (1, None, 21.0, "x"), (1, 5, 21.0, None), (2, 1, None, "only"), (3, 1, 5.0, None), (3, 2, 9.0, "d"), (None, 1, 1.0, "p")]
+    frame = spark.createDataFrame(words, "l_orderkey bigint, l_linenumber int, l_quantity double, l_returnflag string")
+    frame.write.parquet(f"{tmp_path}/lineitem.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW lineitem AS SELECT * FROM read_parquet('{tmp_path}/lineitem.parquet/*.parquet')")
+    assert rows(QUERIES["x01_words_to_lines"](spark, str(tmp_path))) == sorted(con.execute(ORACLES["x01_words_to_lines"]).fetchall(), key=str)

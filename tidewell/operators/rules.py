@@ -52,11 +52,15 @@ def detect_template(docs: DataFrame, key: str, text: Column, templates: Sequence
 
 
 def words_to_lines(words: DataFrame, page: str, tolerance: float = 2.5) -> DataFrame:
-    """Words whose tops follow within the tolerance form a line; lines read from left to right."""
-    down = Window.partitionBy(page).orderBy("top", "x0")
+    """Words whose tops follow within the tolerance form a line; lines read from left to right.
+
+    Unknown tops and places come last, as in SQL; a line of unknown texts only has none.
+    """
+    down = Window.partitionBy(page).orderBy(F.col("top").asc_nulls_last(), F.col("x0").asc_nulls_last())
     gap = F.coalesce(F.col("top") - F.lag("top").over(down), F.lit(0.0)) > tolerance
     lines = words.withColumn("line", F.sum(gap.cast("int")).over(down))
-    joined = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("x0", "text"))), lambda w: w["text"]), " ")
+    read = F.sort_array(F.collect_list(F.when(F.col("text").isNotNull(), F.struct(F.col("x0").isNull().alias("unknown"), "x0", "text"))))
+    joined = F.when(F.count("text") > 0, F.array_join(F.transform(read, lambda w: w["text"]), " "))
     return lines.groupBy(page, "line").agg(joined.alias("text"), F.min("top").alias("top"))
 
 
