@@ -130,3 +130,17 @@ def test_lines_of_words_with_unknown_places_equal_sql(spark, tmp_path):
     con = duckdb.connect()
     con.execute(f"CREATE VIEW lineitem AS SELECT * FROM read_parquet('{tmp_path}/lineitem.parquet/*.parquet')")
     assert rows(QUERIES["x01_words_to_lines"](spark, str(tmp_path))) == sorted(con.execute(ORACLES["x01_words_to_lines"]).fetchall(), key=str)
+
+
+def test_near_pairs_of_many_copies_equal_sql(spark, tmp_path):
+    names = ["large green copper bolt", "large green copper bolts", "small red tin nut"]
+    parts = [(k, names[k % 3], "b1", [None, "x", "y"][k % 5 % 3]) for k in range(450)]  # 150 records of a title are several blocks
+    odd = [(None, names[0], "b1", "x"), (1, names[0], "b1", "x"), (900, None, "large green copper bolt b1", "x")]
+    spark.createDataFrame(parts + odd, "p_partkey bigint, p_name string, p_brand string, p_type string").write.parquet(f"{tmp_path}/part.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW part AS SELECT * FROM read_parquet('{tmp_path}/part.parquet/*.parquet')")
+    want = con.execute(ORACLES["j03_near_pairs"]).fetchall()
+    found = QUERIES["j03_near_pairs"](spark, str(tmp_path))
+    assert rows(found) == sorted(want, key=str) and len(want) > 20_000
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert plan.index("Generate explode(b_ks") < plan.index("SortMergeJoin")  # records are told apart after the joins
