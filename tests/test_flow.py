@@ -144,3 +144,21 @@ def test_near_pairs_of_many_copies_equal_sql(spark, tmp_path):
     assert rows(found) == sorted(want, key=str) and len(want) > 20_000
     plan = found._jdf.queryExecution().executedPlan().toString()
     assert plan.index("Generate explode(b_ks") < plan.index("SortMergeJoin")  # records are told apart after the joins
+
+
+def test_near_pairs_are_dealt_by_their_number(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(dedup, "PAIRS", 2_000)
+    names = ["large green copper bolt", "Large green  copper bolt", "large green copper bolts", "large green copper bolted"]
+    low, high, mixed = [(k, names[2]) for k in range(100)], [(k, names[0]) for k in range(1000, 1150)], [(k, names[k % 4]) for k in range(500, 700)]
+    same = [(50, names[0]), (1001, names[2]), (1002, names[2]), (1002, names[3]), (-5, names[3]), (None, names[0])]  # a key under several titles is no pair with itself
+    parts = [(k, n, "b1", [None, "x", "y"][(k or 0) % 3]) for k, n in low + high + mixed + same]
+    spark.createDataFrame(parts, "p_partkey bigint, p_name string, p_brand string, p_type string").write.parquet(f"{tmp_path}/part.parquet")
+    found = QUERIES["j03_near_pairs"](spark, str(tmp_path))
+    by_title = {}
+    for k, n, *_ in parts:
+        by_title.setdefault(" ".join(n.lower().split()), []).append(k)
+    titles = sorted(by_title)
+    scored = {(r.t, r.t2) for r in dedup._similar_titles(spark.createDataFrame([(f"{t} b1",) for t in titles], "t string"), 0.8).collect()}
+    want = [(min(a, b), max(a, b)) for t in titles for t2 in titles if (f"{t} b1", f"{t2} b1") in scored for a in by_title[t] for b in by_title[t2] if None not in (a, b) and a != b]
+    assert sorted((r.a, r.b) for r in found.collect()) == sorted(want) and len(want) > 30_000
+    assert found.rdd.getNumPartitions() >= len(want) // 2_000
